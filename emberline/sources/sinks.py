@@ -38,7 +38,7 @@ def write_weather(df: DataFrame, path: str, key: str = "cell_id", mode: str = "o
     bucket = F.pmod(F.xxhash64(key), F.lit(64))
     (
         df.repartition("year", bucket)
-        .sortWithinPartitions(key, "date")
+        .sortWithinPartitions("year", key, "date")
         .write.mode(mode)
         .partitionBy("year")
         .parquet(path)
