@@ -20,26 +20,34 @@ from emberline.operators.metrics import population_fitness
 from emberline.operators.model import FittedModel, TrainingSet, fit, prepare_training
 from emberline.operators.sampling import random_subset
 
-SEARCHED = tuple(C.SEARCH_SPACE)
 
+Space = dict[str, tuple]
 
-def random_config(rng: random.Random, base: C.ModelConfig = C.ModelConfig()) -> C.ModelConfig:
+
+def random_config(
+    rng: random.Random, space: Space = C.SEARCH_SPACE, base: C.ModelConfig = C.ModelConfig()
+) -> C.ModelConfig:
     def draw(low, high, whole):
         return rng.randint(low, high) if whole else rng.uniform(low, high)
 
-    return replace(base, **{n: draw(lo, hi, whole) for n, (lo, hi, _, whole) in C.SEARCH_SPACE.items()})
+    return replace(base, **{n: draw(lo, hi, whole) for n, (lo, hi, _, whole) in space.items()})
 
 
-def mutate(config: C.ModelConfig, rate: float, rng: random.Random) -> C.ModelConfig:
+def mutate(config: C.ModelConfig, rate: float, rng: random.Random, space: Space = C.SEARCH_SPACE) -> C.ModelConfig:
     """Each setting moves by at most its step with probability ``rate``, within its range."""
     changed = {}
-    for name, (low, high, step, whole) in C.SEARCH_SPACE.items():
+    for name, (low, high, step, whole) in space.items():
         if rng.random() < rate:
             moved = getattr(config, name) + (rng.randint(-step, step) if whole else rng.uniform(-step, step))
             changed[name] = min(high, max(low, moved))
     return replace(config, **changed)
 
 
+def within(config: C.ModelConfig, space: Space) -> C.ModelConfig:
+    """The settings, moved into the ranges of the space."""
+    return replace(config, **{n: min(hi, max(lo, getattr(config, n))) for n, (lo, hi, _, _) in space.items()})
+
+
 def blend(a: C.ModelConfig, b: C.ModelConfig, rng: random.Random) -> C.ModelConfig:
     """A child: whole-number settings from either parent, the others between the two."""
     values = {}
@@ -58,10 +66,11 @@ class Member:
     generation: int = 0
 
 
-def initial_population(search: C.SearchConfig, rng: random.Random) -> list[Member]:
+def initial_population(search: C.SearchConfig, rng: random.Random, space: Space = C.SEARCH_SPACE) -> list[Member]:
     n_default = min(search.default_members, search.population_size)
-    members = [Member(f"m{i:03d}_default", C.ModelConfig()) for i in range(n_default)]
-    members += [Member(f"m{i:03d}_random", random_config(rng)) for i in range(n_default, search.population_size)]
+    default = within(C.ModelConfig(), space)
+    members = [Member(f"m{i:03d}_default", default) for i in range(n_default)]
+    members += [Member(f"m{i:03d}_random", random_config(rng, space)) for i in range(n_default, search.population_size)]
     return members
 
 
@@ -70,14 +79,20 @@ def pick_parent(elite: list[Member], size: int, rng: random.Random) -> Member:
     return min(rng.sample(elite, min(size, len(elite))), key=lambda m: (m.fitness, m.model_id))
 
 
-def next_population(elite: list[Member], search: C.SearchConfig, generation: int, rng: random.Random) -> list[Member]:
+def next_population(
+    elite: list[Member],
+    search: C.SearchConfig,
+    generation: int,
+    rng: random.Random,
+    space: Space = C.SEARCH_SPACE,
+) -> list[Member]:
     """The elite unchanged (with their fitted trees, so they are not fitted again), and children of elite pairs."""
     members = list(elite)
     while len(members) < search.population_size:
         a = pick_parent(elite, search.tournament_size, rng)
         b = pick_parent(elite, search.tournament_size, rng)
         child = blend(a.config, b.config, rng) if rng.random() < search.crossover_rate else rng.choice([a, b]).config
-        child = mutate(child, search.mutation_rate, rng)
+        child = mutate(child, search.mutation_rate, rng, space)
         members.append(Member(f"m{len(members):03d}_gen{generation}", child, generation=generation))
     return members
 
@@ -132,12 +147,14 @@ def converged(best: list[float], patience: int, decimals: int = 4) -> bool:
     return len(best) >= patience and len({round(v, decimals) for v in best[-patience:]}) == 1
 
 
-def search(train: DataFrame, pool: DataFrame, settings: C.SearchConfig = C.SearchConfig()) -> SearchResult:
+def search(
+    train: DataFrame, pool: DataFrame, settings: C.SearchConfig = C.SearchConfig(), space: Space = C.SEARCH_SPACE
+) -> SearchResult:
     """Evaluate, keep the elite, recombine; stop on convergence or at the last generation."""
     rng = random.Random(settings.seed)
     training = prepare_training(train)
     pool = pool.persist()
-    members = initial_population(settings, rng)
+    members = initial_population(settings, rng, space)
     best: Member | None = None
     result = SearchResult(best=members[0])
     try:
@@ -145,12 +162,13 @@ def search(train: DataFrame, pool: DataFrame, settings: C.SearchConfig = C.Searc
             started = time.perf_counter()
             test_rows = random_subset(
                 pool, settings.test_samples_per_generation, "cell_id", "target_date", seed=generation
-            )
+            ).persist()
             n_fitted = sum(m.fitted is None for m in members)
             fit_members(members, training, settings.parallel_fits)
             fitted_at = time.perf_counter()
             rate_members(members, test_rows)
             rated_at = time.perf_counter()
+            test_rows.unpersist()
             members.sort(key=lambda m: (m.fitness, m.model_id))
             if best is None or members[0].fitness < best.fitness:
                 best = replace(members[0])
@@ -163,7 +181,7 @@ def search(train: DataFrame, pool: DataFrame, settings: C.SearchConfig = C.Searc
             if converged([row[2] for row in result.history], settings.patience):
                 break
             elite = members[: settings.elite_count]
-            members = next_population(elite, settings, generation, rng)
+            members = next_population(elite, settings, generation, rng, space)
     finally:
         training.release()
         pool.unpersist()
