@@ -65,10 +65,18 @@ def near_cells(fires: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
-def burned_lines(fires: DataFrame, cells: DataFrame) -> DataFrame:
+# A cell is about 48 bytes in a broadcast hash table.
+CELL_BYTES = 48
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def burned_lines(fires: DataFrame, cells: DataFrame, cell_bound: int | None = None) -> DataFrame:
     """One row per fire report that reaches a cell: its affected cells (sorted) and the nearest of them.
 
-    The list of a report is bounded by the cells within 20 km of one point.
+    The list of a report is bounded by the cells within 20 km of one point. Grid cells are evenly spaced, so no bin of them
+    is crowded; when ``cell_bound`` (the cell count known from the grid's parameters) proves them few, they are
+    broadcast and the fires stay where they are, however many lie in one place. Otherwise a bin with very many fires is a
+    join key skewed on the left only, which adaptive execution splits.
     """
     prepared = near_cells(prepare_fires(fires), cells)
     lat_reach = F.col("radius_km") / F.lit(KM_PER_DEGREE_FLOOR)
@@ -81,6 +89,8 @@ def burned_lines(fires: DataFrame, cells: DataFrame) -> DataFrame:
         lon_reach,
         LAT_BIN,
         LON_BIN,
+        split_rows=None,
+        small_right=cell_bound is not None and cell_bound * CELL_BYTES <= BROADCAST_BYTES,
     )
     km = X.haversine_km(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
     hits = candidates.select("l.*", "r.cell_id", km.alias("km")).filter(F.col("km") <= F.col("radius_km"))

@@ -30,14 +30,17 @@ def bin_join(
     lon_reach: Column,
     lat_bin: float,
     lon_bin: float,
-    split_rows: int = SPLIT_ROWS,
+    split_rows: int | None = SPLIT_ROWS,
+    small_right: bool = False,
 ) -> DataFrame:
     """Candidate pairs (l, r) of two point tables: every pair within the left row's reach is among them, once.
 
     Both tables have latitude / longitude columns ``lat`` and ``lon``, in structs ``l`` and ``r`` of the result. The left
     row is copied to each bin its reach touches; the right row stays in its own bin. A bin holding more than
     ``split_rows`` right rows is cut into parts by a hash of the row, and the left rows of that bin are copied to
-    each part, so no join key ever holds more than about ``split_rows`` right rows.
+    each part, so no join key ever holds more than about ``split_rows`` right rows. ``None`` skips the cutting, for a right
+    side whose density is bounded by its construction; ``small_right`` broadcasts a right side whose size the caller has
+    checked.
     """
     right_binned = right.select(
         _bin(F.col("lat"), lat_bin).alias("by"),
@@ -52,6 +55,9 @@ def bin_join(
         _bin(F.col("lon") - lon_reach, lon_bin).alias("_bx_lo"),
         _bin(F.col("lon") + lon_reach, lon_bin).alias("_bx_hi"),
     ).select("l", "by", F.explode(F.sequence("_bx_lo", "_bx_hi")).alias("bx"))
+    if split_rows is None:
+        right_side = F.broadcast(right_binned) if small_right else right_binned
+        return left_binned.join(right_side, ["by", "bx"]).select("l", "r")
     crowded = (
         right_binned.groupBy("by", "bx")
         .agg(F.count("*").alias("_n"))
@@ -119,12 +125,10 @@ def nearest_k(
     at_level = [F.expr("shiftright(iy, lvl)").alias("by"), F.expr("shiftright(ix, lvl)").alias("bx")]
     all_levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("lvl")
     filled = (
-        places.groupBy("iy", "ix")
-        .agg(F.count("*").alias("n"))
-        .select("iy", "ix", "n", all_levels)
-        .select("lvl", *at_level, "n")
+        places.select("iy", "ix", all_levels)
+        .select("lvl", *at_level)
         .groupBy("lvl", "by", "bx")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= need)
         .drop("n")
     )
@@ -151,8 +155,8 @@ def nearest_k(
             (F.col("bx") + F.col("dx")).alias("bx"),
         )
     )
-    # Points enter only the levels some query uses: a set of at most LEVELS small integers.
-    used = looking.agg(F.collect_set("lvl")).scalar()
+    # Points enter only the levels some query uses: a set of at most LEVELS small integers, read off the same shuffle.
+    used = chosen.agg(F.array_union(F.collect_set("lvl"), F.array(F.lit(LEVELS - 1)))).scalar()
     offered = places.withColumn("lvl", F.explode(used)).select(
         F.struct("id", "lat", "lon").alias("p"), "lvl", *at_level
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -28,7 +29,8 @@ def grid_of_regions(regions: DataFrame, km: float) -> DataFrame:
     step = F.lit(km / C.KM_PER_DEGREE)
     n_rows = F.ceil((F.col("lat_max") - F.col("lat_min")) / step)
     rows = (
-        regions.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), n_rows - 1)))
+        regions.filter((F.col("lat_min") < F.col("lat_max")) & (F.col("lon_min") < F.col("lon_max")))
+        .withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), n_rows - 1)))
         .withColumn("center_lat", F.col("lat_min") + F.col("row") * step)
         .withColumn("lon_step", F.lit(km) / (F.lit(C.KM_PER_DEGREE) * F.cos(F.radians("center_lat"))))
         .withColumn("n_lon", F.ceil((F.col("lon_max") - F.col("lon_min")) / F.col("lon_step")))
@@ -56,20 +58,40 @@ def with_terrain(cells: DataFrame) -> DataFrame:
     )
 
 
+def grid_rows(km: float, bounds: C.Bounds) -> list[tuple[float, float, int, int]]:
+    """Latitude, longitude step, cell count and cells before, for each row of a box: arithmetic on the parameters, with at
+    most 180 * 111.32 / km rows."""
+    step = km / C.KM_PER_DEGREE
+    rows, before = [], 0
+    for i in range(math.ceil((bounds.lat_max - bounds.lat_min) / step)):
+        lat = bounds.lat_min + i * step
+        lon_step = km / (C.KM_PER_DEGREE * math.cos(math.radians(lat)))
+        n = math.ceil((bounds.lon_max - bounds.lon_min) / lon_step)
+        rows.append((lat, lon_step, n, before))
+        before += n
+    return rows
+
+
 def grid_cells(spark: SparkSession, km: float = 10.0, bounds: C.Bounds = C.SOUTHERN_CANADA) -> DataFrame:
-    """The classified grid of one box."""
-    return with_terrain(grid_of_regions(region_table(spark, {"grid": bounds}), km).drop("region_id"))
+    """The classified grid of one box, generated without any shuffle: every row knows how many cells come before it."""
+    rows = grid_rows(km, bounds)
+    names = ("center_lat", "lon_step", "n_lon", "before")
+    table = pa.table({name: [row[i] for row in rows] for i, name in enumerate(names)})
+    cells = (
+        spark.createDataFrame(table)
+        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_lon") - 1)))
+        .select(
+            (F.col("before") + F.col("j") + 1).alias("cell_id"),
+            "center_lat",
+            (F.lit(bounds.lon_min) + F.col("j") * F.col("lon_step")).alias("center_lon"),
+        )
+    )
+    return with_terrain(cells)
 
 
 def count_cells(km: float, bounds: C.Bounds = C.SOUTHERN_CANADA) -> int:
     """Number of cells of a grid, from its parameters alone; used to decide whether a cell table may be broadcast."""
-    step = km / C.KM_PER_DEGREE
-    n_rows = math.ceil((bounds.lat_max - bounds.lat_min) / step)
-    width = bounds.lon_max - bounds.lon_min
-    return sum(
-        math.ceil(width / (km / (C.KM_PER_DEGREE * math.cos(math.radians(bounds.lat_min + i * step)))))
-        for i in range(n_rows)
-    )
+    return sum(row[2] for row in grid_rows(km, bounds))
 
 
 def land_cells(cells: DataFrame) -> DataFrame:

@@ -31,12 +31,17 @@ def assign_stations(cells: DataFrame, stations: DataFrame, prefilter: int = C.ST
         prefilter,
     )
     km = X.haversine_km(F.col("query_lat"), F.col("query_lon"), F.col("point_lat"), F.col("point_lon"))
-    ranked = found.select("query_id", "point_id", km.alias("dist_km"))
-    by_distance = Window.partitionBy("query_id").orderBy(F.round("dist_km", 6), "point_id")
+    ranked = found.select("query_id", "point_id", km.alias("dist_km")).withColumn("_km", F.round("dist_km", 6))
+    by_distance = Window.partitionBy("query_id").orderBy("_km", "point_id")
     return (
-        ranked.withColumn("rnk", F.row_number().over(by_distance))
-        .withColumn("primary_station", F.first("point_id").over(by_distance))
-        .withColumn("primary_distance", F.first("dist_km").over(by_distance))
+        ranked.select(
+            "query_id",
+            "point_id",
+            "dist_km",
+            F.row_number().over(by_distance).alias("rnk"),
+            F.first("point_id").over(by_distance).alias("primary_station"),
+            F.first("dist_km").over(by_distance).alias("primary_distance"),
+        )
         .filter(F.col("rnk") <= X.station_tier(F.col("primary_distance")))
         .select(
             F.col("query_id").alias("cell_id"),

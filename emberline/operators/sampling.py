@@ -58,29 +58,49 @@ def target_cells(
     share = share or C.TERRAIN_SHARE
     confidence_min = confidence_min or C.CONFIDENCE_MIN
     quota = {name: int(targets * part) for name, part in share.items()}
-    confident = F.round("avg_confidence", 9) >= by_name(F.col("terrain_type"), confidence_min)
-    enough = (F.col("data_days") >= min_days) & X.holds(confident)
-    with_fire = stats.filter(F.col("terrain_type").isin(*share) & (F.col("fire_count") > 0) & enough)
-    without = stats.filter(F.col("terrain_type").isin(*C.LAND_TERRAINS) & (F.col("fire_count") == 0) & enough)
-    water = (
-        stats.filter(F.col("terrain_type") == "water")
-        .orderBy("cell_id")
-        .limit(water_cells)
-        .withColumns({"avg_confidence": F.lit(0.0), "data_days": F.lit(0).cast("long"), "fire_count": F.lit(0).cast("long")})
-    )
-    candidates = with_fire.unionByName(without).unionByName(water).withColumn("_fire", F.col("fire_count") > 0)
-    order = Window.partitionBy("terrain_type", "_fire").orderBy(X.sampling_rank("cell_id"), "cell_id")
-    ranked = candidates.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max(quota.values()))
-    # From here on at most two groups of max(quota) rows per terrain remain.
-    terrain = Window.partitionBy("terrain_type")
-    n = by_name(F.col("terrain_type"), quota)
-    fires_there = F.count(F.when(F.col("_fire"), 1)).over(terrain)
-    n_fire = F.least(F.floor(n / 2), fires_there)
-    return (
-        ranked.withColumns({"_quota": F.when(F.col("_fire"), n_fire).otherwise(n - n_fire)})
+    terrain, burned = F.col("terrain_type"), F.col("fire_count") > 0
+    confident = X.holds(F.round("avg_confidence", 9) >= by_name(terrain, confidence_min))
+    enough = (F.col("data_days") >= min_days) & confident
+    dry_water = (terrain == "water") & ~burned
+    # One pass over the cells: each candidate belongs to one stratum, and each stratum is cut to a constant number of
+    # rows (water by id, others by md5 rank), inside every task before the shuffle.
+    candidates = (
+        stats.filter(terrain.isin(*share))
+        .filter(dry_water | (enough & (burned | terrain.isin(*C.LAND_TERRAINS))))
+        .withColumns(
+            {
+                "_burned": burned,
+                "_dry_water": dry_water,
+                "_id_first": F.when(dry_water, F.col("cell_id")),
+                "_rank": X.sampling_rank("cell_id"),
+            }
+        )
+    )
+    first_cut = Window.partitionBy("terrain_type", "_burned").orderBy("_id_first", "_rank", "cell_id")
+    largest = max(quota.values())
+    kept = (
+        candidates.withColumn("_n", F.row_number().over(first_cut))
+        .filter(F.col("_n") <= max(largest, water_cells))
+        .filter(F.col("_n") <= F.when(F.col("_dry_water"), water_cells).otherwise(largest))
+    )
+    # From here on at most two strata of a few hundred rows per terrain remain.
+    at_random = Window.partitionBy("terrain_type", "_burned").orderBy("_rank", "cell_id")
+    in_terrain = Window.partitionBy("terrain_type")
+    n = by_name(terrain, quota)
+    n_fire = F.least(F.floor(n / 2), F.count(F.when(F.col("_burned"), 1)).over(in_terrain))
+    chosen = (
+        kept.withColumns(
+            {"_n": F.row_number().over(at_random), "_quota": F.when(F.col("_burned"), n_fire).otherwise(n - n_fire)}
+        )
         .filter(F.col("_n") <= F.col("_quota"))
-        .drop("_n", "_fire", "_quota")
     )
+    none = F.lit(0).cast("long")
+    return chosen.withColumns(
+        {
+            "avg_confidence": F.when(F.col("_dry_water"), 0.0).otherwise(F.col("avg_confidence")),
+            "data_days": F.when(F.col("_dry_water"), none).otherwise(F.col("data_days")),
+        }
+    ).drop("_burned", "_dry_water", "_id_first", "_rank", "_n", "_quota")
 
 
 def pool_cells(

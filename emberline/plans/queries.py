@@ -74,7 +74,8 @@ def valid_fires(spark, d) -> DataFrame:
 
 
 def assignments(spark, d, km=GRID_KM) -> DataFrame:
-    return ip.assign_stations(grid.land_cells(grid.grid_cells(spark, km)), stations(spark, d))
+    """Bounded by five stations per cell, and read for both the spine and the readings: kept as a table."""
+    return reliable_cut(ip.assign_stations(grid.land_cells(grid.grid_cells(spark, km)), stations(spark, d)), "cell_station")
 
 
 def cell_weather(spark, d, km=GRID_KM, mode="idw") -> DataFrame:
@@ -83,7 +84,7 @@ def cell_weather(spark, d, km=GRID_KM, mode="idw") -> DataFrame:
 
 def burned(spark, d, km=GRID_KM) -> DataFrame:
     return fires.burned_lines(
-        fires.fires_from_reports(valid_fires(spark, d)), grid.land_cells(grid.grid_cells(spark, km))
+        fires.fires_from_reports(valid_fires(spark, d)), grid.land_cells(grid.grid_cells(spark, km)), grid.count_cells(km)
     )
 
 

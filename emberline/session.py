@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +25,25 @@ def local_session(cores: str = "*", app: str = "emberline", **extra: str) -> Spa
     return builder.getOrCreate()
 
 
-def reliable_cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and go on from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the session's checkpoint folder, which on a cluster is shared storage.
 
-    The folder is the shared one named by ``spark.checkpoint.dir``, so the rows outlive any executor.
-    Only where that setting is empty (tests on one machine) is a folder of our own used.
+    Only where that setting is empty (tests on one machine) is a folder of our own used, and kept for the session.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberline-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(
+            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberline-checkpoint-")
+        )
+    return context.getCheckpointDir()
+
+
+def reliable_cut(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to a table in the shared folder and go on from its files.
+
+    The rows outlive any executor, are computed once however often they are read, and come back with their true size, by
+    which Spark picks its joins.
+    """
+    path = f"{shared_folder(df.sparkSession)}/emberline-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
