@@ -32,8 +32,10 @@ def with_columns(df: DataFrame, names: tuple[str, ...], default: Column | None =
 
 def drop_sentinel_fires(raw: DataFrame) -> DataFrame:
     """Collector rule: no year, month or day of 0 or -9999; point reports also need both coordinates."""
+    kinds = dict(raw.dtypes)
+
     def number(name):
-        return X.to_number(F.col(name).cast("string"))
+        return X.to_number(F.col(name)) if kinds[name] == "string" else F.col(name)
 
     keep = reduce(
         lambda a, b: a & b,
@@ -58,27 +60,34 @@ def classify_fires(
     df = with_columns(raw, C.FIRE_TEXT_COLUMNS, F.lit(""))
     df = with_columns(df, ("geometry_wkt",), F.lit(""))
 
+    kinds = dict(df.dtypes)
+
     def text(name):
         return F.col(name).cast("string")
 
+    def number(name):
+        return X.to_number(F.col(name)) if kinds[name] == "string" else F.col(name).cast("double")
+
     def unreadable(name):
-        return text(name).isNotNull() & (F.trim(text(name)) != "") & X.to_number(text(name)).isNull()
+        if kinds[name] != "string":
+            return F.lit(False)
+        return F.col(name).isNotNull() & (F.trim(F.col(name)) != "") & number(name).isNull()
 
     def whole(name):
-        value = X.to_number(text(name))
-        return F.when(F.abs(value) < 2e9, F.floor(value)).cast("int")
+        if kinds[name] == "int":
+            return F.col(name)
+        return F.when(F.abs(number(name)) < 2e9, F.floor(number(name))).cast("int")
 
-    numbers = ("LATITUDE", "LONGITUDE", "YEAR", "MONTH", "DAY", "SIZE_HA")
     carried = [c for c in ("source_file", "line_no") if c in df.columns]
     typed = df.select(
         *carried,
         *[F.coalesce(text(c), F.lit("")).alias(c) for c in C.FIRE_TEXT_COLUMNS],
-        X.to_number(text("LATITUDE")).alias("LATITUDE"),
-        X.to_number(text("LONGITUDE")).alias("LONGITUDE"),
+        number("LATITUDE").alias("LATITUDE"),
+        number("LONGITUDE").alias("LONGITUDE"),
         whole("YEAR").alias("YEAR"),
         whole("MONTH").alias("MONTH"),
         whole("DAY").alias("DAY"),
-        F.coalesce(X.to_number(text("SIZE_HA")), F.lit(0.0)).alias("SIZE_HA"),
+        F.coalesce(number("SIZE_HA"), F.lit(0.0)).alias("SIZE_HA"),
         text("geometry_wkt").alias("geometry_wkt"),
         (unreadable("LATITUDE") | unreadable("LONGITUDE")).alias("_bad_place"),
         unreadable("SIZE_HA").alias("_bad_size"),

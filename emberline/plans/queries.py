@@ -11,6 +11,7 @@ from emberline import config as C
 from emberline.functions import exprs as X
 from emberline.operators import features, fires, geo, grid, interpolate as ip, metrics, profile, sampling, validate, weather
 from emberline.plans.adapters import view
+from emberline.plans.workspace import Workspace
 from emberline.session import reliable_cut
 from emberline.sources import station_text
 
@@ -73,81 +74,18 @@ def valid_fires(spark, d) -> DataFrame:
     return validate.valid(validate.classify_fires(raw_fires(spark, d)))
 
 
-def assignments(spark, d, km=GRID_KM) -> DataFrame:
-    """Bounded by five stations per cell, and read for both the spine and the readings: kept as a table."""
-    return reliable_cut(ip.assign_stations(grid.land_cells(grid.grid_cells(spark, km)), stations(spark, d)), "cell_station")
-
-
-def cell_weather(spark, d, km=GRID_KM, mode="idw") -> DataFrame:
-    return ip.interpolate(assignments(spark, d, km), station_weather(spark, d), mode, grid.count_cells(km))
-
-
-def burned(spark, d, km=GRID_KM) -> DataFrame:
-    return fires.burned_lines(
-        fires.fires_from_reports(valid_fires(spark, d)), grid.land_cells(grid.grid_cells(spark, km)), grid.count_cells(km)
+def workspace(spark, d, km=GRID_KM, interpolation="idw") -> Workspace:
+    return Workspace(
+        spark,
+        stations(spark, d),
+        station_weather(spark, d),
+        fires.fires_from_reports(valid_fires(spark, d)),
+        km=km,
+        confidence_min=CONFIDENCE_MIN,
+        interpolation=interpolation,
     )
 
 
-def cell_fire(spark, d, km=GRID_KM) -> DataFrame:
-    return fires.cell_fires(burned(spark, d, km))
-
-
-def burning_days(spark, d) -> DataFrame:
-    return fires.fire_days(cell_fire(spark, d), f"{C.YEAR_FIRST - C.HISTORY_YEARS}-01-01", f"{C.YEAR_LAST}-12-31")
-
-
-def stats(spark, d) -> DataFrame:
-    return sampling.cell_stats(grid.grid_cells(spark, GRID_KM), cell_weather(spark, d), cell_fire(spark, d))
-
-
-def targets(spark, d) -> DataFrame:
-    return sampling.target_cells(stats(spark, d), confidence_min=CONFIDENCE_MIN)
-
-
-class SampleInputs:
-    """What the sample queries need. The target cells are bounded (a quota), and so are their neighbours: both are cut to
-    files once, and weather is then interpolated for these cells only instead of for the whole grid again."""
-
-    def __init__(self, spark, d):
-        self.cells = grid.grid_cells(spark, GRID_KM)
-        self.targets = reliable_cut(targets(spark, d))
-        self.neighbors = reliable_cut(
-            geo.cell_neighbors(
-                self.targets.filter(F.col("terrain_type") != "water").select("cell_id", "center_lat", "center_lon"), self.cells
-            )
-        )
-        self.cell_fire = reliable_cut(cell_fire(spark, d))
-        wanted = (
-            self.targets.select("cell_id")
-            .unionByName(self.neighbors.select(F.col("neighbor_id").alias("cell_id")))
-            .distinct()
-        )
-        near = grid.land_cells(self.cells).join(wanted, "cell_id", "left_semi")
-        self.weather = reliable_cut(
-            ip.interpolate(
-                ip.assign_stations(near, stations(spark, d)), station_weather(spark, d), "idw", grid.count_cells(GRID_KM)
-            ).select("cell_id", "date", "tmax", "tavg", "prcp")
-        )
-        self.days = fires.fire_days(
-            self.cell_fire, f"{C.YEAR_FIRST - C.HISTORY_YEARS}-01-01", f"{C.YEAR_LAST}-12-31"
-        )
-
-    def dates(self, kind: str) -> DataFrame:
-        return sampling.sample_dates(self.targets, self.weather, self.cell_fire, kind)
-
-    def samples(self, kind: str) -> DataFrame:
-        return features.training_samples(
-            self.dates(kind), self.cells, self.weather, self.cell_fire, self.days, self.neighbors
-        )
-
-    def keys(self, kind: str) -> DataFrame:
-        return (
-            features.drop_leap_day(self.dates(kind).filter(F.col("terrain_type") != "water"))
-            .select("cell_id", "target_date")
-            .distinct()
-        )
-
-
 # --- text and validation ---------------------------------------------------------------------------------------------
 
 @query
@@ -324,25 +262,25 @@ def terrain(spark, d):
 
 @query
 def cell_station(spark, d):
-    return tidy(assignments(spark, d))
+    return tidy(workspace(spark, d).assigned)
 
 
 @query
 def interp_idw(spark, d):
-    return tidy(cell_weather(spark, d, DAILY_GRID_KM))
+    return tidy(workspace(spark, d, DAILY_GRID_KM).weather)
 
 
 @query
 def interp_nearest(spark, d):
-    return tidy(cell_weather(spark, d, DAILY_GRID_KM, "nearest"))
+    return tidy(workspace(spark, d, DAILY_GRID_KM, "nearest").weather)
 
 
 @query
 def interp_monthly(spark, d):
     """The 100 km grid, folded to months: days, methods, mean confidence and temperature per cell."""
     return tidy(
-        cell_weather(spark, d)
-        .groupBy("cell_id", "year", "month")
+        workspace(spark, d)
+        .weather.groupBy("cell_id", "year", "month")
         .agg(
             F.count("*").alias("n_days"),
             F.sum("station_count_used").alias("n_reports"),
@@ -366,7 +304,7 @@ def seasonal_defaults(spark, d):
 
 @query
 def weather_summary(spark, d):
-    return tidy(profile.weather_summary(cell_weather(spark, d)))
+    return tidy(profile.weather_summary(workspace(spark, d).weather))
 
 
 @query
@@ -381,38 +319,40 @@ def weather_dates(spark, d):
 
 @query
 def fire_events(spark, d):
-    return tidy(fires.fire_events(burned(spark, d)).withColumn("affected_cells", F.to_json("affected_cells")))
+    events = fires.fire_events(workspace(spark, d).burned_lines)
+    return tidy(events.withColumn("affected_cells", F.to_json("affected_cells")))
 
 
 @query
 def cell_fire_table(spark, d):
-    return tidy(cell_fire(spark, d))
+    return tidy(fires.cell_fires(workspace(spark, d).burned_lines))
 
 
 @query
 def fire_summary(spark, d):
-    b = burned(spark, d)
-    return tidy(profile.fire_summary(fires.fire_events(b), fires.cell_fires(b)))
+    ws = workspace(spark, d)
+    return tidy(profile.fire_summary(ws.events, fires.cell_fires(ws.burned)))
 
 
 @query
 def fire_status(spark, d):
     """Burning flag for every cell that ever burned, on each day of the readings."""
-    cf = cell_fire(spark, d)
+    ws = workspace(spark, d)
     days = view(spark, d, "a_readings").agg(F.collect_set("date")).scalar()
-    keys = cf.select("cell_id").distinct().select("cell_id", F.explode(days).alias("date"))
-    return tidy(fires.fire_status(keys, burning_days(spark, d)))
+    keys = ws.cell_fire.select("cell_id").distinct().select("cell_id", F.explode(days).alias("date"))
+    return tidy(fires.fire_status(keys, ws.fire_days))
 
 
 @query
 def fire_history_cells(spark, d):
-    b = burned(spark, d)
-    return fires.cells_with_history(fires.cell_fires(b), fires.fire_events(b))
+    ws = workspace(spark, d)
+    return fires.cells_with_history(fires.cell_fires(ws.burned), ws.events)
 
 
 @query
 def no_fire_cells(spark, d):
-    return sampling.no_fire_cells(grid.grid_cells(spark, GRID_KM), cell_fire(spark, d)).select("cell_id", "terrain_type")
+    ws = workspace(spark, d)
+    return sampling.no_fire_cells(ws.cells, fires.cell_fires(ws.burned_lines)).select("cell_id", "terrain_type")
 
 
 # --- samples -----------------------------------------------------------------------------------------------------------
@@ -420,8 +360,8 @@ def no_fire_cells(spark, d):
 @query
 def cell_stats(spark, d):
     return tidy(
-        stats(spark, d)
-        .filter(F.col("data_days") >= C.MIN_DAYS_TARGET)
+        workspace(spark, d)
+        .stats.filter(F.col("data_days") >= C.MIN_DAYS_TARGET)
         .select("cell_id", "terrain_type", "avg_confidence", "data_days", "fire_count")
     )
 
@@ -429,61 +369,64 @@ def cell_stats(spark, d):
 @query
 def target_cells(spark, d):
     return tidy(
-        targets(spark, d).select("cell_id", "terrain_type", "is_water", "urban_flag", "avg_confidence", "data_days", "fire_count")
+        workspace(spark, d).targets.select(
+            "cell_id", "terrain_type", "is_water", "urban_flag", "avg_confidence", "data_days", "fire_count"
+        )
     )
 
 
 @query
 def pool_cells(spark, d):
-    chosen = sampling.pool_cells(stats(spark, d), size=500)
+    chosen = sampling.pool_cells(workspace(spark, d).stats, size=500)
     return tidy(sampling.random_order(chosen, "cell_id").select("cell_id", "terrain_type", "data_days", "avg_confidence"))
 
 
 @query
 def sample_dates(spark, d):
-    inputs = SampleInputs(spark, d)
-    parts = [inputs.dates(kind).withColumn("kind", F.lit(kind)) for kind in ("train", "test")]
+    ws = workspace(spark, d)
+    parts = [ws.dates(kind).withColumn("kind", F.lit(kind)) for kind in ("train", "test")]
     return tidy(reduce(DataFrame.unionByName, parts))
 
 
 @query
 def cell_neighbors(spark, d):
-    burning = cell_fire(spark, d).select("cell_id").distinct()
-    cells = grid.grid_cells(spark, GRID_KM)
-    return tidy(geo.cell_neighbors(cells.join(burning, "cell_id", "left_semi"), cells))
+    ws = workspace(spark, d)
+    burning = ws.cell_fire.select("cell_id").distinct()
+    return tidy(geo.cell_neighbors(ws.cells.join(burning, "cell_id", "left_semi"), ws.cells))
 
 
 @query
 def yearly_features(spark, d):
-    inputs = SampleInputs(spark, d)
-    return tidy(features.yearly_features(inputs.keys("train"), inputs.weather, inputs.days))
+    ws = workspace(spark, d)
+    return tidy(features.yearly_features(ws.sample_keys("train"), ws.sample_weather, ws.fire_days))
 
 
 @query
 def neighbor_features(spark, d):
-    inputs = SampleInputs(spark, d)
-    return tidy(features.neighbor_features(inputs.keys("train"), inputs.neighbors, inputs.weather, inputs.days))
+    ws = workspace(spark, d)
+    return tidy(features.neighbor_features(ws.sample_keys("train"), ws.neighbors, ws.sample_weather, ws.fire_days))
 
 
 @query
 def cell_features(spark, d):
-    return tidy(features.cell_features(grid.grid_cells(spark, GRID_KM), cell_fire(spark, d)))
+    ws = workspace(spark, d)
+    return tidy(features.cell_features(ws.cells, fires.cell_fires(ws.burned_lines)))
 
 
 @query
 def training_samples(spark, d):
-    return tidy(SampleInputs(spark, d).samples("train"))
+    return tidy(workspace(spark, d).samples("train"))
 
 
 @query
 def dataset_metadata(spark, d):
-    inputs = SampleInputs(spark, d)
-    return profile.dataset_metadata(reliable_cut(inputs.samples("train")), inputs.samples("test"))
+    ws = workspace(spark, d)
+    return profile.dataset_metadata(reliable_cut(ws.samples("train"), "train"), ws.samples("test"))
 
 
 @query
 def feature_profile(spark, d):
-    return tidy(profile.feature_profile(SampleInputs(spark, d).samples("train"), *C.FEATURE_COLUMNS))
+    return tidy(profile.feature_profile(workspace(spark, d).samples("train"), *C.FEATURE_COLUMNS))
 
 
 @query
@@ -546,9 +489,9 @@ def gbt_scores(spark, d):
     """Train on the training samples and score the test samples (rows only: trees have no SQL twin)."""
     from emberline.operators.model import train
 
-    inputs = SampleInputs(spark, d)
-    fitted = train(reliable_cut(inputs.samples("train")), C.ModelConfig(max_depth=4, n_estimators=8, seed=C.SAMPLE_SEED))
-    return tidy(fitted.score(inputs.samples("test")))
+    ws = workspace(spark, d)
+    fitted = train(reliable_cut(ws.samples("train"), "train"), C.ModelConfig(max_depth=4, n_estimators=8, seed=C.SAMPLE_SEED))
+    return tidy(fitted.score(ws.samples("test")))
 
 
 @query
@@ -556,8 +499,8 @@ def search_history(spark, d):
     """A small search over the samples (rows only)."""
     from emberline.operators.search import search
 
-    inputs = SampleInputs(spark, d)
+    ws = workspace(spark, d)
     settings = C.SearchConfig(population_size=3, max_generations=2, elite_count=2, default_members=1)
-    train, test = reliable_cut(inputs.samples("train")), reliable_cut(inputs.samples("test"))
+    train, test = reliable_cut(ws.samples("train"), "train"), reliable_cut(ws.samples("test"), "test")
     quick = dict(C.SEARCH_SPACE, n_estimators=(4, 8, 2, True), max_depth=(3, 5, 1, True))
     return tidy(search(train, test, settings, space=quick).history_table(spark).drop("seconds"))
