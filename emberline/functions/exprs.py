@@ -158,31 +158,29 @@ def confidence(stations_used: Column, nearest_km: Column) -> Column:
     ).otherwise(F.lit(0.1))
 
 
-def _inside(lat: Column, lon: Column, box: tuple) -> Column:
-    lat_min, lat_max, lon_min, lon_max = box
-    tests = [
-        None if lat_min is None else lat >= lat_min,
-        None if lat_max is None else lat <= lat_max,
-        None if lon_min is None else lon >= lon_min,
-        None if lon_max is None else lon <= lon_max,
-    ]
-    return reduce(lambda a, b: a & b, [t for t in tests if t is not None])
+def _inside_any(lat: str, lon: str, boxes: tuple) -> str:
+    """SQL text of "the point is in one of the boxes"; text, because a few dozen Column calls per use add up."""
+    def one(box):
+        sides = zip((f"{lat} >=", f"{lat} <=", f"{lon} >=", f"{lon} <="), box)
+        return "(" + " AND ".join(f"{side} {float(limit)}D" for side, limit in sides if limit is not None) + ")"
 
+    return "(" + " OR ".join(one(box) for box in boxes) + ")"
 
-def in_water(lat: Column, lon: Column) -> Column:
-    return reduce(lambda a, b: a | b, [_inside(lat, lon, box) for box in C.WATER_BOXES])
 
+def in_water(lat: str, lon: str) -> Column:
+    return F.expr(_inside_any(lat, lon, C.WATER_BOXES))
 
-def in_urban(lat: Column, lon: Column) -> Column:
-    return reduce(lambda a, b: a | b, [_inside(lat, lon, box) for box in C.URBAN_BOXES])
 
+def in_urban(lat: str, lon: str) -> Column:
+    return F.expr(_inside_any(lat, lon, C.URBAN_BOXES))
 
-def terrain_type(lat: Column, lon: Column) -> Column:
+
+def terrain_type(lat: str, lon: str) -> Column:
     """Urban beats water, water beats forest, the rest is land."""
     return (
         F.when(in_urban(lat, lon), "urban")
         .when(in_water(lat, lon), "water")
-        .when(lat >= C.FOREST_LAT_MIN, "forest")
+        .when(F.col(lat) >= C.FOREST_LAT_MIN, "forest")
         .otherwise("land")
     )
 

@@ -48,7 +48,7 @@ def grid_of_regions(regions: DataFrame, km: float) -> DataFrame:
 
 
 def with_terrain(cells: DataFrame) -> DataFrame:
-    lat, lon = F.col("center_lat"), F.col("center_lon")
+    lat, lon = "center_lat", "center_lon"
     return cells.withColumns(
         {
             "terrain_type": X.terrain_type(lat, lon),

@@ -39,12 +39,12 @@ class Workspace:
         self.temporal_split, self.dedupe_fires, self.neighbor_lag_years = temporal_split, dedupe_fires, neighbor_lag_years
         self.cell_bound = grid.count_cells(km, bounds)
 
-    @property
+    @cached_property
     def cells(self) -> DataFrame:
         """Generated from parameters without a shuffle, so cheaper to repeat than to store."""
         return grid.grid_cells(self.spark, self.km, self.bounds)
 
-    @property
+    @cached_property
     def land(self) -> DataFrame:
         return grid.land_cells(self.cells)
 
@@ -58,12 +58,12 @@ class Workspace:
         """At most five rows per cell, read for the spine and for the readings."""
         return reliable_cut(ip.assign_stations(self.land, self.stations), "cell_station")
 
-    @property
+    @cached_property
     def weather(self) -> DataFrame:
         """Every cell and day; lazy, so that a reader of few columns computes few columns."""
         return ip.interpolate(self.assigned, self.station_weather, self.interpolation, self.cell_bound)
 
-    @property
+    @cached_property
     def burned_lines(self) -> DataFrame:
         return fires.burned_lines(self.fire_reports, self.land, self.cell_bound)
 

@@ -18,6 +18,7 @@ def local_session(cores: str = "*", app: str = "emberline", **extra: str) -> Spa
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in extra.items():
