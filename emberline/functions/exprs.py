@@ -8,10 +8,6 @@ from pyspark.sql import Column, functions as F
 
 from emberline import config as C
 
-NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-INTEGER_PATTERN = r"^[+-]?[0-9]+$"
-
-
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -19,14 +15,15 @@ def _col(c: Column | str) -> Column:
 # --- text to value -----------------------------------------------------------------------------------------------
 
 def to_number(text: Column | str) -> Column:
-    """Text to double; null where the text is not a plain decimal number."""
+    """Text to double; null where the text is not a number (a Java type suffix does not make one)."""
     t = F.trim(_col(text))
-    return F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
+    return F.when(~F.substring(t, -1, 1).isin("d", "D", "f", "F"), t.try_cast("double"))
 
 
 def to_integer(text: Column | str) -> Column:
+    """Text to whole number; null where the text is anything else."""
     t = F.trim(_col(text))
-    return F.when(t.rlike(INTEGER_PATTERN), t.try_cast("int"))
+    return F.when(~t.contains("."), t.try_cast("int"))
 
 
 def fixed_field(line: Column | str, start: int, stop: int) -> Column:
@@ -63,22 +60,21 @@ def wkt_known(wkt: Column | str) -> Column:
 
 
 def reading_in_range(element: Column, value: Column) -> Column:
+    """Whether a reading lies in the range of its element; elements with one range share one test."""
+    by_range: dict[tuple, list[str]] = {}
+    for name, limits in C.ELEMENT_RANGE.items():
+        by_range.setdefault(limits, []).append(name)
     return reduce(
-        lambda chain, item: chain.when(element == item[0], value.between(*item[1])),
-        list(C.ELEMENT_RANGE.items())[1:],
-        F.when(element == C.ELEMENTS[0], value.between(*C.ELEMENT_RANGE[C.ELEMENTS[0]])),
-    ).otherwise(F.lit(True))
+        lambda a, b: a | b, [element.isin(*names) & value.between(*limits) for limits, names in by_range.items()]
+    )
 
 
 # --- weather -----------------------------------------------------------------------------------------------------
 
 def clean_reading(element: Column, text: Column) -> Column:
-    """Raw daily value to a reading: missing mark dropped, tenths scaled, out-of-range values dropped."""
-    raw = to_number(text)
-    value = F.when(raw == C.MISSING_VALUE, None).when(
-        element.isin(*C.TENTHS_ELEMENTS), raw / F.lit(10.0)
-    ).otherwise(raw)
-    return F.when(reading_in_range(element, value), value)
+    """Raw daily value to a reading: missing mark dropped, tenths scaled. The range is tested apart."""
+    scale = F.when(element.isin(*C.TENTHS_ELEMENTS), 10.0).otherwise(1.0)
+    return F.nullif(to_number(text), F.lit(C.MISSING_VALUE)) / scale
 
 
 def elevation_m(text: Column) -> Column:

@@ -53,8 +53,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
  ELSE 'SNWD' END AS element,
  CASE (l_linenumber * 3 + l_partkey) % 5 WHEN 1 THEN l_quantity - 40.0e0 ELSE l_quantity END AS value,
  CASE WHEN l_returnflag = 'R' THEN 'I' ELSE 'C' END AS quality,
- cast(cast(l_orderkey * 10 + l_linenumber AS decimal(20,0)) * cast(1000000000 AS decimal(10,0))
- + cast(round(l_extendedprice * 100.0e0) AS decimal(10,0)) AS decimal(38,0)) AS line_no FROM {lineitem}""",
+ (l_orderkey * 10 + l_linenumber) * 100000 + cast(floor(l_extendedprice) AS bigint) % 100000 AS line_no FROM {lineitem}""",
     # Fire reports with every kind of fault.
     "a_fires": """SELECT concat('F', cast(o_orderkey - CASE WHEN o_orderkey % 15 = 0 THEN 1 ELSE 0 END AS string)) AS fire_id,
  o_orderkey AS line_no, 41.0e0 + (o_custkey * 53 % 200) / 10.0e0 AS latitude,

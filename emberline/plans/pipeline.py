@@ -136,7 +136,7 @@ def workspace_of(spark: SparkSession, out: str, **options) -> Workspace:
     typed = reports.withColumns(
         {
             **{c: F.col(c).cast("double") for c in ("LATITUDE", "LONGITUDE", "SIZE_HA")},
-            "line_no": F.col("line_no").cast("decimal(38,0)"),
+            "line_no": F.col("line_no").cast("long"),
         }
     )
     return Workspace(

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline import config as C
+from emberline.sources.station_text import line_order
 
 
 def fire_file_paths(spark: SparkSession, folder: str) -> list[str]:
@@ -46,14 +47,11 @@ def read_fire_files(
             .option("mode", "PERMISSIVE")
             .csv(group)
         )
-        line_no = (F.col("_metadata.file_block_start").cast("decimal(38,0)") * F.lit(1 << 34).cast("decimal(11,0)")).cast(
-            "decimal(38,0)"
-        ) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
         parts.append(
             scan.select(
                 "*",
                 F.col("_metadata.file_path").alias("source_file"),
-                line_no.cast("decimal(38,0)").alias("line_no"),
+                line_order().alias("line_no"),
             )
         )
     if not parts:

@@ -6,25 +6,26 @@ first rule it breaks in ``reject``; ``emberline.operators.validate`` splits the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberline import config as C
 from emberline.functions import exprs as X
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Text lines with the file they come from and a key that follows the order of lines within each file.
+def line_order() -> Column:
+    """A number that grows along the lines of each file, also when Spark cuts the file into several splits.
 
-    The key joins the byte offset of the file block with the row's position in it, so it stays right when Spark cuts
-    one file into several splits.
+    High bits: the split's start in megabytes (splits are larger than that); low 33 bits: the row's position in its task.
     """
     position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    offset = F.col("_metadata.file_block_start").cast("decimal(38,0)")
-    line_no = (offset * F.lit(1 << 34).cast("decimal(11,0)")).cast("decimal(38,0)") + position
+    split = F.shiftright(F.col("_metadata.file_block_start"), 20)
+    return F.shiftleft(split, 33) + position
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Text lines with the file they come from and their order."""
     return spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("source_file"),
-        line_no.cast("decimal(38,0)").alias("line_no"),
+        "value", F.col("_metadata.file_path").alias("source_file"), line_order().alias("line_no")
     )
 
 
@@ -146,9 +147,7 @@ def parse_daily(
 
         def reading(day):
             return F.struct(
-                day.alias("day"),
-                F.col("_tokens")[day * 2 - 2].alias("raw"),
-                F.col("_tokens")[day * 2 - 1].alias("quality"),
+                day.alias("day"), F.col("_tokens")[day * 2 - 2].alias("raw"), F.col("_tokens")[day * 2 - 1].alias("quality")
             )
 
         def complete(r):
@@ -162,26 +161,31 @@ def parse_daily(
                 day.alias("day"),
                 F.substring("tail", start, F.lit(5)).alias("raw"),
                 F.substring("tail", start + 7, F.lit(1)).alias("quality"),
-                F.trim(F.substring("tail", start + 6, F.lit(1))).alias("quality_flag"),
+                F.substring("tail", start + 6, F.lit(1)).alias("quality_flag"),
             )
 
         def complete(r):
-            return (r["quality"] == C.COMPLETE_FLAG) & (r["quality_flag"] == "")
+            return (r["quality"] == C.COMPLETE_FLAG) & (r["quality_flag"].isin("", " "))
     else:
         raise ValueError(f"unknown daily parse mode: {mode}")
 
-    days = F.when(last >= 1, F.filter(F.transform(F.sequence(F.lit(1), last), reading), complete))
+    # Everything happens inside the array of the line: only accepted readings become rows, and no filter above has to
+    # evaluate a value again.
+    element = F.col("element")
+    complete_days = F.filter(F.transform(F.sequence(F.lit(1), last), reading), complete)
+    values = F.transform(
+        complete_days,
+        lambda r: F.struct(r["day"].alias("day"), X.clean_reading(element, r["raw"]).alias("value"), r["quality"].alias("quality")),
+    )
+    accepted = F.filter(values, lambda r: X.reading_in_range(element, r["value"]))
     keys = [c for c in ("source_file", "line_no") if c in lines.columns]
-    value = X.clean_reading(F.col("element"), F.col("r.raw"))
-    return (
-        head.select(*keys, "station_id", "year", "month", "element", F.explode(days).alias("r"))
-        .select(
-            *keys,
-            "station_id",
-            F.make_date("year", "month", F.col("r.day")).alias("date"),
-            "element",
-            value.alias("value"),
-            F.col("r.quality").alias("quality"),
-        )
-        .filter(F.col("value").isNotNull())
+    return head.select(
+        *keys, "station_id", "year", "month", "element", F.explode(F.when(last >= 1, accepted)).alias("r")
+    ).select(
+        *keys,
+        "station_id",
+        F.make_date("year", "month", F.col("r.day")).alias("date"),
+        "element",
+        F.col("r.value").alias("value"),
+        F.col("r.quality").alias("quality"),
     )
