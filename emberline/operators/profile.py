@@ -72,7 +72,7 @@ def class_balance(df: DataFrame, label: str = "fire_occurred", cap: float = 5.0)
     """Positives, rate, a warning below 5 % or above 50 %, and the capped weight of a positive row."""
     y = F.col(label)
     rate = F.col("positives") / F.col("total")
-    weight = F.least((F.col("total") - F.col("positives")) / F.nullif("positives", F.lit(0)), F.lit(cap))
+    ratio = F.try_divide(F.col("total") - F.col("positives"), F.col("positives"))
     return (
         df.agg(F.count("*").alias("total"), F.count(F.when(y > 0, 1)).alias("positives"))
         .withColumns(
@@ -80,7 +80,7 @@ def class_balance(df: DataFrame, label: str = "fire_occurred", cap: float = 5.0)
                 "negatives": F.col("total") - F.col("positives"),
                 "fire_rate": F.try_divide(F.col("positives"), F.col("total")),
                 "balance": F.when(rate < 0.05, "low").when(rate > 0.5, "high").otherwise("ok"),
-                "positive_weight": F.coalesce(weight, F.lit(1.0)),
+                "positive_weight": F.when(F.col("positives") > 0, F.least(ratio, F.lit(cap))).otherwise(F.lit(1.0)),
             }
         )
     )
