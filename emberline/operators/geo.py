@@ -14,6 +14,11 @@ METRICS = {"euclid": X.euclid_degrees, "manhattan": X.manhattan_degrees}
 # level doubles it up to 512 degrees, wider than the globe.
 LEAF_EXPONENT = 14
 LEVELS = 24
+AROUND_BINS = 25
+QUERY_BYTES = 80
+
+BIN_BYTES = 32
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 # Rows of one bin beyond which it is split over several join keys.
 SPLIT_ROWS = 20_000
@@ -64,6 +69,10 @@ def bin_join(
         .filter(F.col("_n") > split_rows)
         .select("by", "bx", F.ceil(F.col("_n") / F.lit(split_rows)).cast("int").alias("_parts"))
     )
+    # One row per crowded bin: the globe has a fixed number of bins, which proves when this table is small. Rows then learn
+    # their parts where they are, before any shuffle by bin.
+    if (180.0 / lat_bin + 1) * (360.0 / lon_bin + 1) * BIN_BYTES <= BROADCAST_BYTES:
+        crowded = F.broadcast(crowded)
     parts = F.coalesce("_parts", F.lit(1))
     right_keyed = right_binned.join(crowded, ["by", "bx"], "left").select(
         "by", "bx", F.pmod(F.xxhash64("r"), parts).cast("int").alias("part"), "r"
@@ -95,6 +104,7 @@ def nearest_k(
     k: int,
     metric: str = "euclid",
     skip_self: bool = False,
+    query_bound: int | None = None,
 ) -> DataFrame:
     """The k nearest points of every query by a degree metric: (query, point, degrees, rank).
 
@@ -106,6 +116,9 @@ def nearest_k(
     them. Only those bins are joined. Dense areas thereby use small bins and empty areas large ones, and no query meets
     all points. Points at one and the same place are cut to the lowest k ids first, which cannot change a result,
     so copies of one position never pile up in a bin.
+
+    ``query_bound`` is a proven limit on the number of queries. When it is small, the queries' bins are broadcast, and points
+    far from all queries drop out where they are read.
     """
     need = k + 1 if skip_self else k
     distance_of = METRICS[metric]
@@ -124,20 +137,19 @@ def nearest_k(
 
     at_level = [F.expr("shiftright(iy, lvl)").alias("by"), F.expr("shiftright(ix, lvl)").alias("bx")]
     all_levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("lvl")
+    few_queries = query_bound is not None and query_bound * AROUND_BINS * QUERY_BYTES <= BROADCAST_BYTES
+    asked_bins = asked.select("iy", "ix").distinct().select("iy", "ix", all_levels).select("iy", "ix", "lvl", *at_level)
+    counted = places.select("iy", "ix", all_levels).select("lvl", *at_level)
+    if few_queries:
+        counted = counted.join(F.broadcast(asked_bins.select("lvl", "by", "bx").distinct()), ["lvl", "by", "bx"], "left_semi")
     filled = (
-        places.select("iy", "ix", all_levels)
-        .select("lvl", *at_level)
-        .groupBy("lvl", "by", "bx")
+        counted.groupBy("lvl", "by", "bx")
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= need)
         .drop("n")
     )
     chosen = (
-        asked.select("iy", "ix")
-        .distinct()
-        .select("iy", "ix", all_levels)
-        .select("iy", "ix", "lvl", *at_level)
-        .join(filled, ["lvl", "by", "bx"])
+        asked_bins.join(filled, ["lvl", "by", "bx"])
         .groupBy("iy", "ix")
         .agg(F.min("lvl").alias("lvl"))
     )
@@ -161,7 +173,7 @@ def nearest_k(
         F.struct("id", "lat", "lon").alias("p"), "lvl", *at_level
     )
     degrees = F.round(distance_of(F.col("q.lat"), F.col("q.lon"), F.col("p.lat"), F.col("p.lon")), 9)
-    close = looking.join(offered, ["lvl", "by", "bx"])
+    close = offered.join(F.broadcast(looking) if few_queries else looking, ["lvl", "by", "bx"])
     if skip_self:
         close = close.filter(F.col("q.id") != F.col("p.id"))
     order = Window.partitionBy("query_id").orderBy("degrees", "point_id")
@@ -196,12 +208,14 @@ def station_neighbors(
     ).filter(F.col("distance_km") < limit_km)
 
 
-def cell_neighbors(targets: DataFrame, cells: DataFrame, k: int = C.CELL_NEIGHBORS) -> DataFrame:
+def cell_neighbors(
+    targets: DataFrame, cells: DataFrame, k: int = C.CELL_NEIGHBORS, target_bound: int | None = None
+) -> DataFrame:
     """The k nearest cells of each target cell by summed degree differences, over all terrains."""
     def points(df):
         return df.select(F.col("cell_id").alias("id"), F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon"))
 
-    return nearest_k(points(targets), points(cells), k, "manhattan", skip_self=True).select(
+    return nearest_k(points(targets), points(cells), k, "manhattan", True, target_bound).select(
         F.col("query_id").alias("cell_id"), F.col("point_id").alias("neighbor_id"), "degrees", "rank"
     )
 

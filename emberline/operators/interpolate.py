@@ -22,13 +22,16 @@ ASSIGNMENT_BYTES = 64
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def assign_stations(cells: DataFrame, stations: DataFrame, prefilter: int = C.STATIONS_PREFILTER) -> DataFrame:
+def assign_stations(
+    cells: DataFrame, stations: DataFrame, prefilter: int = C.STATIONS_PREFILTER, cell_bound: int | None = None
+) -> DataFrame:
     """Stations used by each cell: the ten nearest by degrees, ranked by great-circle distance, of which the nearest
     1, 3 or 5 are kept. Both rankings share one partitioning by cell, so the second costs no shuffle."""
     found = nearest_k(
         cells.select(F.col("cell_id").alias("id"), F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon")),
         stations.select(F.col("station_id").alias("id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")),
         prefilter,
+        query_bound=cell_bound,
     )
     km = X.haversine_km(F.col("query_lat"), F.col("query_lon"), F.col("point_lat"), F.col("point_lon"))
     ranked = found.select("query_id", "point_id", km.alias("dist_km")).withColumn("_km", F.round("dist_km", 6))
@@ -54,11 +57,23 @@ def assign_stations(cells: DataFrame, stations: DataFrame, prefilter: int = C.ST
     )
 
 
+def assignments_are_small(cell_bound: int | None) -> bool:
+    return cell_bound is not None and cell_bound * STATIONS_PER_CELL * ASSIGNMENT_BYTES <= BROADCAST_BYTES
+
+
+def used_stations(weather: DataFrame, assignments: DataFrame, cell_bound: int | None = None) -> DataFrame:
+    """Rows (readings or wide) of stations that some cell uses. Applied to the readings, all other stations drop out where
+    they are scanned, before the pivot shuffles anything; at most five stations per cell remain."""
+    used = assignments.select("station_id").distinct()
+    return weather.join(F.broadcast(used) if assignments_are_small(cell_bound) else used, "station_id", "left_semi")
+
+
 def interpolate(
     assignments: DataFrame,
     weather: DataFrame,
     mode: str = "idw",
     cell_bound: int | None = None,
+    days: DataFrame | None = None,
 ) -> DataFrame:
     """Weather of every assigned cell on every day that any station reports.
 
@@ -69,7 +84,8 @@ def interpolate(
     Readings meet the assignments on the station key first, are folded to one row per cell and day (fixed-width
     buffers, combined before the shuffle), and only then join the cell x day spine on that same key. ``cell_bound`` is the
     cell count known from the grid's parameters: when it proves the assignment table small, the table is broadcast and
-    the readings are never shuffled by station, so a station with very many readings does no harm.
+    the readings are never shuffled by station. ``days`` gives the days (a ``date`` column) when ``weather`` is already
+    cut down to the stations in use.
     """
     used = assignments.select("cell_id", "station_id", "dist_km", "rnk")
     if mode == "nearest":
@@ -77,7 +93,7 @@ def interpolate(
     elif mode != "idw":
         raise ValueError(f"unknown interpolation mode: {mode}")
     used = used.select("cell_id", "station_id", "dist_km")
-    if cell_bound is not None and cell_bound * STATIONS_PER_CELL * ASSIGNMENT_BYTES <= BROADCAST_BYTES:
+    if assignments_are_small(cell_bound):
         used = F.broadcast(used)
     readings = weather.select("station_id", "date", *MIXED_MEASURES)
 
@@ -97,9 +113,9 @@ def interpolate(
         .agg(rows.cast("int").alias("n_used"), *[mixed(m) for m in MIXED_MEASURES])
     )
     # Distinct days are bounded by the calendar, so the list of them fits a scalar.
-    days = weather.agg(F.array_sort(F.collect_set("date"))).scalar()
+    day_list = (weather if days is None else days).agg(F.array_sort(F.collect_set("date"))).scalar()
     spine = assignments.filter(F.col("rnk") == 1).select(
-        "cell_id", "primary_station", "primary_distance", F.explode(days).alias("date")
+        "cell_id", "primary_station", "primary_distance", F.explode(day_list).alias("date")
     )
     joined = spine.join(reported, ["cell_id", "date"], "left")
 

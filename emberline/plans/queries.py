@@ -78,11 +78,12 @@ def workspace(spark, d, km=GRID_KM, interpolation="idw") -> Workspace:
     return Workspace(
         spark,
         stations(spark, d),
-        station_weather(spark, d),
+        None,
         fires.fires_from_reports(valid_fires(spark, d)),
         km=km,
         confidence_min=CONFIDENCE_MIN,
         interpolation=interpolation,
+        readings=weather.accept_readings(view(spark, d, "a_readings")),
     )
 
 

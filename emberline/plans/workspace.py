@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline import config as C
-from emberline.operators import features, fires, geo, grid, interpolate as ip, sampling
+from emberline.operators import features, fires, geo, grid, interpolate as ip, sampling, weather
 from emberline.session import reliable_cut
 
 
@@ -20,7 +20,7 @@ class Workspace:
         self,
         spark: SparkSession,
         stations: DataFrame,
-        station_weather: DataFrame,
+        station_weather: DataFrame | None,
         fire_reports: DataFrame,
         km: float = 10.0,
         bounds: C.Bounds = C.SOUTHERN_CANADA,
@@ -29,12 +29,16 @@ class Workspace:
         temporal_split: bool = False,
         dedupe_fires: bool = False,
         neighbor_lag_years: int = 0,
+        readings: DataFrame | None = None,
     ):
-        """``stations``: station_id, latitude, longitude. ``station_weather``: enriched wide rows. ``fire_reports``: valid fires
-        as ``fires.fires_from_reports`` names them."""
+        """``stations``: station_id, latitude, longitude. ``fire_reports``: valid fires as ``fires.fires_from_reports`` names
+        them. Weather comes either as ``station_weather``, enriched wide rows, or as accepted ``readings`` in long form, which
+        are then pivoted here, after the readings of stations that no cell uses are gone."""
         self.spark, self.km, self.bounds = spark, km, bounds
         self.stations, self.fire_reports = stations, fire_reports
-        self._station_weather = station_weather
+        self._station_weather, self._readings = station_weather, readings
+        # The days any station reports; read off the readings, this needs no pivot.
+        self.days = (station_weather if readings is None else readings).select("date")
         self.confidence_min, self.interpolation = confidence_min, interpolation
         self.temporal_split, self.dedupe_fires, self.neighbor_lag_years = temporal_split, dedupe_fires, neighbor_lag_years
         self.cell_bound = grid.count_cells(km, bounds)
@@ -50,18 +54,23 @@ class Workspace:
 
     @cached_property
     def station_weather(self) -> DataFrame:
-        """The wide readings as a table: interpolated more than once, and the source of the list of days."""
-        return reliable_cut(self._station_weather, "station_weather")
+        """The wide readings of the stations in use, as a table: at most five stations per cell, interpolated more than once."""
+        if self._readings is None:
+            rows = ip.used_stations(self._station_weather, self.assigned, self.cell_bound)
+        else:
+            kept = ip.used_stations(self._readings, self.assigned, self.cell_bound)
+            rows = weather.enrich(weather.weather_wide(kept))
+        return reliable_cut(rows, "station_weather")
 
     @cached_property
     def assigned(self) -> DataFrame:
         """At most five rows per cell, read for the spine and for the readings."""
-        return reliable_cut(ip.assign_stations(self.land, self.stations), "cell_station")
+        return reliable_cut(ip.assign_stations(self.land, self.stations, cell_bound=self.cell_bound), "cell_station")
 
     @cached_property
     def weather(self) -> DataFrame:
         """Every cell and day; lazy, so that a reader of few columns computes few columns."""
-        return ip.interpolate(self.assigned, self.station_weather, self.interpolation, self.cell_bound)
+        return ip.interpolate(self.assigned, self.station_weather, self.interpolation, self.cell_bound, self.days)
 
     @cached_property
     def burned_lines(self) -> DataFrame:
@@ -96,7 +105,7 @@ class Workspace:
     @cached_property
     def neighbors(self) -> DataFrame:
         asked = self.targets.filter(F.col("terrain_type") != "water").select("cell_id", "center_lat", "center_lon")
-        return reliable_cut(geo.cell_neighbors(asked, self.cells), "neighbors")
+        return reliable_cut(geo.cell_neighbors(asked, self.cells, target_bound=C.TARGET_CELLS), "neighbors")
 
     @cached_property
     def sample_weather(self) -> DataFrame:
@@ -107,7 +116,7 @@ class Workspace:
             .distinct()
         )
         near = self.assigned.join(wanted, "cell_id", "left_semi")
-        rows = ip.interpolate(near, self.station_weather, self.interpolation, self.cell_bound)
+        rows = ip.interpolate(near, self.station_weather, self.interpolation, self.cell_bound, self.days)
         return reliable_cut(rows.select("cell_id", "date", "tmax", "tavg", "prcp"), "sample_weather")
 
     def dates(self, kind: str) -> DataFrame:

@@ -13,14 +13,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_daily_text(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Pass-through of daily lines, one folder per station.
 
-    Repartitioning by station and part keeps the number of files near the number of stations while a station that holds
-    a large share of all lines is still written by several tasks.
+    The rebalance hint gathers a station's lines for few files, and lets adaptive execution cut a station that holds a large
+    share of all lines into tasks of the advisory size.
     """
     station = F.trim(F.substring("value", 1, 11))
-    part = F.pmod(F.xxhash64("value"), F.lit(8))
     (
         lines.select("value", station.alias("station_id"))
-        .repartition("station_id", part)
+        .hint("rebalance", F.col("station_id"))
         .write.mode(mode)
         .partitionBy("station_id")
         .text(path)
@@ -32,12 +31,17 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_weather(df: DataFrame, path: str, key: str = "cell_id", mode: str = "overwrite") -> None:
-    """Weather tables: one folder per year (dates prune folders), rows clustered by key and day inside the files so that
-    row-group statistics serve look-ups by cell. ``repartition`` on (year, hash bucket of key) bounds the files per year
-    and spreads a key that reports far more than the others over its years."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(64))
+    """Weather tables: one folder per year (dates prune folders), rows sorted by key and day inside the files.
+
+    Rows are rebalanced by year and block of keys: neighbouring cells share files, so row-group statistics serve look-ups by
+    cell, and adaptive execution joins small blocks and cuts large ones to the advisory size, whatever the table's size.
+    """
+    is_text = dict(df.dtypes)[key] == "string"
+    block = F.pmod(F.xxhash64(key), F.lit(1024)) if is_text else F.floor(F.col(key) / F.lit(1000))
     (
-        df.repartition("year", bucket)
+        df.withColumn("_block", block)
+        .hint("rebalance", F.col("year"), F.col("_block"))
+        .drop("_block")
         .sortWithinPartitions("year", key, "date")
         .write.mode(mode)
         .partitionBy("year")
