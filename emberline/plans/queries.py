@@ -79,7 +79,7 @@ def workspace(spark, d, km=GRID_KM, interpolation="idw") -> Workspace:
         spark,
         stations(spark, d),
         None,
-        fires.fires_from_reports(valid_fires(spark, d)),
+        lambda: fires.fires_from_reports(valid_fires(spark, d)),
         km=km,
         confidence_min=CONFIDENCE_MIN,
         interpolation=interpolation,

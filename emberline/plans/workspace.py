@@ -6,6 +6,7 @@ read back, as the stages of a batch pipeline hand tables to each other; large on
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,7 +22,7 @@ class Workspace:
         spark: SparkSession,
         stations: DataFrame,
         station_weather: DataFrame | None,
-        fire_reports: DataFrame,
+        fire_reports: DataFrame | Callable[[], DataFrame],
         km: float = 10.0,
         bounds: C.Bounds = C.SOUTHERN_CANADA,
         confidence_min: dict[str, float] | None = None,
@@ -32,10 +33,10 @@ class Workspace:
         readings: DataFrame | None = None,
     ):
         """``stations``: station_id, latitude, longitude. ``fire_reports``: valid fires as ``fires.fires_from_reports`` names
-        them. Weather comes either as ``station_weather``, enriched wide rows, or as accepted ``readings`` in long form, which
+        them, or a function that builds them when they are first needed. Weather comes either as ``station_weather``, enriched wide rows, or as accepted ``readings`` in long form, which
         are then pivoted here, after the readings of stations that no cell uses are gone."""
         self.spark, self.km, self.bounds = spark, km, bounds
-        self.stations, self.fire_reports = stations, fire_reports
+        self.stations, self._fire_reports = stations, fire_reports
         self._station_weather, self._readings = station_weather, readings
         # The days any station reports; read off the readings, this needs no pivot.
         self.days = (station_weather if readings is None else readings).select("date")
@@ -52,6 +53,10 @@ class Workspace:
     def land(self) -> DataFrame:
         return grid.land_cells(self.cells)
 
+    @cached_property
+    def fire_reports(self) -> DataFrame:
+        return self._fire_reports() if callable(self._fire_reports) else self._fire_reports
+
     @cached_property
     def station_weather(self) -> DataFrame:
         """The wide readings of the stations in use, as a table: at most five stations per cell, interpolated more than once."""
