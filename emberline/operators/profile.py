@@ -107,14 +107,13 @@ def distinct_dates(weather: DataFrame) -> DataFrame:
 
 
 def fire_summary(events: DataFrame, cell_fire: DataFrame) -> DataFrame:
-    """Events and burned area, relations and cells touched, one row per table."""
-    left = events.agg(F.count("*").alias("n_rows"), F.sum("total_size_ha").alias("total_ha")).select(
-        F.lit("fire_events").alias("table_name"), "n_rows", "total_ha", F.lit(None).cast("long").alias("n_cells")
+    """Events and burned area, relations and cells touched, in one row."""
+    relations = cell_fire.agg(
+        F.struct(F.count("*").alias("n_relations"), F.count_distinct("cell_id").alias("n_cells"))
+    ).scalar()
+    return events.agg(F.count("*").alias("n_events"), F.sum("total_size_ha").alias("total_ha")).select(
+        "n_events", "total_ha", relations["n_relations"].alias("n_relations"), relations["n_cells"].alias("n_cells")
     )
-    right = cell_fire.agg(F.count("*").alias("n_rows"), F.count_distinct("cell_id").alias("n_cells")).select(
-        F.lit("cell_fire").alias("table_name"), "n_rows", F.lit(None).cast("double").alias("total_ha"), "n_cells"
-    )
-    return left.unionByName(right)
 
 
 def pool_summary(samples: DataFrame) -> DataFrame:

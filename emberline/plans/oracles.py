@@ -503,8 +503,8 @@ ORACLES: dict[str, str] = {
  round(total_size_ha, 6) AS total_size_ha, fire_type, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, affected_cells FROM v_events""",
     "cell_fire_table": """SELECT cell_id, fire_id, round(fire_size_ha, 6) AS fire_size_ha, CAST(fire_start_date AS VARCHAR) AS fire_start_date,
  CAST(fire_end_date AS VARCHAR) AS fire_end_date FROM v_cell_fire""",
-    "fire_summary": """SELECT 'fire_events' AS table_name, count(*) AS n_rows, round(sum(total_size_ha), 6) AS total_ha, CAST(NULL AS BIGINT) AS n_cells FROM v_events
- UNION ALL SELECT 'cell_fire', count(*), NULL, count(DISTINCT cell_id) FROM v_cell_fire""",
+    "fire_summary": """SELECT count(*) AS n_events, round(sum(total_size_ha), 6) AS total_ha, (SELECT count(*) FROM v_cell_fire) AS n_relations,
+ (SELECT count(DISTINCT cell_id) FROM v_cell_fire) AS n_cells FROM v_events""",
     "fire_status": """SELECT b.cell_id, CAST(d.date AS VARCHAR) AS date, CASE WHEN EXISTS (SELECT 1 FROM v_cell_fire f WHERE f.cell_id = b.cell_id
  AND d.date BETWEEN f.fire_start_date AND f.fire_end_date) THEN 1 ELSE 0 END AS fire_occurred
  FROM v_burned_cells b CROSS JOIN (SELECT DISTINCT date FROM a_readings) d""",

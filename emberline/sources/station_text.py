@@ -121,7 +121,7 @@ def parse_daily(
     """Month lines to one row per complete reading: station_id, date, element, value, quality, line_no.
 
     ``tokens`` splits the data part on blanks and reads (value, flag) pairs, so a value without a flag shifts the later
-    days, as the reference does. ``fixed`` reads 31 groups of eight characters (value and three flags) and keeps those
+    days: the historic result. ``fixed`` reads 31 groups of eight characters (value and three flags) and keeps those
     whose quality flag is blank and whose source flag is the complete mark.
     """
     line = F.col("value")
