@@ -115,7 +115,8 @@ def nearest_k(
     itself that holds k points: its k nearest then lie within two bin widths, so the 5 x 5 bins around it hold all of
     them. Only those bins are joined. Dense areas thereby use small bins and empty areas large ones, and no query meets
     all points. Points at one and the same place are cut to the lowest k ids first, which cannot change a result,
-    so copies of one position never pile up in a bin.
+    so copies of one position never pile up in a bin; and the search runs once per place, however many queries stand there:
+    its answer, a list of at most k + 1 points, is then joined to them by a key that is unique on its side.
 
     ``query_bound`` is a proven limit on the number of queries. When it is small, the queries' bins are broadcast, and points
     far from all queries drop out where they are read.
@@ -133,7 +134,7 @@ def nearest_k(
     places = leaf(
         points.select("id", "lat", "lon", F.row_number().over(same_place).alias("_n")).filter(F.col("_n") <= need).drop("_n")
     )
-    asked = leaf(queries.select("id", "lat", "lon"))
+    asked = leaf(queries.select("lat", "lon").distinct())
 
     at_level = [F.expr("shiftright(iy, lvl)").alias("by"), F.expr("shiftright(ix, lvl)").alias("bx")]
     all_levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("lvl")
@@ -157,11 +158,12 @@ def nearest_k(
     looking = (
         asked.join(chosen, ["iy", "ix"], "left")
         .withColumn("lvl", F.coalesce("lvl", F.lit(LEVELS - 1)))
-        .select("id", "lat", "lon", "lvl", *at_level)
+        .select("lat", "lon", "lvl", *at_level)
         .withColumn("dy", F.explode(around))
         .withColumn("dx", F.explode(around))
         .select(
-            F.struct("id", "lat", "lon").alias("q"),
+            F.col("lat").alias("query_lat"),
+            F.col("lon").alias("query_lon"),
             "lvl",
             (F.col("by") + F.col("dy")).alias("by"),
             (F.col("bx") + F.col("dx")).alias("bx"),
@@ -172,23 +174,38 @@ def nearest_k(
     offered = places.withColumn("lvl", F.explode(used)).select(
         F.struct("id", "lat", "lon").alias("p"), "lvl", *at_level
     )
-    degrees = F.round(distance_of(F.col("q.lat"), F.col("q.lon"), F.col("p.lat"), F.col("p.lon")), 9)
-    close = offered.join(F.broadcast(looking) if few_queries else looking, ["lvl", "by", "bx"])
-    if skip_self:
-        close = close.filter(F.col("q.id") != F.col("p.id"))
-    order = Window.partitionBy("query_id").orderBy("degrees", "point_id")
-    return (
-        close.select(
-            F.col("q.id").alias("query_id"),
-            F.col("p.id").alias("point_id"),
+    degrees = F.round(distance_of(F.col("query_lat"), F.col("query_lon"), F.col("p.lat"), F.col("p.lon")), 9)
+    order = Window.partitionBy("query_lat", "query_lon").orderBy("degrees", "point_id")
+    answers = (
+        offered.join(F.broadcast(looking) if few_queries else looking, ["lvl", "by", "bx"])
+        .select(
+            "query_lat",
+            "query_lon",
             degrees.alias("degrees"),
-            F.col("q.lat").alias("query_lat"),
-            F.col("q.lon").alias("query_lon"),
+            F.col("p.id").alias("point_id"),
             F.col("p.lat").alias("point_lat"),
             F.col("p.lon").alias("point_lon"),
         )
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
+        .withColumn("_n", F.row_number().over(order))
+        .filter(F.col("_n") <= need)
+        .groupBy("query_lat", "query_lon")
+        .agg(F.sort_array(F.collect_list(F.struct("degrees", "point_id", "point_lat", "point_lon"))).alias("found"))
+    )
+    own = F.filter("found", lambda p: p["point_id"] != F.col("id")) if skip_self else F.col("found")
+    return (
+        queries.select("id", F.col("lat").alias("query_lat"), F.col("lon").alias("query_lon"))
+        .join(F.broadcast(answers) if few_queries else answers, ["query_lat", "query_lon"])
+        .select(F.col("id").alias("query_id"), "query_lat", "query_lon", F.posexplode(F.slice(own, 1, k)).alias("pos", "p"))
+        .select(
+            "query_id",
+            "p.point_id",
+            "p.degrees",
+            "query_lat",
+            "query_lon",
+            "p.point_lat",
+            "p.point_lon",
+            (F.col("pos") + 1).alias("rank"),
+        )
     )
 
 

@@ -26,7 +26,7 @@ def assign_stations(
     cells: DataFrame, stations: DataFrame, prefilter: int = C.STATIONS_PREFILTER, cell_bound: int | None = None
 ) -> DataFrame:
     """Stations used by each cell: the ten nearest by degrees, ranked by great-circle distance, of which the nearest
-    1, 3 or 5 are kept. Both rankings share one partitioning by cell, so the second costs no shuffle."""
+    1, 3 or 5 are kept."""
     found = nearest_k(
         cells.select(F.col("cell_id").alias("id"), F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon")),
         stations.select(F.col("station_id").alias("id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")),
