@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from emberline.llm import sharding
+from emberline.llm import packing, sharding, token_store
 
-QUERIES = {"op8_sampled_splitters": sharding.op8_sampled_splitters}
+QUERIES = {
+    "op4_bit_planes": token_store.op4_bit_planes,
+    "op6_multi_length_packing": packing.op6_multi_length_packing,
+    "op8_sampled_splitters": sharding.op8_sampled_splitters,
+}
 ORACLES: dict[str, str] = {}
