@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from emberline.session import drop_path, reliable_cut, scratch_path, shared_fold
 
 # A side of a join is broadcast only if it was counted and has at most this many slim rows (some 16 MB).
 BROADCAST_ROWS = 500_000
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +26,14 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def importable(df: DataFrame) -> DataFrame:
+    """``df``, after seeing to it that Python workers on machines that share this folder can import the package from it."""
+    environment = df.sparkSession.sparkContext.environment
+    if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, environment.get("PYTHONPATH")]))
+    return df
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """``fn`` turns the columns of a batch, as lists, into output columns; rows may be fewer or more than came in."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -37,7 +47,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
                 made = fn({name: part.column(name).to_pylist() for name in part.schema.names})
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
 
-    return df.mapInArrow(task, schema)
+    return importable(df).mapInArrow(task, schema)
 
 
 def cut(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from emberline.llm import tokens
-from emberline.llm.common import cut
+from emberline.llm.common import cut, importable
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -159,7 +159,7 @@ def pack(
         yield packer.end_round(last=True)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(task, schema_text)
+    return importable(rows).mapInArrow(task, schema_text)
 
 
 def op6_multi_length_packing(spark, sf_dir: str) -> DataFrame:

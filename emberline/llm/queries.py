@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from emberline.llm import packing, sharding, token_store
+from emberline.llm import packing, quality, secrets, sharding, token_store
 
 QUERIES = {
+    "op1_entropy_windows": secrets.op1_entropy_windows,
     "op4_bit_planes": token_store.op4_bit_planes,
     "op6_multi_length_packing": packing.op6_multi_length_packing,
     "op8_sampled_splitters": sharding.op8_sampled_splitters,
+    "op10_robust_outliers": quality.op10_robust_outliers,
 }
 ORACLES: dict[str, str] = {}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline.llm import tokens
-from emberline.llm.common import AtomicFile, cut, open_input, reliable_cut, scratch_path
+from emberline.llm.common import AtomicFile, cut, importable, open_input, reliable_cut, scratch_path
 
 MAGIC = b"PLANES01"
 BLOCK = 65_536
@@ -161,7 +161,7 @@ def write_tokens(
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     placed = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    return placed.mapInArrow(task, "path string, first_doc long, n_docs long, n_ids long")
+    return importable(placed).mapInArrow(task, "path string, first_doc long, n_docs long, n_ids long")
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(made, schema)], schema=schema)
 
     listed = spark.createDataFrame(based, "path string, base long").repartition(max(1, len(based)))
-    return listed.mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
+    return importable(listed).mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
 
 
 def op4_bit_planes(spark, sf_dir: str) -> DataFrame:
