@@ -78,7 +78,7 @@ class AtomicFile:
         self.path = f"{folder.rstrip('/')}/{stem}-{uuid.uuid4().hex[:12]}{suffix}"
         fs, inner = open_fs(self.path)
         fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-        self._out, self.at = fs.open_output_stream(inner), 0
+        self._out, self.at = fs.open_output_stream(inner, compression=None), 0
 
     def write(self, data: bytes) -> int:
         """The offset at which ``data`` begins."""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from emberline.llm import packing, quality, secrets, sharding, token_store
+from emberline.llm import packing, quality, secrets, sharding, token_store, url_index, warc
 
 QUERIES = {
     "op1_entropy_windows": secrets.op1_entropy_windows,
     "op4_bit_planes": token_store.op4_bit_planes,
+    "op5_digest_array": url_index.op5_digest_array,
     "op6_multi_length_packing": packing.op6_multi_length_packing,
     "op8_sampled_splitters": sharding.op8_sampled_splitters,
+    "op9_transactions": warc.op9_transactions,
     "op10_robust_outliers": quality.op10_robust_outliers,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_digest_array": url_index.ORACLE}
