@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberline.llm import decontam, packing, quality, secrets, sharding, token_store, url_index, warc
+from emberline.llm import decontam, packing, quality, secrets, sharding, token_store, toxicity, url_index, warc
 
 QUERIES = {
     "op1_entropy_windows": secrets.op1_entropy_windows,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_bit_planes": token_store.op4_bit_planes,
     "op5_digest_array": url_index.op5_digest_array,
     "op6_multi_length_packing": packing.op6_multi_length_packing,
+    "op7_noisy_channel": toxicity.op7_noisy_channel,
     "op8_sampled_splitters": sharding.op8_sampled_splitters,
     "op9_transactions": warc.op9_transactions,
     "op10_robust_outliers": quality.op10_robust_outliers,
