@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from emberline.llm import decontam, packing, quality, secrets, sharding, token_store, toxicity, url_index, warc
+from emberline.llm import decontam, packing, quality, secrets, sharding, similarity, token_store, toxicity, url_index, warc
 
 QUERIES = {
     "op1_entropy_windows": secrets.op1_entropy_windows,
     "op2_string_tiling": decontam.op2_string_tiling,
+    "op3_signature_trees": similarity.op3_signature_trees,
     "op4_bit_planes": token_store.op4_bit_planes,
     "op5_digest_array": url_index.op5_digest_array,
     "op6_multi_length_packing": packing.op6_multi_length_packing,
