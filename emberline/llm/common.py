@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberline.session import drop_path, reliable_cut, scratch_path, shared_folder  # noqa: F401
 
@@ -26,6 +26,16 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def without(docs: DataFrame, id_col: str, value: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id and ``value`` are not in ``gone`` (a stored table doc_id, h); nulls are values like others."""
+    gone = small(gone.select(F.col("doc_id").alias("__doc_id"), F.col("h").alias("__gone_h")).distinct())
+    marked = docs.withColumn("__h", value)
+    kept = marked.join(
+        gone, marked[id_col].cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__h") == F.col("__gone_h")), "left_anti"
+    )
+    return kept.drop("__h")
+
+
 def importable(df: DataFrame) -> DataFrame:
     """``df``, after seeing to it that Python workers on machines that share this folder can import the package from it."""
     environment = df.sparkSession.sparkContext.environment

@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from emberline.llm.common import importable, map_batches
@@ -162,16 +163,17 @@ def without_leaks(
     covered: float = COVERED, block: int = BLOCK_CHARACTERS,
 ) -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    import pandas as pd
-
     importable(docs)
-    for items in item_blocks(benchmark, item_col, item_text_col, block):
-        prepared = docs.sparkSession.sparkContext.broadcast(Items(items, tile, covered))
 
-        def clean(texts: pd.Series, prepared=prepared) -> pd.Series:
+    def free_of(prepared):
+        def clean(texts: pd.Series) -> pd.Series:
             return texts.map(lambda t: not (t and prepared.value.leaks(t))).astype(bool)
 
-        docs = docs.filter(F.pandas_udf(clean, "boolean")(F.col(text_col)))
+        return F.pandas_udf(clean, "boolean")
+
+    for items in item_blocks(benchmark, item_col, item_text_col, block):
+        prepared = docs.sparkSession.sparkContext.broadcast(Items(items, tile, covered))
+        docs = docs.filter(free_of(prepared)(F.col(text_col)))
     return docs
 
 

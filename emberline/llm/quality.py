@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from emberline.llm.common import importable, map_batches, reliable_cut, small
+from emberline.llm.common import importable, map_batches, reliable_cut, small, without
 
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
@@ -86,13 +86,19 @@ def text_counts(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lan
 
     def measure(columns: dict[str, list]) -> dict[str, list]:
         found = zip(*[counts_of(t or "") for t in columns["text"]]) if columns["text"] else [[]] * len(names)
-        return {**{k: columns[k] for k in ("doc_id", "lang", "source")}, **dict(zip(names, map(list, found)))}
+        return {**{k: columns[k] for k in ("doc_id", "lang", "source", "h")}, **dict(zip(names, map(list, found)))}
 
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
         F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"),
+        row_value(text_col, lang_col, source_col).alias("h"),
     )
-    return map_batches(rows, measure, f"doc_id long, lang string, source string, {COUNTS}, {MORE}")
+    return map_batches(rows, measure, f"doc_id long, lang string, source string, h long, {COUNTS}, {MORE}")
+
+
+def row_value(text_col: str, lang_col: str, source_col: str) -> Column:
+    """A hash of all that a verdict depends on."""
+    return F.xxhash64(*[F.col(c).cast("string") for c in (text_col, lang_col, source_col)])
 
 
 def base_failed() -> Column:
@@ -209,7 +215,7 @@ def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
 
 
 def judged(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", source_col="source") -> DataFrame:
-    """Counts, base_failed, distance, kept and the group whose estimate was used, one row per row of ``docs``."""
+    """Counts, base_failed, distance, kept and h (``row_value``), one row per row of ``docs``."""
     counts = reliable_cut(
         text_counts(docs, id_col, text_col, lang_col, source_col).withColumn("base_failed", base_failed()), "quality-counts"
     )
@@ -224,7 +230,7 @@ def judged(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", s
     )
     asked = _matched(counts.filter(~F.col("base_failed")), named).withColumn("x", F.array(*rates().values()))
     x_of = reliable_cut(
-        asked.select("doc_id", *[c.split()[0] for c in COUNTS.split(", ")], F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), "x"),
+        asked.select("doc_id", "h", *[c.split()[0] for c in COUNTS.split(", ")], F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), "x"),
         "quality-rates",
     )
     # Pooled estimates take all rows of the pool, large groups' too.
@@ -241,12 +247,19 @@ def judged(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", s
     estimates = mcd(reliable_cut(fitted, "quality-fit"))
     limit = chi2_quantile(1 - TAIL, P)
     scored = _matched(x_of, estimates).withColumn("distance", _distance() * F.col("n_words") / (F.col("n_words") + SHORT))
-    columns = ["doc_id", *[c.split()[0] for c in COUNTS.split(", ")], "base_failed", "kept", "distance"]
+    columns = ["doc_id", *[c.split()[0] for c in COUNTS.split(", ")], "base_failed", "kept", "distance", "h"]
     good = scored.withColumns({"base_failed": F.lit(False), "kept": F.col("distance") <= limit})
     bad = counts.filter("base_failed").withColumns({"kept": F.lit(False), "distance": F.lit(None).cast("double")})
     return good.select(*columns).unionByName(bad.select(*columns))
 
 
+def keep_good(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", source_col="source") -> DataFrame:
+    """The documents that pass, with all their columns."""
+    found = judged(docs, id_col, text_col, lang_col, source_col)
+    gone = reliable_cut(found.filter("not kept").select("doc_id", "h"), "rejected")
+    return without(docs, id_col, row_value(text_col, lang_col, source_col), gone)
+
+
 def _by_lang():
     from pyspark.sql.window import Window
 
@@ -255,4 +268,4 @@ def _by_lang():
 
 
 def op10_robust_outliers(spark, sf_dir: str) -> DataFrame:
-    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return judged(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("h")

@@ -17,6 +17,7 @@ from bisect import bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberline.llm.common import importable, map_batches
@@ -169,8 +170,6 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, text_col: str = "text", marker: str = "[SECRET]", settings: Settings = Settings()) -> DataFrame:
     """All columns of ``docs``; in the text every span, joined where spans meet, is replaced by ``marker``."""
 
-    import pandas as pd
-
     def clean(texts: pd.Series) -> pd.Series:
         scanner = Scanner(settings)
 

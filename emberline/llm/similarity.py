@@ -25,9 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from emberline.llm.common import cut, importable, reliable_cut, small
+from emberline.llm.common import cut, importable, reliable_cut, without
 from emberline.llm.components import components
 
 SHINGLE = 5
@@ -73,12 +73,18 @@ def key_of(codes: np.ndarray) -> bytes:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_value(text_col).alias("h")
+    )
+
+
+def text_value(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, key (null for an empty set)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary())])
+    """doc_id, h (``text_value``), n_shingles, key (null for an empty set)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordCodes()
@@ -86,10 +92,10 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for part in cut(batch):
                 sets = [shingle_codes(t or "", words) for t in part.column(1).to_pylist()]
                 keys = [key_of(s) if len(s) else None for s in sets]
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())]
+                columns = [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return importable(_texts(docs, id_col, text_col)).mapInArrow(task, "doc_id long, n_shingles long, key binary")
+    return importable(_texts(docs, id_col, text_col)).mapInArrow(task, "doc_id long, h long, n_shingles long, key binary")
 
 
 # --- shared codes ------------------------------------------------------------------------------------------------------------
@@ -516,7 +522,7 @@ def bucket_bits(docs: DataFrame, text_col: str) -> int:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, key: a row per row of ``docs``. The component is the least id among all that links reach."""
+    """doc_id, h, n_shingles, component_id, group_key: a row per row of ``docs``. The component is the least id among all that links reach."""
     bits = bucket_bits(docs, text_col)
     info = reliable_cut(shingle_sets(docs, id_col, text_col), "shingles")
     sets = candidate_sets(dealt_codes(docs, bits, id_col, text_col), 1 << bits)
@@ -532,26 +538,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classes.join(moved, "key", "left").select("key", "first", F.coalesce("group_key", "key").alias("group_key")), "classes"
     )
     least = grouped.groupBy("group_key").agg(F.min("first").alias("component_id"))
-    of_key = grouped.join(least, "group_key").select("key", "component_id")
-    full = info.filter("key is not null").join(of_key, "key").select("doc_id", "n_shingles", "component_id", "key")
-    empty = info.filter("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "key")
+    of_key = grouped.join(least, "group_key").select("key", "component_id", "group_key")
+    full = info.filter("key is not null").join(of_key, "key").select("doc_id", "h", "n_shingles", "component_id", "group_key")
+    empty = info.filter("key is null").select(
+        "doc_id", "h", "n_shingles", F.col("doc_id").alias("component_id"), F.col("key").alias("group_key")
+    )
     return full.unionByName(empty)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is that of their component, with all columns: one of each group. Of rows with one id, those that are copies of each other
-    or linked through their id's component stay once."""
-    found = reliable_cut(near_duplicates(docs, id_col, text_col), "near-duplicates")
-    gone = reliable_cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    kept = docs.join(small(gone), docs[id_col] == F.col("__gone"), "left_anti")
-    twice = reliable_cut(
-        found.filter("key is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__twice")),
-        "repeated-ids",
+    """One document of each group, with all its columns: that whose id is the component's. Of several such rows the one with the least text
+    hash stays, and of repeated rows one. Documents without words all stay."""
+    found = reliable_cut(near_duplicates(docs, id_col, text_col).filter("group_key is not null"), "near-duplicates")
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # One row per group: the text hash that stays, and how many rows have it.
+    firsts = found.filter(own).groupBy("group_key").agg(F.min("h").alias("first_h"))
+    gone = found.filter(~own).select("doc_id", "h").unionByName(
+        found.filter(own).join(firsts, "group_key").filter("h <> first_h").select("doc_id", "h")
     )
+    kept = without(docs, id_col, text_value(text_col), reliable_cut(gone.distinct(), "gone"))
+    twice = reliable_cut(found.filter(own).groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "h"), "repeated")
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, kept[id_col] == F.col("__twice"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(twice, kept[id_col] == F.col("__twice"), "left_anti").unionByName(once)
+    repeated = without(kept, id_col, text_value(text_col), twice)
+    others = kept.withColumn("__h", text_value(text_col))
+    pairs = twice.select(F.col("doc_id").alias("__doc_id"), F.col("h").alias("__twice_h"))
+    once = others.join(
+        pairs, others[id_col].cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__h") == F.col("__twice_h")), "left_semi"
+    ).dropDuplicates([id_col, "__h"]).drop("__h")
+    return repeated.unionByName(once)
 
 
 def op3_signature_trees(spark, sf_dir: str) -> DataFrame:
