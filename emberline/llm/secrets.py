@@ -30,6 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
+LONG = 256
 KINDS = ("assign", "access", "hex", "entropy")
 
 
@@ -52,11 +53,13 @@ class Settings:
     # A window holds this many digits and letters at least: words of a language have no digits, numbers no letters.
     digits_least: int = 2
     letters_least: int = 2
-    # Patterns; a candidate that one of them matches, with up to 16 characters before it, is no secret.
+    # A candidate after one of these, in the same blank-free token or within 16 characters, is no secret: addresses, named digests.
+    allowed_before: tuple[str, ...] = (
+        r"://", r"www\.", r"(?i:sha-?\d*|md5|digest|checksum|etag|commit|integrity)\W{0,3}$",
+    )
+    # Nor is one that matches one of these (of a candidate over LONG characters the span that was found is looked at, not the whole).
     allowed: tuple[str, ...] = (
-        r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-        r"(?:sha\d*|md5|digest|checksum|etag|commit|integrity)\W{0,3}[0-9A-Za-z+/=_-]{20,}$",
-        r"(?:://|www\.)",
+        r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
         r"(?i:example|placeholder|changeme|dummy|xxxxxx)",
         r"0123456789|abcdefghij|ABCDEFGHIJ",
     )
@@ -89,11 +92,6 @@ def high_windows(run: str, window: int, bits: float, digits_least: int, letters_
     total, digits, letters = 0.0, 0, 0
     found: list[tuple[int, int]] = []
     for at, incoming in enumerate(run):
-        c = counts.get(incoming, 0)
-        total += terms[c + 1] - terms[c]
-        counts[incoming] = c + 1
-        digits += incoming.isdigit()
-        letters += incoming.isalpha()
         if at >= window:
             outgoing = run[at - window]
             c = counts[outgoing]
@@ -101,6 +99,11 @@ def high_windows(run: str, window: int, bits: float, digits_least: int, letters_
             counts[outgoing] = c - 1
             digits -= outgoing.isdigit()
             letters -= outgoing.isalpha()
+        c = counts.get(incoming, 0)
+        total += terms[c + 1] - terms[c]
+        counts[incoming] = c + 1
+        digits += incoming.isdigit()
+        letters += incoming.isalpha()
         begins = at - window + 1
         if begins >= 0 and total <= most and digits >= digits_least and letters >= letters_least:
             if found and begins <= found[-1][1]:
@@ -117,12 +120,16 @@ class Scanner:
         self.runs = [
             (c, re.compile(rf"(?<![{c.characters}])[{c.characters}]{{{c.window},}}+")) for c in settings.classes
         ]
+        self.before = [re.compile(p) for p in settings.allowed_before]
         self.allowed = [re.compile(p) for p in (*settings.allowed, *settings.extra_allowed)]
         self.digit = re.compile(r"[0-9]")
 
-    def is_allowed(self, text: str, start: int, end: int) -> bool:
-        seen = text[max(0, start - 16) : end]
-        return any(p.search(seen) for p in self.allowed)
+    def follows_allowed(self, text: str, start: int) -> bool:
+        """Up to three characters of the candidate count, as ``//`` of an address belongs to it."""
+        before = text[max(0, start - LONG) : start]
+        token = re.split(r"\s", before)[-1]
+        seen = (token if len(token) > 16 else before[-16:]) + text[start : start + 3]
+        return any(p.search(seen) or p.search(before[-16:]) for p in self.before)
 
     def spans(self, text: str) -> list[tuple[int, str, int]]:
         base = base_spans(text)
@@ -131,9 +138,13 @@ class Scanner:
         if self.digit.search(text):
             for c, runs in self.runs:
                 for m in runs.finditer(text):
-                    if not self.is_allowed(text, m.start(), m.end()):
-                        high = high_windows(m.group(), c.window, c.bits, self.settings.digits_least, self.settings.letters_least)
-                        found += [(m.start() + s, m.start() + e) for s, e in high]
+                    run, at = m.group(), m.start()
+                    short = len(run) <= LONG
+                    if (short and any(p.search(run) for p in self.allowed)) or self.follows_allowed(text, at):
+                        continue
+                    for s, e in high_windows(run, c.window, c.bits, self.settings.digits_least, self.settings.letters_least):
+                        if short or not any(p.search(run, s, e) for p in self.allowed):
+                            found.append((at + s, at + e))
         base += [(s, "entropy", e) for s, e in joined(found) if not inside(covered, s, e)]
         return sorted(base, key=lambda x: (x[0], KINDS.index(x[1])))
 
