@@ -46,6 +46,8 @@ _TRACE = re.compile(r"[0-9@$!|+(<*#%]|([^\W\d_])\1\1|[._\-~]")
 _SPACED = re.compile(r"(?<![\w@$!|+*])(?:[^\W_]|[@$!|+*])(?:[ .\-_~*](?:[^\W_]|[@$!|+*])){2,}(?![\w@$!|+*])")
 # Costs of the channel, as natural logarithms: a sign for a letter, a letter repeated.
 SIGN_COST, REPEAT_COST = 1.0, 0.7
+# Longest word looked for in spaced letters; such runs are decoded in overlapping stretches of this many characters.
+SPACED_PART, SPACED_RUN = 14, 80
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -175,8 +177,11 @@ class Restorer:
             found.update(self.token(token))
         for m in _SPACED.finditer(low):
             run = m.group()
-            if len(run) <= 80:
-                found.add(viterbi(lattice(run[::2]), self.model))
+            # Where one spaced word ends and the next begins is not known, so all parts of the decoded letters count.
+            for at in range(0, len(run), SPACED_RUN):
+                decoded = viterbi(lattice(run[at : at + SPACED_RUN + 2 * SPACED_PART : 2]), self.model)
+                found.add(decoded)
+                found.update(decoded[k : k + n] for n in range(4, SPACED_PART + 1) for k in range(len(decoded) - n + 1))
         return found
 
 
