@@ -34,9 +34,9 @@ SHINGLE = 5
 # Two sets are linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 # Codes a bucket holds on average, and codes and sets of a chunk at most (one set may weigh more).
-BUCKET_CODES, CHUNK_CODES, CHUNK_SETS = 4_000_000, 2_000_000, 4_096
+BUCKET_CODES, CHUNK_CODES, CHUNK_SETS = 2_000_000, 2_000_000, 4_096
 # Codes that a task gathers before it deals them out.
-BATCH_CODES = 2_000_000
+BATCH_CODES = 1_000_000
 KEY = 16
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -45,7 +45,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 class _WordCodes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = code = xxhash.xxh3_64_intdigest(word)
         return code
@@ -106,7 +106,7 @@ def dealt_codes(docs: DataFrame, bits: int, id_col: str, text_col: str) -> DataF
 
     def deal(sets: dict[bytes, np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys, codes = list(sets), np.concatenate(list(sets.values()))
-        owner = np.repeat(np.arange(len(keys)), [len(s) for s in sets.values()])
+        owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(s) for s in sets.values()])
         bucket = (codes >> np.uint64(64 - bits)).astype(np.uint16) if bits else np.zeros(len(codes), np.uint16)
         order = np.argsort(bucket, kind="stable")
         bucket, owner = bucket[order], owner[order]
@@ -142,21 +142,24 @@ def shared_codes(dealt: DataFrame, buckets: int) -> DataFrame:
 
     def bucket_rows(bucket: int, parts: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         places: dict[bytes, int] = {}
-        codes, owners = [], []
-        for keys, counts, octets in parts:
+        total = sum(len(octets) // 6 for _, _, octets in parts)
+        code, owner, filled = np.zeros(total, "<u8"), np.zeros(total, np.int32), 0
+        while parts:
+            keys, counts, octets = parts.pop()
             n = np.frombuffer(counts, "<u4").astype(np.int64)
             # A set that came from another batch already is the same set.
-            own = np.empty(len(n), np.int64)
+            own = np.empty(len(n), np.int32)
             for k in range(len(n)):
                 key = keys[KEY * k : KEY * (k + 1)]
                 own[k] = -1 if key in places else places.setdefault(key, len(places))
             wide = np.zeros((len(octets) // 6, 8), np.uint8)
             wide[:, :6] = np.frombuffer(octets, np.uint8).reshape(-1, 6)
             each = np.repeat(own, n)
-            codes.append(wide.view("<u8").ravel()[each >= 0])
-            owners.append(each[each >= 0])
-        code, owner = np.concatenate(codes), np.concatenate(owners)
-        del codes, owners
+            fresh = each >= 0
+            upto = filled + int(fresh.sum())
+            code[filled:upto], owner[filled:upto] = wide.view("<u8").ravel()[fresh], each[fresh]
+            filled = upto
+        code, owner = code[:filled], owner[:filled]
         order = np.argsort(code, kind="stable")
         code, owner = code[order], owner[order]
         edges = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1], [True])))
