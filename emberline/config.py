@@ -120,7 +120,7 @@ FEATURE_COLUMNS = SAMPLE_COLUMNS[4:]
 
 @dataclass(frozen=True)
 class ModelConfig:
-    """Settings of one boosted-tree model; the first eight fields are searched over."""
+    """Settings of one boosted-tree model; the first five fields are searched over."""
 
     max_depth: int = 6
     n_estimators: int = 100
@@ -140,16 +140,14 @@ class ModelConfig:
         return cls(**{f.name: values[f.name] for f in fields(cls) if f.name in values})
 
 
-# Search space: name -> (low, high, largest mutation step, is integer).
+# Search space: name -> (low, high, largest mutation step, is integer). Settings that Spark's trees do not have (L1, L2, rounds of
+# patience) are carried by ModelConfig but not searched over.
 SEARCH_SPACE = {
     "max_depth": (3, 15, 2, True),
     "n_estimators": (50, 500, 50, True),
     "learning_rate": (0.01, 0.3, 0.05, False),
     "subsample": (0.6, 1.0, 0.1, False),
     "colsample": (0.6, 1.0, 0.1, False),
-    "reg_alpha": (0.0, 10.0, 1.0, False),
-    "reg_lambda": (0.0, 10.0, 1.0, False),
-    "early_stopping_rounds": (10, 50, 5, True),
 }
 
 

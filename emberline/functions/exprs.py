@@ -31,10 +31,17 @@ def fixed_field(line: Column | str, start: int, stop: int) -> Column:
     return F.trim(F.substring(_col(line), start + 1, stop - start))
 
 
+# Day layouts that reports come in, tried in this order; a time part may follow.
+DAY_LAYOUTS = ("yyyy-M-d", "yyyy/M/d", "yyyyMMdd", "M/d/yyyy", "d-MMM-yyyy", "MMM d, yyyy")
+
+
 def to_day(text: Column | str) -> Column:
-    """Date from ``yyyy-MM-dd`` or ``yyyy/MM/dd`` text (a time part is ignored); null when it is no real day."""
-    t = F.translate(F.substring(F.trim(_col(text)), 1, 10), "/", "-")
-    return F.try_to_date(t, "yyyy-MM-dd")
+    """Date of a text in one of the layouts above, with or without a time of day; null when anything else stands in it or it is
+    no real day."""
+    whole = F.trim(_col(text))
+    time = r"[T ]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?$"
+    day = F.regexp_replace(whole, time, "")
+    return F.coalesce(*[F.try_to_date(day, layout) for layout in DAY_LAYOUTS])
 
 
 def valid_day(year: Column, month: Column, day: Column) -> Column:

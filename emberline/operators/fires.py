@@ -15,9 +15,12 @@ KM_PER_DEGREE_FLOOR = 111.0
 
 
 def fires_from_reports(reports: DataFrame) -> DataFrame:
-    """Validated fire reports under the names used here."""
+    """Validated fire reports under the names used here. A report is known by its file and line; a table without
+    ``source_file`` is one file."""
+    file = F.col("source_file") if "source_file" in reports.columns else F.lit("")
     return reports.select(
         F.col("NFDBFIREID").alias("fire_id"),
+        file.alias("source_file"),
         "line_no",
         F.col("LATITUDE").alias("latitude"),
         F.col("LONGITUDE").alias("longitude"),
@@ -33,9 +36,12 @@ def prepare_fires(fires: DataFrame) -> DataFrame:
     out_text = F.trim(F.col("out_date").cast("string"))
     no_end = out_text.isNull() | (out_text == "") | (out_text == C.BLANK_OUT_DATE)
     start = X.to_day(F.col("rep_date").cast("string"))
+    if "source_file" not in fires.columns:
+        fires = fires.withColumn("source_file", F.lit(""))
     return (
         fires.select(
             "fire_id",
+            "source_file",
             "line_no",
             "latitude",
             "longitude",
@@ -95,7 +101,7 @@ def burned_lines(fires: DataFrame, cells: DataFrame, cell_bound: int | None = No
     km = X.haversine_km(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))
     hits = candidates.select("l.*", "r.cell_id", km.alias("km")).filter(F.col("km") <= F.col("radius_km"))
     return hits.groupBy(
-        "line_no", "fire_id", "start_date", "end_date", "size_ha", "fire_type", "lat", "lon"
+        "source_file", "line_no", "fire_id", "start_date", "end_date", "size_ha", "fire_type", "lat", "lon"
     ).agg(
         F.sort_array(F.collect_list("cell_id")).alias("affected_cells"),
         F.min(F.struct(F.round("km", 6).alias("km"), "cell_id"))["cell_id"].alias("center_cell_id"),
@@ -103,9 +109,9 @@ def burned_lines(fires: DataFrame, cells: DataFrame, cell_bound: int | None = No
 
 
 def _first_per(df: DataFrame, *key: str) -> DataFrame:
-    """The earliest line of each key. The rank limit is applied before the shuffle too, so a key repeated very often
+    """The earliest line of each key, files in order of their names. The rank limit is applied before the shuffle too, so a key repeated very often
     sends one row per task."""
-    order = Window.partitionBy(*key).orderBy("line_no")
+    order = Window.partitionBy(*key).orderBy("source_file", "line_no")
     return df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") == 1).drop("_n")
 
 
@@ -132,9 +138,10 @@ def cell_fires(burned: DataFrame) -> DataFrame:
         (F.col("size_ha") / F.size("affected_cells")).alias("fire_size_ha"),
         F.col("start_date").alias("fire_start_date"),
         F.col("end_date").alias("fire_end_date"),
+        "source_file",
         "line_no",
     )
-    return _first_per(exploded, "cell_id", "fire_id").drop("line_no")
+    return _first_per(exploded, "cell_id", "fire_id").drop("source_file", "line_no")
 
 
 def fire_days(cell_fire: DataFrame, first_day: str, last_day: str) -> DataFrame:

@@ -1,147 +1,159 @@
-"""Population search over model settings.
+"""Search over model settings: generations of candidates as tables.
 
-The driver holds only the settings (at most a few dozen records). Every fit, and the one scoring pass over all candidates
-of a generation, runs on Spark; fits are submitted side by side, as the cross validator of ``pyspark.ml`` does.
+A generation is a DataFrame with a row per slot. The first one holds the default settings and random ones; every later one holds the elite of
+the ranked generation before it and children of elite pairs. All draws are md5 fractions of (seed, generation, slot, what is drawn), so a
+generation is a function of the ranked table alone and the same in any engine. Fits run on Spark side by side; the scores of a generation are
+rated in one job.
 """
 
 from __future__ import annotations
 
-import random
 import time
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberline import config as C
 from emberline.operators.metrics import population_fitness
 from emberline.operators.model import FittedModel, TrainingSet, fit, prepare_training
 from emberline.operators.sampling import random_subset
-
+from emberline.sources import sinks
 
 Space = dict[str, tuple]
 
 
-def random_config(
-    rng: random.Random, space: Space = C.SEARCH_SPACE, base: C.ModelConfig = C.ModelConfig()
-) -> C.ModelConfig:
-    def draw(low, high, whole):
-        return rng.randint(low, high) if whole else rng.uniform(low, high)
+def fraction(seed: int, *parts: Column | str) -> Column:
+    """A number in [0, 1) from the md5 of seed and parts."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.lit(p) if isinstance(p, str) else p.cast("string")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def drawn(space: Space, seed: int, generation: int) -> dict[str, Column]:
+    """Settings drawn evenly from their ranges, for a table with ``slot``."""
+    out = {}
+    for name, (low, high, _, whole) in space.items():
+        u = fraction(seed, str(generation), F.col("slot"), name)
+        out[name] = F.lit(float(low)) + (F.floor(u * (high - low + 1)) if whole else u * float(high - low))
+    return out
+
+
+def first_candidates(
+    spark: SparkSession, settings: C.SearchConfig = C.SearchConfig(), space: Space = C.SEARCH_SPACE
+) -> DataFrame:
+    """slot, model_id and a column per searched setting: some with the defaults, moved into the space, the others random."""
+    base = C.ModelConfig()
+    default = {n: float(min(hi, max(lo, getattr(base, n)))) for n, (lo, hi, _, _) in space.items()}
+    is_default = F.col("slot") < settings.default_members
+    slots = spark.range(settings.population_size).select(F.col("id").cast("int").alias("slot"))
+    values = {n: F.when(is_default, F.lit(default[n])).otherwise(v) for n, v in drawn(space, settings.seed, 0).items()}
+    return slots.select("slot", F.format_string("g0-%d", "slot").alias("model_id"), *[v.cast("double").alias(n) for n, v in values.items()])
+
+
+def tournament(settings: C.SearchConfig, generation: int, side: str) -> Column:
+    """Rank (from 1) of a parent: the best of ``tournament_size`` elite members, those whose draws are lowest for the slot."""
+    seed = settings.seed
+    entries = F.transform(
+        F.sequence(F.lit(1), F.lit(settings.elite_count)),
+        lambda r: F.struct(fraction(seed, str(generation), F.col("slot"), side, r).alias("u"), r.alias("r")),
+    )
+    return F.array_min(F.transform(F.slice(F.array_sort(entries), 1, settings.tournament_size), lambda e: e["r"]))
+
+
+def next_candidates(
+    ranked: DataFrame, generation: int, settings: C.SearchConfig = C.SearchConfig(), space: Space = C.SEARCH_SPACE
+) -> DataFrame:
+    """The candidates after ``ranked`` (model_id, fitness, settings): the elite as it is, then a child in every other slot.
+
+    A child takes whole-number settings from either parent and the others from between the two, or copies one parent; then
+    each setting moves by at most its step, with a small chance, within its range. Only the elite, a top-k, is read.
+    """
+    seed, g, slot = settings.seed, str(generation), F.col("slot")
+    names = list(space)
+    elite = ranked.orderBy("fitness", "model_id").limit(settings.elite_count).agg(
+        F.array_sort(F.collect_list(F.struct("fitness", "model_id", *names))).alias("elite")
+    ).scalar()
+    size = F.least(F.size(elite), F.lit(settings.elite_count))
+    slots = ranked.sparkSession.range(settings.population_size).select(F.col("id").cast("int").alias("slot"))
+    # With fewer members than an elite has, ranks wrap around.
+    wrapped = lambda r: F.element_at(elite, F.pmod(r - 1, size) + 1)
+    placed = slots.withColumns({"a": wrapped(tournament(settings, generation, "a")), "b": wrapped(tournament(settings, generation, "b"))})
+    crossed = fraction(seed, g, slot, "cross") < settings.crossover_rate
+    copied = F.when(fraction(seed, g, slot, "copy") < 0.5, F.col("a")).otherwise(F.col("b"))
+    own = F.get(elite, slot)
+    columns = []
+    for name, (low, high, step, whole) in space.items():
+        a, b = F.col(f"a.{name}"), F.col(f"b.{name}")
+        u = fraction(seed, g, slot, name, "mix")
+        child = F.when(crossed, F.when(u < 0.5, a).otherwise(b) if whole else a + u * (b - a)).otherwise(copied[name])
+        v = fraction(seed, g, slot, name, "by")
+        move = F.floor(v * (2 * step + 1)) - step if whole else (v * 2 - 1) * float(step)
+        moved = F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), child + move))
+        child = F.when(fraction(seed, g, slot, name, "move") < settings.mutation_rate, moved).otherwise(child)
+        columns.append(F.when(slot < size, own[name]).otherwise(child).cast("double").alias(name))
+    model_id = F.when(slot < size, own["model_id"]).otherwise(F.format_string(f"g{generation}-%d", "slot"))
+    return placed.select("slot", model_id.alias("model_id"), *columns)
 
-    return replace(base, **{n: draw(lo, hi, whole) for n, (lo, hi, _, whole) in space.items()})
 
+def config_of(row, space: Space = C.SEARCH_SPACE) -> C.ModelConfig:
+    """A candidate row as the settings of a fit."""
+    found = {n: int(row[n]) if whole else float(row[n]) for n, (_, _, _, whole) in space.items()}
+    return C.ModelConfig.from_dict({**C.ModelConfig().to_dict(), **found})
 
-def mutate(config: C.ModelConfig, rate: float, rng: random.Random, space: Space = C.SEARCH_SPACE) -> C.ModelConfig:
-    """Each setting moves by at most its step with probability ``rate``, within its range."""
-    changed = {}
-    for name, (low, high, step, whole) in space.items():
-        if rng.random() < rate:
-            moved = getattr(config, name) + (rng.randint(-step, step) if whole else rng.uniform(-step, step))
-            changed[name] = min(high, max(low, moved))
-    return replace(config, **changed)
 
+def fit_all(configs: dict[str, C.ModelConfig], training: TrainingSet, parallel: int) -> dict[str, FittedModel]:
+    """Fits side by side, as the cross validator of ``pyspark.ml`` runs them."""
+    if not configs:
+        return {}
+    work = inheritable_thread_target(SparkSession.active())(lambda item: fit(training, item[1], item[0]))
+    with ThreadPool(min(parallel, len(configs))) as pool:
+        return {m.model_id: m for m in pool.map(work, configs.items())}
 
-def within(config: C.ModelConfig, space: Space) -> C.ModelConfig:
-    """The settings, moved into the ranges of the space."""
-    return replace(config, **{n: min(hi, max(lo, getattr(config, n))) for n, (lo, hi, _, _) in space.items()})
 
+def rated(models: list[FittedModel], test_rows: DataFrame) -> DataFrame:
+    """model_id and fitness of all models in one job: their scores in one long table, one grouped loss."""
+    scores = reduce(DataFrame.unionByName, [m.long_scores(test_rows) for m in models])
+    names = test_rows.sparkSession.createDataFrame([(m.model_id, None) for m in models], "model_id string, mean_seconds double")
+    return population_fitness(scores, names)
 
-def blend(a: C.ModelConfig, b: C.ModelConfig, rng: random.Random) -> C.ModelConfig:
-    """A child: whole-number settings from either parent, the others between the two."""
-    values = {}
-    for name, (_, _, _, whole) in C.SEARCH_SPACE.items():
-        x, y = getattr(a, name), getattr(b, name)
-        values[name] = rng.choice([x, y]) if whole else rng.uniform(x, y)
-    return replace(a, **values)
 
+HISTORY = "generation int, fitness double, best_fitness double, mean_fitness double, n_fitted int, seconds double"
 
-@dataclass
-class Member:
-    model_id: str
-    config: C.ModelConfig
-    fitted: FittedModel | None = None
-    fitness: float = float("inf")
-    generation: int = 0
-
-
-def initial_population(search: C.SearchConfig, rng: random.Random, space: Space = C.SEARCH_SPACE) -> list[Member]:
-    n_default = min(search.default_members, search.population_size)
-    default = within(C.ModelConfig(), space)
-    members = [Member(f"m{i:03d}_default", default) for i in range(n_default)]
-    members += [Member(f"m{i:03d}_random", random_config(rng, space)) for i in range(n_default, search.population_size)]
-    return members
-
-
-def pick_parent(elite: list[Member], size: int, rng: random.Random) -> Member:
-    """The fittest of a few elite members drawn at random."""
-    return min(rng.sample(elite, min(size, len(elite))), key=lambda m: (m.fitness, m.model_id))
-
-
-def next_population(
-    elite: list[Member],
-    search: C.SearchConfig,
-    generation: int,
-    rng: random.Random,
-    space: Space = C.SEARCH_SPACE,
-) -> list[Member]:
-    """The elite unchanged (with their fitted trees, so they are not fitted again), and children of elite pairs."""
-    members = list(elite)
-    while len(members) < search.population_size:
-        a = pick_parent(elite, search.tournament_size, rng)
-        b = pick_parent(elite, search.tournament_size, rng)
-        child = blend(a.config, b.config, rng) if rng.random() < search.crossover_rate else rng.choice([a, b]).config
-        child = mutate(child, search.mutation_rate, rng, space)
-        members.append(Member(f"m{len(members):03d}_gen{generation}", child, generation=generation))
-    return members
-
-
-def fit_members(members: list[Member], training: TrainingSet, parallel: int) -> None:
-    waiting = [m for m in members if m.fitted is None]
-
-    def work(member: Member) -> None:
-        member.fitted = fit(training, member.config, member.model_id)
-
-    if waiting:
-        with ThreadPool(min(parallel, len(waiting))) as pool:
-            session = SparkSession.active()
-            pool.map(inheritable_thread_target(session)(work), waiting)
-
-
-def rate_members(members: list[Member], test_rows: DataFrame) -> None:
-    """Fitness of all members in one job: the scores of every candidate in one long table, one grouped loss."""
-    spark = test_rows.sparkSession
-    scores = reduce(DataFrame.unionByName, [m.fitted.long_scores(test_rows) for m in members])
-    models = spark.createDataFrame([(m.model_id, None) for m in members], "model_id string, mean_seconds double")
-    found = {r.model_id: r.fitness for r in population_fitness(scores, models).toLocalIterator()}
-    for m in members:
-        m.fitness = found[m.model_id]
+
+def search_summary(history: DataFrame) -> DataFrame:
+    """One row: generations, best fitness, mean seconds, and the best fitness so far of every generation in order."""
+    return history.agg(
+        F.count("*").alias("generations"),
+        F.min("best_fitness").alias("best_fitness"),
+        F.avg("seconds").alias("mean_seconds"),
+        F.sort_array(F.collect_list(F.struct("generation", "best_fitness")))["best_fitness"].alias("fitness_history"),
+    )
 
 
 @dataclass
 class SearchResult:
-    best: Member
+    best: FittedModel | None = None
     history: list[tuple] = field(default_factory=list)
     training_seconds: float = 0.0
     evaluation_seconds: float = 0.0
 
     def history_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(
-            self.history, "generation int, fitness double, best_fitness double, mean_fitness double, n_fitted int, seconds double"
-        )
+        return spark.createDataFrame(self.history, HISTORY)
 
     def summary(self, spark: SparkSession) -> DataFrame:
-        return self.history_table(spark).agg(
-            F.count("*").alias("generations"),
-            F.min("best_fitness").alias("best_fitness"),
-            F.lit(self.best.model_id).alias("best_model_id"),
-            F.avg("seconds").alias("mean_seconds"),
-            F.lit(self.training_seconds).alias("training_seconds"),
-            F.lit(self.evaluation_seconds).alias("evaluation_seconds"),
-            F.sort_array(F.collect_list(F.struct("generation", "best_fitness")))["best_fitness"].alias("fitness_history"),
+        return search_summary(self.history_table(spark)).withColumns(
+            {
+                "best_model_id": F.lit(self.best.model_id),
+                "training_seconds": F.lit(self.training_seconds),
+                "evaluation_seconds": F.lit(self.evaluation_seconds),
+            }
         )
 
+    def write_summary(self, spark: SparkSession, path: str) -> None:
+        sinks.write_json(self.summary(spark), path)
+
 
 def converged(best: list[float], patience: int, decimals: int = 4) -> bool:
     return len(best) >= patience and len({round(v, decimals) for v in best[-patience:]}) == 1
@@ -150,40 +162,35 @@ def converged(best: list[float], patience: int, decimals: int = 4) -> bool:
 def search(
     train: DataFrame, pool: DataFrame, settings: C.SearchConfig = C.SearchConfig(), space: Space = C.SEARCH_SPACE
 ) -> SearchResult:
-    """Evaluate, keep the elite, recombine; stop on convergence or at the last generation."""
-    rng = random.Random(settings.seed)
-    training = prepare_training(train)
-    pool = pool.persist()
-    members = initial_population(settings, rng, space)
-    best: Member | None = None
-    result = SearchResult(best=members[0])
+    """Rate generation after generation until the best fitness stands still or the last generation is done.
+
+    A generation's rows are as many as the population, so they are read on the driver to start the fits.
+    """
+    spark, result, models, best = train.sparkSession, SearchResult(), {}, float("inf")
+    training, pool, ranked = prepare_training(train), pool.persist(), None
     try:
         for generation in range(settings.max_generations):
-            started = time.perf_counter()
-            test_rows = random_subset(
-                pool, settings.test_samples_per_generation, "cell_id", "target_date", seed=generation
-            ).persist()
-            n_fitted = sum(m.fitted is None for m in members)
-            fit_members(members, training, settings.parallel_fits)
+            begun = time.perf_counter()
+            candidates = first_candidates(spark, settings, space) if ranked is None else next_candidates(ranked, generation, settings, space)
+            rows = {r.model_id: r.asDict() for r in candidates.collect()}
+            fresh = fit_all({k: config_of(r, space) for k, r in rows.items() if k not in models}, training, settings.parallel_fits)
+            models = {k: m for k, m in {**models, **fresh}.items() if k in rows}
             fitted_at = time.perf_counter()
-            rate_members(members, test_rows)
-            rated_at = time.perf_counter()
-            test_rows.unpersist()
-            members.sort(key=lambda m: (m.fitness, m.model_id))
-            if best is None or members[0].fitness < best.fitness:
-                best = replace(members[0])
-            mean = sum(m.fitness for m in members) / len(members)
-            result.training_seconds += fitted_at - started
-            result.evaluation_seconds += rated_at - fitted_at
-            result.history.append(
-                (generation, members[0].fitness, best.fitness, mean, n_fitted, rated_at - started)
-            )
+            asked = random_subset(pool, settings.test_samples_per_generation, "cell_id", "target_date", seed=generation).persist()
+            fitness = {r.model_id: r.fitness for r in rated(list(models.values()), asked).collect()}
+            asked.unpersist()
+            leader = min(fitness, key=lambda k: (fitness[k], k))
+            if result.best is None or fitness[leader] < best:
+                best, result.best = fitness[leader], models[leader]
+            done = time.perf_counter()
+            result.training_seconds += fitted_at - begun
+            result.evaluation_seconds += done - fitted_at
+            result.history.append((generation, fitness[leader], best, sum(fitness.values()) / len(fitness), len(fresh), done - begun))
             if converged([row[2] for row in result.history], settings.patience):
                 break
-            elite = members[: settings.elite_count]
-            members = next_population(elite, settings, generation, rng, space)
+            table = [(k, fitness[k], *[r[n] for n in space]) for k, r in rows.items()]
+            ranked = spark.createDataFrame(table, "model_id string, fitness double, " + ", ".join(f"{n} double" for n in space))
     finally:
         training.release()
         pool.unpersist()
-    result.best = best
     return result

@@ -23,13 +23,15 @@ def accept_readings(readings: DataFrame) -> DataFrame:
 def weather_wide(readings: DataFrame) -> DataFrame:
     """One row per station and day from accepted readings (station_id, date, element, value, quality, line_no).
 
-    A later line overwrites an earlier one. The pivot and the last-wins choice are a single hash aggregation over
+    A later line overwrites an earlier one; of several files (``source_file``) the later by name comes last. The pivot and the last-wins choice are a single hash aggregation over
     fixed-width buffers, combined before the shuffle, so a day repeated any number of times costs one row per task.
     Accepted readings all carry the complete flag, so the flag column follows from the value.
     """
+    order = F.struct("source_file", "line_no") if "source_file" in readings.columns else F.col("line_no")
+
     def last(element):
         hit = F.col("element") == element
-        return F.max_by(F.when(hit, F.col("value")), F.when(hit, F.col("line_no")))
+        return F.max_by(F.when(hit, F.col("value")), F.when(hit, order))
 
     wide = readings.groupBy("station_id", "date").agg(*[last(e).alias(e.lower()) for e in C.ELEMENTS])
     flags = {f"{m}_quality": F.when(F.col(m).isNotNull(), C.COMPLETE_FLAG) for m in MEASURES}

@@ -5,7 +5,7 @@ Each step writes its tables under ``out`` and the next reads them back, so a ste
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,6 +24,7 @@ class RawInputs:
     daily: str
     inventory: str | None = None
     fires: str | None = None
+    collected: bool = False
 
 
 def collect_daily(
@@ -66,29 +67,43 @@ def place_shapes(raw: DataFrame) -> DataFrame:
     return raw.withColumns({"LATITUDE": lat, "LONGITUDE": lon})
 
 
+def collect(spark: SparkSession, raw: RawInputs, out: str) -> RawInputs:
+    """The collector's part: daily lines of known Canadian stations in the box and years, and the stations without metadata.
+    Returns the inputs with the collected daily lines in place of the raw ones."""
+    unknown = collect_daily(spark, raw, f"{out}/collected/daily")
+    sinks.write_csv(unknown, f"{out}/collected/unknown_stations")
+    return replace(raw, daily=f"{out}/collected/daily/*", collected=True)
+
+
+def hand_on(df: DataFrame, out: str, name: str) -> None:
+    """A validated table: parquet for the next step, and from it a CSV export."""
+    sinks.write_table(df, f"{out}/validated/tables/{name}")
+    sinks.write_csv(read_table(df.sparkSession, f"{out}/validated/tables/{name}"), f"{out}/validated/{name}")
+
+
 def validate_raw(spark: SparkSession, raw: RawInputs, out: str, daily_mode: str = "tokens") -> None:
-    """Validated CSV tables and the report: rows processed, valid and removed per table, and every rejected row."""
-    stations = station_text.parse_stations(station_text.read_lines(spark, raw.stations))
-    sinks.write_csv(validate.valid(stations).drop("source_file", "line_no"), f"{out}/validated/stations")
+    """Validated tables and the report: rows processed, valid and removed per table, and every rejected row. Of collected inputs,
+    only Canadian stations and the fires that pass the collector's rules are looked at."""
+    lines = station_text.read_lines(spark, raw.stations)
+    stations = station_text.parse_stations(lines.filter(F.col("value").startswith("CA")) if raw.collected else lines)
+    hand_on(validate.valid(stations).drop("source_file", "line_no"), out, "stations")
     classified = {"stations": stations}
     rejects = [validate.reject_rows(stations, "stations", "station_id").withColumnRenamed("station_id", "detail")]
     if raw.inventory is not None:
         inventory = station_text.parse_inventory(station_text.read_lines(spark, raw.inventory))
-        sinks.write_csv(validate.valid(inventory).drop("source_file", "line_no"), f"{out}/validated/station_inventory")
+        hand_on(validate.valid(inventory).drop("source_file", "line_no"), out, "station_inventory")
         classified["station_inventory"] = inventory
         rejects.append(
             validate.reject_rows(inventory, "station_inventory", "station_id").withColumnRenamed("station_id", "detail")
         )
     daily = station_text.parse_daily(station_text.read_lines(spark, raw.daily), daily_mode)
-    sinks.write_csv(weather.weather_wide(daily), f"{out}/validated/weather_records")
+    hand_on(weather.weather_wide(daily), out, "weather_records")
     if raw.fires is not None:
-        reports, skipped = fire_files.read_fire_files(spark, fire_files.fire_file_paths(spark, raw.fires))
-        if skipped:
-            table = spark.createDataFrame(skipped, "source_file string, reason string")
-            sinks.write_csv(table, f"{out}/validated/skipped_files")
+        reports, skipped = fire_files.read_fire_files(spark, raw.fires)
+        sinks.write_csv(skipped, f"{out}/validated/skipped_files")
         if reports is not None:
-            fire_rows = validate.classify_fires(fire_files.rename_wkt(reports))
-            sinks.write_csv(validate.valid(fire_rows).drop("source_file"), f"{out}/validated/wildfire_records")
+            fire_rows = validate.classify_fires(collect_fires(reports) if raw.collected else fire_files.rename_wkt(reports))
+            hand_on(validate.valid(fire_rows), out, "wildfire_records")
             classified["wildfires"] = fire_rows
             rejects.append(
                 validate.reject_rows(fire_rows, "wildfires", "NFDBFIREID").withColumnRenamed("NFDBFIREID", "detail")
@@ -101,30 +116,21 @@ def validate_raw(spark: SparkSession, raw: RawInputs, out: str, daily_mode: str
     sinks.write_csv(every, f"{out}/validated/report_rejects")
 
 
-STATION_SCHEMA = "station_id string, latitude double, longitude double, elevation double, name string, country string"
-WEATHER_SCHEMA = (
-    "station_id string, date date, tmax double, tmin double, tavg double, prcp double, snwd double, tmax_quality string,"
-    " tmin_quality string, tavg_quality string, prcp_quality string, snwd_quality string"
-)
-
-
 def build_station_tables(spark: SparkSession, out: str) -> None:
-    """Station, weather, pair and neighbour tables, and the run's counts as metadata."""
-    def validated(name, schema=None):
-        reader = spark.read.option("header", True)
-        return (reader.schema(schema) if schema else reader).csv(f"{out}/validated/{name}")
+    """Station, weather and neighbour tables, and the run's counts as metadata. Pairs of stations are not stored: their number grows with
+    the square of the density, and nothing reads them; ``geo.pairs_within`` gives them when asked."""
+    def validated(name):
+        return read_table(spark, f"{out}/validated/tables/{name}")
 
-    sinks.write_table(validated("stations", STATION_SCHEMA), f"{out}/tables/stations")
+    sinks.write_table(validated("stations"), f"{out}/tables/stations")
     stations = read_table(spark, f"{out}/tables/stations")
     sinks.write_weather(
-        weather.enrich(validated("weather_records", WEATHER_SCHEMA)), f"{out}/tables/weather_wide", key="station_id"
+        weather.enrich(validated("weather_records")), f"{out}/tables/weather_wide", key="station_id"
     )
-    sinks.write_table(geo.pairs_within(stations), f"{out}/tables/station_distances")
     sinks.write_table(geo.station_neighbors(stations), f"{out}/tables/station_neighbors")
     counted = {
         "stations": (stations, "Number of weather stations"),
         "weather_records": (read_table(spark, f"{out}/tables/weather_wide"), "Number of weather records"),
-        "station_distances": (read_table(spark, f"{out}/tables/station_distances"), "Number of station distances"),
         "station_neighbors": (read_table(spark, f"{out}/tables/station_neighbors"), "Number of neighbor relations"),
     }
     sinks.write_table(profile.table_counts(counted), f"{out}/tables/metadata")
@@ -132,18 +138,14 @@ def build_station_tables(spark: SparkSession, out: str) -> None:
 
 def workspace_of(spark: SparkSession, out: str, **options) -> Workspace:
     """The grid and sample tables over the station tables and validated fires of ``out``."""
-    reports = spark.read.option("header", True).csv(f"{out}/validated/wildfire_records")
-    typed = reports.withColumns(
-        {
-            **{c: F.col(c).cast("double") for c in ("LATITUDE", "LONGITUDE", "SIZE_HA")},
-            "line_no": F.col("line_no").cast("long"),
-        }
+    reports = read_table(spark, f"{out}/validated/tables/wildfire_records").withColumns(
+        {c: F.col(c).cast("double") for c in ("LATITUDE", "LONGITUDE", "SIZE_HA")}
     )
     return Workspace(
         spark,
         read_table(spark, f"{out}/tables/stations", "station_id", "latitude", "longitude"),
         read_table(spark, f"{out}/tables/weather_wide"),
-        fires.fires_from_reports(typed),
+        fires.fires_from_reports(reports),
         **options,
     )
 
@@ -159,8 +161,9 @@ def build_grid_tables(ws: Workspace, out: str) -> None:
 def build_samples(ws: Workspace, out: str) -> None:
     """Training and test samples as CSV, and their metadata as JSON."""
     for kind in ("train", "test"):
-        sinks.write_csv(ws.samples(kind), f"{out}/samples/{kind}")
-    schema = ws.samples("train").schema
+        samples = ws.samples(kind)
+        schema = samples.schema
+        sinks.write_csv(samples, f"{out}/samples/{kind}")
     train, test = (
         ws.spark.read.schema(schema).option("header", True).csv(f"{out}/samples/{kind}") for kind in ("train", "test")
     )
@@ -168,7 +171,8 @@ def build_samples(ws: Workspace, out: str) -> None:
 
 
 def run(spark: SparkSession, raw: RawInputs, out: str, daily_mode: str = "tokens", **options) -> Workspace:
-    """All steps in order."""
+    """All steps in order, the collector's first."""
+    raw = collect(spark, raw, out)
     validate_raw(spark, raw, out, daily_mode)
     build_station_tables(spark, out)
     ws = workspace_of(spark, out, **options)

@@ -1,4 +1 @@
-from .fire_files import *  # noqa: F401,F403
-from .sinks import *  # noqa: F401,F403
-from .station_text import *  # noqa: F401,F403
-from .tables import *  # noqa: F401,F403
+"""Readers, parsers and writers."""

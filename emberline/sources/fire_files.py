@@ -2,64 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline import config as C
-from emberline.sources.station_text import line_order
+from emberline.sources.station_text import read_lines
 
 
-def fire_file_paths(spark: SparkSession, folder: str) -> list[str]:
-    """CSV files of a folder, listed through Hadoop so that any file system works."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
-    return sorted(row.path for row in listed.toLocalIterator())
+def file_headers(lines: DataFrame) -> DataFrame:
+    """source_file and header: the first line of every file of ``lines`` (source_file, line_no, value)."""
+    first = lines.groupBy("source_file").agg(F.min_by(F.struct("value", "line_no"), "line_no").alias("first"))
+    header = F.regexp_replace(F.trim(F.col("first.value")), "^\ufeff", "")
+    return first.select("source_file", header.alias("header"), F.col("first.line_no").alias("header_no"))
 
 
-def read_fire_files(
-    spark: SparkSession, paths: list[str], required: tuple[str, ...] = C.FIRE_REQUIRED
-) -> tuple[DataFrame | None, list[tuple[str, str]]]:
-    """Union of the readable fire files, as text columns, and the files left out with the reason.
+def parse_layouts(
+    lines: DataFrame, required: tuple[str, ...] = C.FIRE_REQUIRED
+) -> tuple[DataFrame | None, DataFrame]:
+    """CSV lines of many files as text columns, and the files left out with the reason.
 
-    Files are grouped by header so that each layout is one scan: the number of plans follows the number of layouts,
-    not of files. A file that lacks a required column gives no rows; neither does one that cannot be read.
-    Each row keeps its file and an order key for first-wins rules.
+    Headers are found in one job whatever the number of files. Only the different headers reach the driver: a plan follows the
+    number of layouts, not of files. A file that lacks a required column gives no rows. Every row keeps its file and line.
     """
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    skipped: list[tuple[str, str]] = []
-    for path in paths:
-        try:
-            header = tuple(spark.read.option("header", True).csv(path).columns)
-        except AnalysisException:
-            skipped.append((path, "unreadable"))
-            continue
-        missing = [c for c in required if c not in header]
+    headers = file_headers(lines)
+    layouts = sorted(r.header for r in headers.select("header").distinct().toLocalIterator())
+    parts, lacking = [], {}
+    for header in layouts:
+        names = next(csv.reader([header]), [])
+        missing = [c for c in required if c not in names]
         if missing:
-            skipped.append((path, "missing columns: " + ", ".join(missing)))
-        else:
-            layouts.setdefault(header, []).append(path)
-    parts = []
-    for header, group in layouts.items():
-        schema = ", ".join(f"`{c}` string" for c in header)
-        scan = (
-            spark.read.schema(schema)
-            .option("header", True)
-            .option("multiLine", False)
-            .option("mode", "PERMISSIVE")
-            .csv(group)
-        )
-        parts.append(
-            scan.select(
-                "*",
-                F.col("_metadata.file_path").alias("source_file"),
-                line_order().alias("line_no"),
-            )
-        )
+            lacking[header] = "missing columns: " + ", ".join(missing)
+            continue
+        own = headers.filter(F.col("header") == header).select("source_file", "header_no")
+        schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+        body = lines.join(own, "source_file").filter((F.col("line_no") > F.col("header_no")) & (F.trim("value") != ""))
+        parts.append(body.select(F.from_csv("value", F.lit(schema), {"mode": "PERMISSIVE"}).alias("r"), "source_file", "line_no").select("r.*", "source_file", "line_no"))
+    reason = reduce(lambda chain, kv: chain.when(F.col("header") == kv[0], kv[1]), lacking.items(), F.when(F.lit(False), ""))
+    skipped = headers.withColumn("reason", reason).filter("reason is not null").select("source_file", "reason")
     if not parts:
         return None, skipped
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part, allowMissingColumns=True)
-    return union, skipped
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), skipped
+
+
+def read_fire_files(
+    spark: SparkSession, folder: str, required: tuple[str, ...] = C.FIRE_REQUIRED
+) -> tuple[DataFrame | None, DataFrame]:
+    """Union of the fire files of a folder, and the files left out with the reason. An empty file has no lines and no reason."""
+    return parse_layouts(read_lines(spark, folder, "*.csv"), required)
 
 
 def rename_wkt(raw: DataFrame) -> DataFrame:

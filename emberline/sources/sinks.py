@@ -17,9 +17,12 @@ def write_daily_text(lines: DataFrame, path: str, mode: str = "overwrite") -> No
     share of all lines into tasks of the advisory size.
     """
     station = F.trim(F.substring("value", 1, 11))
+    order = [c for c in ("source_file", "line_no") if c in lines.columns]
     (
-        lines.select("value", station.alias("station_id"))
+        lines.select("value", station.alias("station_id"), *order)
         .hint("rebalance", F.col("station_id"))
+        .sortWithinPartitions("station_id", *order)
+        .drop(*order)
         .write.mode(mode)
         .partitionBy("station_id")
         .text(path)

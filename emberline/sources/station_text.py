@@ -13,18 +13,19 @@ from emberline.functions import exprs as X
 
 
 def line_order() -> Column:
-    """A number that grows along the lines of each file, also when Spark cuts the file into several splits.
+    """A number that grows along the lines of a file, however Spark cuts the file into splits and packs splits into tasks.
 
-    High bits: the split's start in megabytes (splits are larger than that); low 33 bits: the row's position in its task.
+    The split's first byte is the whole part above 33 bits, the row's position in its task the part below; a decimal holds
+    both in full. Rows of several files are told apart and ordered by the file's name first.
     """
-    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    split = F.shiftright(F.col("_metadata.file_block_start"), 20)
-    return F.shiftleft(split, 33) + position
+    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(10,0)")
+    split = F.col("_metadata.file_block_start").cast("decimal(19,0)")
+    return (split * F.lit(1 << 33).cast("decimal(10,0)") + position).cast("decimal(30,0)")
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Text lines with the file they come from and their order."""
-    return spark.read.text(path).select(
+def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
+    """Text lines with the file they come from and their order; ``glob`` picks files of a folder by name."""
+    return spark.read.option("pathGlobFilter", glob).text(path).select(
         "value", F.col("_metadata.file_path").alias("source_file"), line_order().alias("line_no")
     )
 
@@ -131,7 +132,7 @@ def parse_daily(
         X.to_integer(F.substring(line, 12, 4)).alias("year"),
         X.to_integer(F.substring(line, 16, 2)).alias("month"),
         X.fixed_field(line, 17, 21).alias("element"),
-        F.substring(line, 22, 100_000).alias("tail"),
+        F.substring(line, 22, F.length(line)).alias("tail"),
         F.length(line).alias("_length"),
     ).filter(
         (F.col("_length") >= 34)

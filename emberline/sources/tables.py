@@ -9,7 +9,3 @@ def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """A parquet table, pruned to the wanted columns."""
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
-
-
-def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,3 +1,4 @@
+
 import random
 
 import pytest
@@ -118,25 +119,31 @@ def test_single_class_uses_the_plain_model(spark):
     assert fitted.evaluate(sample_rows(spark, 60, one_class=True)).first().roc_auc == 0.5
 
 
-def test_settings_stay_in_range():
-    rng = random.Random(5)
-    a, b = search.random_config(rng), search.random_config(rng)
-    for _ in range(50):
-        child = search.mutate(search.blend(a, b, rng), 1.0, rng)
-        for name, (low, high, _, whole) in C.SEARCH_SPACE.items():
-            value = getattr(child, name)
-            assert low <= value <= high and (isinstance(value, int) or not whole)
-        a, b = b, child
-    assert C.ModelConfig.from_dict(a.to_dict()) == a
-    members = search.initial_population(C.SearchConfig(), rng)
-    assert len(members) == 50 and sum(m.config == C.ModelConfig() for m in members) >= 5
-    for i, m in enumerate(members):
-        m.fitness = float(i)
-    following = search.next_population(members[:5], C.SearchConfig(), 1, rng)
-    assert following[:5] == members[:5] and len(following) == 50
-
-
-def test_search(spark):
+def test_candidates(spark):
+    first = search.first_candidates(spark)
+    rows = first.orderBy("slot").collect()
+    base = C.ModelConfig()
+    assert len(rows) == 50 and len({r.model_id for r in rows}) == 50
+    assert sum(all(r[n] == getattr(base, n) for n in C.SEARCH_SPACE) for r in rows) == 5
+    ranked = first.withColumn("fitness", F.col("slot").cast("double"))
+    for generation in range(1, 5):
+        following = search.next_candidates(ranked, generation)
+        found = following.orderBy("slot").collect()
+        assert len(found) == 50 and [r.model_id for r in found[:5]] == [r.model_id for r in ranked.orderBy("fitness").limit(5).collect()]
+        for r in found:
+            for name, (low, high, _, whole) in C.SEARCH_SPACE.items():
+                assert low <= r[name] <= high and (not whole or r[name] == int(r[name]))
+        assert len({tuple(r[n] for n in C.SEARCH_SPACE) for r in found}) > 10
+        ranked = spark.createDataFrame(found, following.schema).withColumn("fitness", F.col("slot") / 7)
+    again = search.next_candidates(first.withColumn("fitness", F.col("slot").cast("double")).repartition(3), 1).orderBy("slot").collect()
+    assert again == search.next_candidates(first.withColumn("fitness", F.col("slot").cast("double")), 1).orderBy("slot").collect()
+    config = search.config_of(rows[7])
+    assert isinstance(config.max_depth, int) and C.ModelConfig.from_dict(config.to_dict()) == config
+    few = search.next_candidates(ranked.limit(2), 9).collect()
+    assert len(few) == 50
+
+
+def test_search(spark, tmp_path):
     samples = sample_rows(spark, 200)
     space = dict(C.SEARCH_SPACE, n_estimators=(2, 4, 1, True), max_depth=(2, 3, 1, True))
     settings = C.SearchConfig(population_size=3, max_generations=3, elite_count=2, default_members=1, test_samples_per_generation=50)
@@ -147,4 +154,6 @@ def test_search(spark):
     assert best == sorted(best, reverse=True)
     summary = result.summary(spark).first()
     assert summary.generations == len(history) and summary.fitness_history == best
-    assert result.best.fitted is not None
+    assert result.best.trees is not None
+    result.write_summary(spark, str(tmp_path / "summary"))
+    assert spark.read.json(str(tmp_path / "summary")).first().best_model_id == result.best.model_id

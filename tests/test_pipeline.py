@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline import config as C
+from emberline.operators import geo
 from emberline.plans import pipeline
 from emberline.sources.station_text import read_lines
 
@@ -17,8 +18,9 @@ def write_raw(folder):
     (folder / "daily").mkdir()
     (folder / "fires").mkdir()
     stations, inventory = [], []
-    for i in range(12):
-        sid = f"CA{i:09d}"
+    # Twelve Canadian stations, and one inside the box that is not: neither it nor its readings may appear.
+    for i in range(13):
+        sid = f"CA{i:09d}" if i < 12 else "US000000099"
         lat, lon = 49.0 + rng.random(), -125.0 + 3 * rng.random()
         stations.append(f"{sid:<11} {lat:8.4f} {lon:9.4f} {100.0 + i:6.1f}    {'STATION ' + str(i):<30} GSN     71{i:03d}")
         inventory.append(f"{sid:<11} {lat:8.4f} {lon:9.4f} TMAX 1990 2024")
@@ -37,7 +39,7 @@ def write_raw(folder):
         f"{2022 + i % 3}/08/{1 + i % 28:02d},{rng.choice([500, 50000, 400000])},Fire,"
         for i in range(40)
     ]
-    (folder / "fires" / "points.csv").write_text(head + "\n".join(fires) + "\nBAD,10,10,2023,7,1,2023/07/01,,1,Fire,\n")
+    (folder / "fires" / "points.csv").write_text(head + "\n".join(fires) + "\nBAD,49.5,-124,2023,7,40,2023/07/01,,1,Fire,\nOUT,10,10,2023,7,1,2023/07/01,,1,Fire,\n")
     (folder / "fires" / "shapes.csv").write_text("NFDBFIREID,YEAR,MONTH,DAY,SIZE_HA\nX,2023,7,1,5\n")
     return pipeline.RawInputs(
         str(folder / "stations.txt"), str(folder / "daily"), str(folder / "inventory.txt"), str(folder / "fires")
@@ -57,9 +59,10 @@ def test_tables(spark, built):
     read = lambda name: spark.read.parquet(f"{out}/tables/{name}")
     assert read("stations").count() == 12
     wide = read("weather_wide")
+    assert wide.filter("station_id LIKE 'US%'").count() == 0
     assert wide.count() == 12 * 1096 == wide.select("station_id", "date").distinct().count()
     assert wide.filter("data_completeness = 1.0").count() == wide.count()
-    pairs = read("station_distances")
+    pairs = geo.pairs_within(read("stations"))
     assert pairs.count() == 12 * 11 and read("station_neighbors").count() == 12 * 10
     assert pairs.alias("a").join(
         pairs.alias("b"),
@@ -102,4 +105,4 @@ def test_collect_daily(spark, built, tmp_path):
     unknown = pipeline.collect_daily(spark, raw, str(tmp_path / "kept"), 2022, 2023)
     assert unknown.count() == 0
     assert spark.read.text(str(tmp_path / "kept")).count() == 12 * 24 * 5
-    assert read_lines(spark, raw.daily).count() == 12 * 48 * 5
+    assert read_lines(spark, raw.daily).count() == 13 * 48 * 5

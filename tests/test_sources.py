@@ -3,10 +3,11 @@ import os
 import pytest
 
 from conftest import rows
+from emberline.functions.exprs import to_day
 from emberline.operators import validate, weather
 from emberline.plans import pipeline
 from emberline.sources import fire_files, sinks, station_text
-
+from emberline.sources.station_text import read_lines
 
 def lines(spark, *texts):
     return spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "value string, line_no long")
@@ -142,15 +143,41 @@ def test_fire_files(spark, tmp_path):
     (tmp_path / "b.csv").write_text(full + "B1,bad,-115,2023,7,1,1,\n")
     (tmp_path / "c.csv").write_text("NFDBFIREID,YEAR,MONTH,DAY,SIZE_HA\nC1,2023,7,1,1\n")
     (tmp_path / "notes.txt").write_text("x")
-    paths = fire_files.fire_file_paths(spark, str(tmp_path))
-    assert [os.path.basename(p) for p in paths] == ["a.csv", "b.csv", "c.csv"]
-    reports, skipped = fire_files.read_fire_files(spark, paths)
-    assert [os.path.basename(p) for p, _ in skipped] == ["c.csv"] and "LATITUDE" in skipped[0][1]
+    (tmp_path / "empty.csv").write_text("")
+    reports, skipped = fire_files.read_fire_files(spark, str(tmp_path))
+    found = {os.path.basename(r.source_file): r.reason for r in skipped.collect()}
+    assert set(found) == {"c.csv"} and "LATITUDE" in found["c.csv"]
     classified = validate.classify_fires(fire_files.rename_wkt(reports))
     assert rows(classified, "NFDBFIREID", "reject") == [("A1", None), ("A2", "month"), ("B1", "format")]
     assert classified.filter("source_file LIKE '%a.csv'").count() == 2
-    none, all_skipped = fire_files.read_fire_files(spark, [p for p in paths if p.endswith("c.csv")])
-    assert none is None and len(all_skipped) == 1
+    (tmp_path / "other").mkdir()
+    (tmp_path / "c.csv").rename(tmp_path / "other" / "c.csv")
+    none, all_skipped = fire_files.read_fire_files(spark, str(tmp_path / "other"))
+    assert none is None and all_skipped.count() == 1
+
+
+def test_line_order_over_small_splits_and_packed_files(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{k:05d}\n" for k in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("3000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = read_lines(spark, str(tmp_path)).orderBy("source_file", "line_no").collect()
+            assert [r.value for r in found] == [f"{n}{k:05d}" for n in "abc" for k in range(3000)]
+            assert len({(r.source_file, r.line_no) for r in found}) == 9000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_days_in_many_layouts(spark):
+    texts = {
+        "2023-07-14": True, "2023/07/14": True, "2023-7-14": True, "20230714": True, "7/14/2023": True, "14-Jul-2023": True, "Jul 14, 2023": True,
+        "2023-07-14 10:20:30": True, "2023-07-14T10:20:30.5Z": True, " 2023/07/14 00:00 ": True, "2023-07-14xyz": False, "2023-13-01": False,
+        "2023-02-30": False, "": False, "0000/00/00": False, "20230714 and more": False,
+    }
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", to_day("t").cast("string").alias("d")).collect()
+    assert {r.t: r.d for r in found} == {t: "2023-07-14" if good else None for t, good in texts.items()}
 
 
 def test_collect_fires(spark):

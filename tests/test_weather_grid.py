@@ -160,6 +160,25 @@ def test_fires_on_cells(spark, cells):
     assert rows(fires.cells_with_history(relations, fires.fire_events(burned).filter("fire_id = 'F2'"))) == [(0,)]
 
 
+def test_a_report_that_stands_in_two_files(spark, cells):
+    one = spark.createDataFrame([fire(0, "F1", 50.2, -114.8, 1_000_000.0), fire(1, "F2", 50.3, -114.7, 50_000.0)], FIRE_SCHEMA)
+    other = spark.createDataFrame([fire(0, "F1", 50.2, -114.8, 1_000_000.0), fire(1, "F2", 50.3, -114.7, 40_000.0)], FIRE_SCHEMA)
+    in_file = lambda df, name: df.withColumn("source_file", F.lit(name))
+    single = fires.burned_lines(in_file(one, "a.csv"), cells)
+    both = fires.burned_lines(in_file(other, "b.csv").unionByName(in_file(one, "a.csv")), cells)
+    assert both.count() == 4
+    assert rows(fires.fire_events(both)) == rows(fires.fire_events(single))
+    assert rows(fires.cell_fires(both)) == rows(fires.cell_fires(single))
+
+
+def test_last_reading_wins_over_files(spark):
+    made = spark.createDataFrame(
+        [("S", "2023-01-01", "TMAX", 1.0, "C", 9, "a"), ("S", "2023-01-01", "TMAX", 2.0, "C", 1, "b")],
+        "station_id string, date string, element string, value double, quality string, line_no long, source_file string",
+    ).withColumn("date", F.col("date").cast("date"))
+    assert weather.weather_wide(made).first().tmax == 2.0
+
+
 def _km(lat1, lon1, lat2, lon2):
     p1, p2 = math.radians(lat1), math.radians(lat2)
     a = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
