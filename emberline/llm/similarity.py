@@ -1,7 +1,7 @@
 """Exact Jaccard join of documents on word shingles, with signature trees.
 
 1. Every text becomes its set of shingle codes (64 bit); equal sets share a key, so copies are one set from here on.
-2. Codes go to buckets by their upper bits, packed by batch. A bucket knows how many sets have each of its codes. Codes of one set only
+2. Codes go to buckets by their upper bits, packed by batch, and those that are shared come back. A bucket knows how many sets have each of its codes. Codes of one set only
    can be in no overlap, so a set with less than the needed share of shared codes has no partner, and is done.
 3. Of the sets left, the rarest codes - as many as must hold one common code of any linked pair - name the code's leader, that of its sets
    which has the fewest unshared codes. Sets that share a leader form a block; any linked pair meets in a block.
@@ -12,7 +12,7 @@
 5. Components of the links, and from sets back to documents.
 
 A task emits a spanning forest of its links, never all pairs. All overlaps are counted on whole sets of codes; two different shingles of a pair of sets
-fall together with a chance of some 1e-13.
+fall together with a chance below 1e-8 (codes of 43 bits and more, more with the size of the corpus).
 
 Defined results: documents without words have an empty set and are linked with nothing; fewer words than a shingle are one shingle; repeated rows are
 linked as copies; rows with one id but different texts share the id's component only through their own links; an empty table gives no rows.
@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from emberline.llm.common import cut, importable, reliable_cut, without
+from emberline.llm.common import cut, importable, reliable_cut, small, without
 from emberline.llm.components import components
 
 SHINGLE = 5
@@ -101,25 +101,32 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- shared codes ------------------------------------------------------------------------------------------------------------
 
 def dealt_codes(docs: DataFrame, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """bucket, keys (KEY bytes each), counts (u32), codes (their lower 48 bits, 6 bytes each): the different sets of a batch."""
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("codes", pa.binary())])
+    """The different sets of a batch, dealt out by the upper ``bits`` of their codes.
 
-    def deal(sets: dict[bytes, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, codes = list(sets), np.concatenate(list(sets.values()))
-        owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(s) for s in sets.values()])
-        bucket = (codes >> np.uint64(64 - bits)).astype(np.uint16) if bits else np.zeros(len(codes), np.uint16)
+    A row per batch and bucket: counts (u32, how many codes each set of the batch has there, zeros included) and codes (their lower
+    40 bits, 5 bytes each, set after set). With as many buckets as the corpus asks for, two codes of a bucket fall together with a chance
+    of some millionths at every size. A row with a negative bucket has the batch's keys.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("counts", pa.binary()), ("codes", pa.binary())])
+
+    def deal(batch: int, sets: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+        codes = np.concatenate(list(sets.values()))
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets.values()])
+        bucket = (codes >> np.uint64(64 - bits)).astype(np.uint16)
         order = np.argsort(bucket, kind="stable")
         bucket, owner = bucket[order], owner[order]
-        octets = np.ascontiguousarray(codes[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+        octets = np.ascontiguousarray(codes[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
         edges = np.flatnonzero(np.diff(bucket)) + 1
-        rows = []
+        rows = [(-1 - batch % (1 << bits), batch, b"".join(sets), b"")]
         for s, e in zip([0, *edges], [*edges, len(bucket)]):
-            own, counts = np.unique(owner[s:e], return_counts=True)
-            rows.append((int(bucket[s]), b"".join([keys[k] for k in own]), counts.astype("<u4").tobytes(), octets[s:e].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+            counts = np.bincount(owner[s:e], minlength=len(sets)).astype("<u4")
+            rows.append((int(bucket[s]), batch, counts.tobytes(), octets[s:e].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sets, held = _WordCodes(), {}, 0
+        from pyspark import TaskContext
+
+        words, sets, held, number = _WordCodes(), {}, 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in cut(batch):
                 for text in part.column(1).to_pylist():
@@ -128,62 +135,57 @@ def dealt_codes(docs: DataFrame, bits: int, id_col: str, text_col: str) -> DataF
                         sets[key] = codes
                         held += len(codes)
                         if held >= BATCH_CODES:
-                            yield from deal(sets)
-                            sets, held = {}, 0
+                            yield deal(number, sets)
+                            sets, held, number = {}, 0, number + 1
         if sets:
-            yield from deal(sets)
+            yield deal(number, sets)
 
-    return importable(_texts(docs, id_col, text_col)).mapInArrow(task, "bucket int, keys binary, counts binary, codes binary")
+    return importable(_texts(docs, id_col, text_col)).mapInArrow(task, "bucket int, batch long, counts binary, codes binary")
 
 
 def shared_codes(dealt: DataFrame, buckets: int) -> DataFrame:
-    """key, n_shared, codes (bucket in the upper 16 bits; 8 bytes each), sets (in how many; u32 each): of every set that has some in a bucket."""
-    schema = pa.schema([("key", pa.binary()), ("n_shared", pa.int32()), ("codes", pa.binary()), ("sets", pa.binary())])
-
-    def bucket_rows(bucket: int, parts: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        places: dict[bytes, int] = {}
-        total = sum(len(octets) // 6 for _, _, octets in parts)
-        code, owner, filled = np.zeros(total, "<u8"), np.zeros(total, np.int32), 0
-        while parts:
-            keys, counts, octets = parts.pop()
-            n = np.frombuffer(counts, "<u4").astype(np.int64)
-            # A set that came from another batch already is the same set.
-            own = np.empty(len(n), np.int32)
-            for k in range(len(n)):
-                key = keys[KEY * k : KEY * (k + 1)]
-                own[k] = -1 if key in places else places.setdefault(key, len(places))
-            wide = np.zeros((len(octets) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(octets, np.uint8).reshape(-1, 6)
-            each = np.repeat(own, n)
-            fresh = each >= 0
-            upto = filled + int(fresh.sum())
-            code[filled:upto], owner[filled:upto] = wide.view("<u8").ravel()[fresh], each[fresh]
-            filled = upto
-        code, owner = code[:filled], owner[:filled]
+    """The same rows, with those codes only that occur more than once in a bucket: their values (bucket above the 40 bits, 8 bytes
+    each) and ``sets``, in how many sets of batches (u32 each). A set that stands in two batches counts twice, wherever it is met."""
+    schema = pa.schema(
+        [("batch", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("codes", pa.binary()), ("sets", pa.binary())]
+    )
+
+    def bucket_rows(bucket: int, parts: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(octets) // 5 for _, _, octets in parts]
+        code, at = np.zeros(sum(sizes), "<u8"), 0
+        for (_, _, octets), n in zip(parts, sizes):
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :5] = np.frombuffer(octets, np.uint8).reshape(-1, 5)
+            code[at : at + n] = wide.view("<u8").ravel()
+            at += n
         order = np.argsort(code, kind="stable")
-        code, owner = code[order], owner[order]
-        edges = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1], [True])))
-        sets = np.repeat(np.diff(edges), np.diff(edges))
-        code, owner, sets = code[sets > 1], owner[sets > 1], sets[sets > 1]
-        order = np.argsort(owner, kind="stable")
-        owner, sets = owner[order], sets[order].astype("<u4")
-        code = (code[order] | (np.uint64(bucket) << np.uint64(48))).astype("<u8")
-        names = list(places)
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)])) if len(owner) else [0]
-        for at in range(0, len(edges) - 1, 20_000):
-            spans = [(int(s), int(e)) for s, e in zip(edges[at : at + 20_000], edges[at + 1 : at + 20_001])]
-            columns = [
-                [names[owner[s]] for s, _ in spans], [e - s for s, e in spans],
-                [code[s:e].tobytes() for s, e in spans], [sets[s:e].tobytes() for s, e in spans],
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
+        inorder = code[order]
+        edges = np.flatnonzero(np.concatenate(([True], inorder[1:] != inorder[:-1], [True])))
+        sets = np.empty(len(code), "<u4")
+        sets[order] = np.repeat(np.diff(edges), np.diff(edges))
+        del order, inorder
+        code |= np.uint64(bucket) << np.uint64(40)
+        at, rows = 0, []
+        for (batch, counts, _), n in zip(parts, sizes):
+            each = np.frombuffer(counts, "<u4").astype(np.int64)
+            keep = sets[at : at + n] > 1
+            upto = np.concatenate(([0], np.cumsum(keep)))
+            ends = np.cumsum(each)
+            left = (upto[ends] - upto[ends - each]).astype("<u4")
+            rows.append((batch, bucket, left.tobytes(), code[at : at + n][keep].tobytes(), sets[at : at + n][keep].tobytes()))
+            at += n
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), rows in groups(batches, 1):
-            yield from bucket_rows(bucket, [r[1:] for r in rows])
+            if bucket < 0:
+                columns = [[r[1] for r in rows], [bucket] * len(rows), [r[2] for r in rows], [b""] * len(rows), [b""] * len(rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
+            else:
+                yield from bucket_rows(bucket, [r[1:] for r in rows])
 
     placed = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return importable(placed).mapInArrow(task, "key binary, n_shared int, codes binary, sets binary")
+    return importable(placed).mapInArrow(task, "batch long, bucket int, counts binary, codes binary, sets binary")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -208,29 +210,39 @@ def least_overlap(n: int) -> int:
 
 def candidate_sets(dealt: DataFrame, buckets: int) -> DataFrame:
     """id, key, n, codes, sets of the sets whose shared codes reach the least overlap; stored."""
-    whole = (
-        shared_codes(dealt, buckets)
-        .groupBy("key")
-        .agg(F.sum("n_shared").alias("n_shared"), F.collect_list(F.struct("codes", "sets")).alias("parts"))
-    )
     schema = pa.schema([("key", pa.binary()), ("n", pa.int32()), ("codes", pa.binary()), ("sets", pa.binary())])
 
+    def batch_rows(parts: list[tuple[int, bytes, bytes, bytes]]) -> list[tuple]:
+        keys = next(counts for bucket, counts, _, _ in parts if bucket < 0)
+        parts = [p for p in parts if p[0] >= 0]
+        numbers = np.arange(len(keys) // KEY, dtype=np.int32)
+        owner = np.concatenate([np.repeat(numbers, np.frombuffer(p[1], "<u4")) for p in parts])
+        codes = np.concatenate([np.frombuffer(p[2], "<u8") for p in parts])
+        sets = np.concatenate([np.frombuffer(p[3], "<u4") for p in parts])
+        order = np.lexsort((codes, owner))
+        owner, codes, sets = owner[order], codes[order], sets[order]
+        ends = np.searchsorted(owner, numbers, "right")
+        rows = []
+        for k, end in enumerate(ends):
+            begin = int(ends[k - 1]) if k else 0
+            key = keys[KEY * k : KEY * (k + 1)]
+            n = int.from_bytes(key[-4:], "little")
+            if end - begin >= least_overlap(n):
+                rows.append((key, n, codes[begin:end].tobytes(), sets[begin:end].tobytes()))
+        return rows
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in cut(batch, 500):
-                rows = []
-                for key, n_shared, parts in zip(*(c.to_pylist() for c in part.columns)):
-                    n = int.from_bytes(key[-4:], "little")
-                    if n_shared >= least_overlap(n):
-                        codes = np.frombuffer(b"".join([p["codes"] for p in parts]), "<u8")
-                        sets = np.frombuffer(b"".join([p["sets"] for p in parts]), "<u4")
-                        order = np.argsort(codes)
-                        rows.append((key, n, codes[order].tobytes(), sets[order].tobytes()))
-                columns = zip(*rows) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
+        for _, rows in groups(batches, 1):
+            found = batch_rows([r[1:] for r in rows])
+            for at in range(0, len(found), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*found[at : at + 500]), schema)], schema=schema)
 
-    found = importable(whole).mapInArrow(task, "key binary, n int, codes binary, sets binary")
-    return reliable_cut(found.withColumn("id", F.monotonically_increasing_id()), "sets")
+    placed = shared_codes(dealt, buckets).repartition("batch").sortWithinPartitions("batch", "bucket")
+    found = importable(placed).mapInArrow(task, "key binary, n int, codes binary, sets binary")
+    stored = reliable_cut(found.withColumn("id", F.monotonically_increasing_id()), "sets")
+    # A set that came from several batches is one set.
+    ids = reliable_cut(stored.groupBy("key").agg(F.min("id").alias("id")).select("id"), "set-ids")
+    return stored.join(small(ids), "id", "left_semi")
 
 
 # --- blocks ------------------------------------------------------------------------------------------------------------------
@@ -519,7 +531,7 @@ def set_links(sets: DataFrame) -> DataFrame:
 
 
 def bucket_bits(docs: DataFrame, text_col: str) -> int:
-    """Buckets by the bytes of all texts; a code stands for some six bytes or more."""
+    """Bits for as many buckets as the bytes of all texts ask for; a code stands for some six bytes."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     return min(16, max(3, (total // 6 // BUCKET_CODES).bit_length()))
 
