@@ -145,3 +145,29 @@ def interpolate(
         n_used.alias("station_count_used"),
         X.confidence(n_used, F.col("primary_distance")).alias("confidence_score"),
     )
+
+
+def cell_confidence(
+    assignments: DataFrame, station_days: DataFrame, days: DataFrame, mode: str = "idw", cell_bound: int | None = None
+) -> DataFrame:
+    """cell_id, avg_confidence, data_days: the mean over all days of what ``interpolate`` gives as confidence.
+
+    It depends on the day only by how many of the cell's stations report, so days are counted by that number and neither the
+    spine of cells and days nor any measure is needed. ``station_days``: one row per station and day with a report.
+    """
+    used = assignments.select("cell_id", "station_id", "rnk")
+    used = (used.filter("rnk = 1") if mode == "nearest" else used).select("cell_id", "station_id")
+    reports = (
+        station_days.select("station_id", "date")
+        .join(F.broadcast(used) if assignments_are_small(cell_bound) else used, "station_id")
+        .groupBy("cell_id", "date")
+        .agg(F.count("*").alias("n"))
+        .groupBy("cell_id")
+        .agg(F.count(F.when(F.col("n") == 1, 1)).alias("one"), F.count(F.when(F.col("n") > 1, 1)).alias("more"))
+    )
+    n_days = days.agg(F.count_distinct("date")).scalar()
+    one, more = F.coalesce("one", F.lit(0)), F.coalesce("more", F.lit(0))
+    of = lambda n: X.confidence(F.lit(n), F.col("primary_distance"))
+    cells = assignments.filter("rnk = 1").select("cell_id", "primary_distance").join(reports, "cell_id", "left")
+    total = one * of(1) + more * of(2) + (n_days - one - more) * of(0)
+    return cells.select("cell_id", (total / n_days).alias("avg_confidence"), n_days.alias("data_days"))

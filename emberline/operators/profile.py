@@ -90,16 +90,13 @@ def terrain_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("terrain_type").agg(F.count("*").alias("n_cells"), F.sum("is_water").alias("n_water_flag"))
 
 
-def weather_summary(weather: DataFrame) -> DataFrame:
-    """Rows, cells, days and the first and last day. Days and cells are counted over per-key rows that are combined before
-    they travel."""
-    return weather.agg(
-        F.count("*").alias("n_rows"),
-        F.count_distinct("cell_id").alias("n_cells"),
-        F.count_distinct("date").alias("n_dates"),
-        F.min("date").alias("first_date"),
-        F.max("date").alias("last_date"),
-    )
+def weather_summary(assignments: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows, cells, days and the first and last day of the cell weather: every assigned cell has every reported day, so its rows
+    need not be made to be counted."""
+    cells = assignments.filter(F.col("rnk") == 1).agg(F.count("*")).scalar()
+    return days.agg(
+        F.count_distinct("date").alias("n_dates"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    ).select((cells * F.col("n_dates")).alias("n_rows"), cells.alias("n_cells"), "n_dates", "first_date", "last_date")
 
 
 def distinct_dates(weather: DataFrame) -> DataFrame:

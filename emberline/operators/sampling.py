@@ -1,7 +1,7 @@
 """Cell targets, sample dates and splits, all by repeatable md5 ranks.
 
-Where a quota is a parameter, the rank is cut at the largest quota, a constant: Spark then limits each group inside every
-task before the shuffle, and a stratum that holds most of the rows still reaches one task as a few hundred rows only.
+Where a quota is a small parameter, the rank is cut at the largest quota, a constant: Spark then limits each group inside every
+task before the shuffle (it does so up to a limit of 1,000). Larger quotas are cut by rank prefixes first (``lowest_ranks``).
 """
 
 from __future__ import annotations
@@ -20,18 +20,15 @@ def by_name(name: Column, values: dict[str, float]) -> Column:
     return reduce(lambda chain, kv: chain.when(name == kv[0], F.lit(kv[1])), values.items(), F)
 
 
-def cell_stats(cells: DataFrame, weather: DataFrame, cell_fire: DataFrame) -> DataFrame:
-    """Per cell: mean confidence, days with data and number of fires. Both sides are folded to one row per cell before
-    they meet, so days and fires of a cell never multiply."""
-    days = weather.groupBy("cell_id").agg(
-        F.avg("confidence_score").alias("avg_confidence"), F.count_distinct("date").alias("data_days")
-    )
+def cell_stats(cells: DataFrame, days: DataFrame, cell_fire: DataFrame) -> DataFrame:
+    """Per cell: mean confidence, days with data and number of fires. ``days``: cell_id, avg_confidence, data_days. Fires are
+    folded to one row per cell before they meet, so days and fires of a cell never multiply."""
     fires = cell_fire.groupBy("cell_id").agg(F.count_distinct("fire_id").alias("fire_count"))
     return (
         cells.join(days, "cell_id", "left")
         .join(fires, "cell_id", "left")
         .withColumns(
-            {"data_days": F.coalesce("data_days", F.lit(0)), "fire_count": F.coalesce("fire_count", F.lit(0))}
+            {"data_days": F.coalesce("data_days", F.lit(0)).cast("long"), "fire_count": F.coalesce("fire_count", F.lit(0))}
         )
     )
 
@@ -111,13 +108,33 @@ def pool_cells(
 ) -> DataFrame:
     """Cells of the test pool by terrain quota, all of a terrain that has too few."""
     quota = {name: int(size * part) for name, part in (share or C.POOL_SHARE).items()}
-    order = Window.partitionBy("terrain_type").orderBy(X.sampling_rank("cell_id"), "cell_id")
+    asked = stats.filter((F.col("data_days") >= min_days) & F.col("terrain_type").isin(*quota)).withColumn(
+        "_rank", X.sampling_rank("cell_id")
+    )
+    return lowest_ranks(asked, "terrain_type", by_name(F.col("terrain_type"), quota), "cell_id").drop("_rank")
+
+
+def lowest_ranks(rows: DataFrame, group: str, quota: Column, *ties: str) -> DataFrame:
+    """Of each group the ``quota`` rows with the lowest md5 text ``_rank``.
+
+    Rows are counted per group and four-digit prefix of the rank (at most 65,536 a group); only prefixes up to the one in which the
+    quota is reached go to the shuffle, so a group's task gets its quota and some rows more, whatever the quota and the group.
+    """
+    keyed = rows.withColumn("_prefix", F.substring("_rank", 1, 4))
+    below = Window.partitionBy(group).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy(group, "_prefix").agg(F.count("*").alias("_n"))
+    cuts = (
+        counts.withColumn("_before", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+        .filter(F.col("_before") < quota)
+        .groupBy(F.col(group).alias("_group"))
+        .agg(F.max("_prefix").alias("_cut"))
+    )
+    order = Window.partitionBy(group).orderBy("_rank", *ties)
     return (
-        stats.filter((F.col("data_days") >= min_days) & F.col("terrain_type").isin(*quota))
+        keyed.join(cuts, (F.col(group) == F.col("_group")) & (F.col("_prefix") <= F.col("_cut")))
         .withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= max(quota.values()))
-        .filter(F.col("_n") <= by_name(F.col("terrain_type"), quota))
-        .drop("_n")
+        .filter(F.col("_n") <= quota)
+        .drop("_group", "_cut", "_prefix", "_n")
     )
 
 

@@ -99,6 +99,32 @@ VIEWS: dict[str, str | dict[str, str]] = {
     "a_models": """SELECT user_id % 7 AS model_id, avg(value) / 20.0e0 AS mean_seconds FROM {events} GROUP BY user_id % 7""",
     "a_generations": """SELECT cast(event_id % 200 AS int) AS generation, round(avg(value), 2) AS fitness FROM {events}
  GROUP BY cast(event_id % 200 AS int)""",
+    # A ranked population of settings, and a history of generations.
+    "a_population": """SELECT concat('m', cast(s_suppkey AS string)) AS model_id, s_acctbal AS fitness,
+ cast(3 + s_suppkey * 7 % 13 AS double) AS max_depth, cast(50 + s_suppkey * 37 % 451 AS double) AS n_estimators,
+ 0.01e0 + (s_suppkey * 11 % 30) / 100.0e0 AS learning_rate, 0.6e0 + (s_suppkey * 13 % 41) / 100.0e0 AS subsample,
+ 0.6e0 + (s_suppkey * 17 % 41) / 100.0e0 AS colsample FROM {supplier}""",
+    # Fire reports as two files whose lines have the same numbers, some reports standing in both.
+    "a_fire_files": """SELECT f.*, 'b.csv' AS source_file FROM {a_fires} AS f WHERE line_no % 3 < 2 UNION ALL
+ SELECT fire_id, line_no, latitude, longitude, year, month, day, size_ha * 0.5e0 AS size_ha, rep_date, out_date, fire_type, geometry_wkt,
+ 'a.csv' AS source_file FROM {a_fires} WHERE line_no % 3 > 0""",
+    # Days in several layouts, some of them no days.
+    "a_day_texts": """SELECT o_orderkey AS line_no, cast(o_orderdate AS date) AS day, o_orderkey % 9 AS layout,
+ cast(extract(year FROM cast(o_orderdate AS date)) AS string) AS y, cast(extract(month FROM cast(o_orderdate AS date)) AS string) AS m,
+ cast(extract(day FROM cast(o_orderdate AS date)) AS string) AS d FROM {orders}""",
+    "a_days": """SELECT line_no, day, layout, CASE layout WHEN 0 THEN concat(y, '-', lpad(m, 2, '0'), '-', lpad(d, 2, '0'))
+ WHEN 1 THEN concat(y, '/', lpad(m, 2, '0'), '/', lpad(d, 2, '0')) WHEN 2 THEN concat(y, '-', m, '-', d)
+ WHEN 3 THEN concat(y, lpad(m, 2, '0'), lpad(d, 2, '0')) WHEN 4 THEN concat(m, '/', d, '/', y)
+ WHEN 5 THEN concat(' ', y, '-', lpad(m, 2, '0'), '-', lpad(d, 2, '0'), ' 10:20:30')
+ WHEN 6 THEN concat(y, '-', lpad(m, 2, '0'), '-', lpad(d, 2, '0'), 'T01:02:03.5Z')
+ WHEN 7 THEN concat(y, '-', lpad(m, 2, '0'), '-', lpad(d, 2, '0'), 'x') ELSE concat(y, '-13-', d) END AS text FROM {a_day_texts}""",
+    # CSV lines of three files in two readable layouts and one that lacks a column; line 0 is the header.
+    "a_csv_lines": """SELECT concat('f', cast(o_orderkey % 3 AS string), '.csv') AS source_file, o_orderkey + 1 AS line_no,
+ CASE o_orderkey % 3 WHEN 0 THEN concat(cast(o_orderkey AS string), ',', cast(o_custkey AS string), ',2023,7,1,', '"1,5 ha"')
+ WHEN 1 THEN concat('1,7,2023,', cast(o_orderkey AS string), ',', cast(o_custkey AS string), ',,x') ELSE 'a,b' END AS value FROM {orders}
+ UNION ALL SELECT 'f0.csv', 0, 'LATITUDE,LONGITUDE,YEAR,MONTH,DAY,SIZE_HA' FROM {region} WHERE r_regionkey = 0
+ UNION ALL SELECT 'f1.csv', 0, 'DAY,MONTH,YEAR,LATITUDE,LONGITUDE,SIZE_HA,CAUSE' FROM {region} WHERE r_regionkey = 0
+ UNION ALL SELECT 'f2.csv', 0, 'LATITUDE,CAUSE' FROM {region} WHERE r_regionkey = 0""",
     # Labelled samples and prediction requests.
     "a_labelled": """SELECT o_orderkey AS sample_id, o_custkey AS cell_id, cast(o_orderdate AS date) AS target_date,
  CASE o_orderkey % 5 WHEN 0 THEN 'forest' WHEN 1 THEN 'land' WHEN 2 THEN 'urban' WHEN 3 THEN 'water' ELSE 'forest' END

@@ -7,7 +7,7 @@ import re
 
 from emberline import config as C
 from emberline.plans.adapters import VIEWS, sql_of
-from emberline.plans.queries import CONFIDENCE_MIN, DAILY_GRID_KM, GRID_KM
+from emberline.plans.queries import CONFIDENCE_MIN, GRID_KM
 
 BOX = C.SOUTHERN_CANADA
 ELEMENT_LIST = ", ".join(f"'{e}'" for e in C.ELEMENTS)
@@ -347,8 +347,6 @@ COMMON: dict[str, str] = {
     "v_land": "SELECT * FROM v_cells WHERE terrain_type IN ('land', 'urban', 'forest')",
     "v_assigned": assigned("v_land"),
     "v_cell_weather": interpolated("v_assigned"),
-    "v_coarse_land": f"SELECT * FROM ({full_grid(DAILY_GRID_KM)}) WHERE terrain_type IN ('land', 'urban', 'forest')",
-    "v_coarse_assigned": assigned("v_coarse_land"),
     "v_ready_fires": """SELECT *, least(sqrt(size / pi()) / 10, 20.0e0) AS radius_km FROM (
  SELECT fire_id, line_no, latitude, longitude, TRY_CAST(rep_date AS DATE) AS start_date,
  CASE WHEN coalesce(out_date, '') IN ('', '0000/00/00') THEN TRY_CAST(rep_date AS DATE) ELSE TRY_CAST(out_date AS DATE) END AS end_date,
@@ -356,6 +354,12 @@ COMMON: dict[str, str] = {
  FROM v_fires) WHERE start_date IS NOT NULL AND end_date IS NOT NULL""",
     "v_hits": f"""SELECT * FROM (SELECT f.*, c.cell_id, {haversine('f.latitude', 'f.longitude', 'c.center_lat', 'c.center_lon')} AS km
  FROM v_ready_fires f CROSS JOIN v_land c) WHERE km <= radius_km""",
+    "v_ready_files": """SELECT *, least(sqrt(size / pi()) / 10, 20.0e0) AS radius_km FROM (
+ SELECT source_file, fire_id, line_no, latitude, longitude, TRY_CAST(rep_date AS DATE) AS start_date,
+ CASE WHEN coalesce(out_date, '') IN ('', '0000/00/00') THEN TRY_CAST(rep_date AS DATE) ELSE TRY_CAST(out_date AS DATE) END AS end_date,
+ CASE WHEN coalesce(size_ha, 0) > 0 THEN size_ha ELSE 1.0e0 END AS size FROM a_fire_files WHERE month BETWEEN 1 AND 12)""",
+    "v_file_hits": f"""SELECT * FROM (SELECT f.*, c.cell_id, {haversine('f.latitude', 'f.longitude', 'c.center_lat', 'c.center_lon')} AS km
+ FROM v_ready_files f CROSS JOIN v_land c) WHERE km <= radius_km""",
     "v_events": """SELECT fire_id, center_cell_id, start_date, end_date, size AS total_size_ha, kind AS fire_type, latitude, longitude,
  affected_cells FROM (SELECT *, row_number() OVER (PARTITION BY fire_id ORDER BY line_no) AS n FROM (
  SELECT line_no, fire_id, start_date, end_date, size, kind, latitude, longitude,
@@ -420,6 +424,43 @@ _CORNERS = [(BOX.lon_min, BOX.lat_min), (BOX.lon_min, BOX.lat_max), (BOX.lon_max
 _SIDES = ", ".join(f"(x2 - x1) * ({cy} - y1) - (y2 - y1) * ({cx} - x1)" for cx, cy in _CORNERS)
 _SAMPLE_JSON = ",".join(f'"{c}"' for c in C.SAMPLE_COLUMNS)
 
+# Settings searched over, with the source's ranges and steps: low, high, step, whole number.
+_SPACE = {
+    "max_depth": (3, 15, 2, True), "n_estimators": (50, 500, 50, True), "learning_rate": (0.01, 0.3, 0.05, False),
+    "subsample": (0.6, 1.0, 0.1, False), "colsample": (0.6, 1.0, 0.1, False),
+}
+
+
+def draw_sql(*parts: str) -> str:
+    text = " || '|' || ".join(["'42'", *parts])
+    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0e0)"
+
+
+def next_candidates_sql(generation: int) -> str:
+    """Elite of five in the first slots; children of tournament winners (best of three drawn) in the other forty-five."""
+    g, slot = f"'{generation}'", "CAST(slot AS VARCHAR)"
+    cross, copy = f"{draw_sql(g, slot, chr(39) + 'cross' + chr(39))} < 0.8e0", f"{draw_sql(g, slot, chr(39) + 'copy' + chr(39))} < 0.5e0"
+    columns = []
+    for name, (low, high, step, whole) in _SPACE.items():
+        q = f"'{name}'"
+        u, v, w = (draw_sql(g, slot, q, f"'{x}'") for x in ("mix", "by", "move"))
+        mixed = f"CASE WHEN {u} < 0.5e0 THEN a.{name} ELSE b.{name} END" if whole else f"a.{name} + {u} * (b.{name} - a.{name})"
+        child = f"CASE WHEN {cross} THEN {mixed} WHEN {copy} THEN a.{name} ELSE b.{name} END"
+        move = f"floor({v} * {2 * step + 1}) - {step}" if whole else f"({v} * 2 - 1) * {step}e0"
+        moved = f"CASE WHEN {w} < 0.1e0 THEN least({high}, greatest({low}, {child} + {move})) ELSE {child} END"
+        columns.append(f"round(CAST(CASE WHEN slot < 5 THEN o.{name} ELSE {moved} END AS DOUBLE), 6) AS {name}")
+    winner = lambda side: (
+        f"SELECT slot, min(r) AS r FROM (SELECT slot, r, row_number() OVER (PARTITION BY slot ORDER BY {draw_sql(g, slot, chr(39) + side + chr(39), 'CAST(r AS VARCHAR)')}, r) AS n"
+        " FROM (SELECT unnest(range(50)) AS slot), (SELECT unnest(range(1, 6)) AS r)) WHERE n <= 3 GROUP BY slot"
+    )
+    elite = "SELECT *, row_number() OVER (ORDER BY fitness, model_id) AS r FROM a_population QUALIFY r <= 5"
+    return (
+        f"WITH elite AS ({elite}), wa AS ({winner('a')}), wb AS ({winner('b')})"
+        f" SELECT CAST(wa.slot AS INT) AS slot, CASE WHEN wa.slot < 5 THEN o.model_id ELSE 'g{generation}-' || wa.slot END AS model_id, {', '.join(columns).replace('(slot', '(wa.slot').replace('WHEN slot', 'WHEN wa.slot')}"
+        " FROM wa JOIN wb ON wa.slot = wb.slot JOIN elite a ON a.r = wa.r JOIN elite b ON b.r = wb.r LEFT JOIN elite o ON o.r = wa.slot + 1"
+    )
+
+
 ORACLES: dict[str, str] = {
     "station_scan": f"SELECT {STATION_OUT}, reject FROM v_station_rows",
     "station_scan_collector": f"""SELECT {STATION_OUT} FROM (SELECT {STATION_FIELDS} FROM a_station_lines WHERE length(value) >= 84)
@@ -487,8 +528,8 @@ ORACLES: dict[str, str] = {
     "cell_station": rounded(
         "dist_km primary_distance", "v_assigned", "cell_id, station_id, CAST(rnk AS INT) AS rnk, primary_station"
     ),
-    "interp_idw": rounded(_WEATHER_ROUND, f"({interpolated('v_coarse_assigned')})", _WEATHER_PLAIN),
-    "interp_nearest": rounded(_WEATHER_ROUND, f"({interpolated('v_coarse_assigned', 'nearest')})", _WEATHER_PLAIN),
+    "interp_idw": rounded(_WEATHER_ROUND, f"({interpolated('v_assigned')})", _WEATHER_PLAIN),
+    "interp_nearest": rounded(_WEATHER_ROUND, f"({interpolated('v_assigned', 'nearest')})", _WEATHER_PLAIN),
     "interp_monthly": """SELECT cell_id, year, month, count(*) AS n_days, CAST(sum(station_count_used) AS BIGINT) AS n_reports,
  count(*) FILTER (interpolation_method = 'seasonal_default') AS n_default, round(avg(confidence_score), 6) AS mean_confidence,
  round(avg(tavg), 6) AS mean_tavg, round(sum(prcp), 6) AS total_prcp FROM v_cell_weather GROUP BY cell_id, year, month""",
@@ -497,6 +538,24 @@ ORACLES: dict[str, str] = {
     + " FROM v_weather WHERE tavg IS NULL",
     "weather_summary": """SELECT count(*) AS n_rows, count(DISTINCT cell_id) AS n_cells, count(DISTINCT date) AS n_dates,
  CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date FROM v_cell_weather""",
+    "all_dates": "SELECT DISTINCT CAST(date AS VARCHAR) AS date FROM v_weather",
+    "days_in_layouts": "SELECT line_no, layout, CASE WHEN layout < 7 THEN CAST(day AS VARCHAR) END AS day FROM a_day_texts",
+    "fire_csv_layouts": """SELECT 'f0.csv' AS source_file, o_orderkey + 1 AS line_no, CAST(o_orderkey AS VARCHAR) AS LATITUDE,
+ CAST(o_custkey AS VARCHAR) AS LONGITUDE, '2023' AS YEAR, '7' AS MONTH, '1' AS DAY, '1,5 ha' AS SIZE_HA, NULL AS CAUSE
+ FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'f1.csv', o_orderkey + 1, CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), '2023', '7', '1',
+ NULL, 'x' FROM orders WHERE o_orderkey % 3 = 1""",
+    "fire_csv_skipped": """SELECT 'f2.csv' AS source_file, 'missing columns: LONGITUDE, YEAR, MONTH, DAY, SIZE_HA' AS reason""",
+    "fire_events_of_files": """SELECT fire_id, center_cell_id, CAST(start_date AS VARCHAR) AS start_date, CAST(end_date AS VARCHAR) AS end_date,
+ round(size, 6) AS total_size_ha, affected_cells FROM (SELECT *, row_number() OVER (PARTITION BY fire_id ORDER BY source_file, line_no) AS n FROM (
+ SELECT source_file, line_no, fire_id, start_date, end_date, size, concat('[', string_agg(cast(cell_id AS VARCHAR), ',' ORDER BY cell_id), ']') AS affected_cells,
+ arg_min(cell_id, round(km, 6) * 1000000 * 10000 + cell_id) AS center_cell_id FROM v_file_hits GROUP BY source_file, line_no, fire_id, start_date, end_date, size))
+ WHERE n = 1""",
+    "cell_fires_of_files": """SELECT cell_id, fire_id, round(size / n_cells, 6) AS fire_size_ha, CAST(start_date AS VARCHAR) AS fire_start_date,
+ CAST(end_date AS VARCHAR) AS fire_end_date FROM (SELECT *, count(*) OVER (PARTITION BY source_file, line_no) AS n_cells,
+ row_number() OVER (PARTITION BY cell_id, fire_id ORDER BY source_file, line_no) AS n FROM v_file_hits) WHERE n = 1""",
+    "next_candidates": next_candidates_sql(3),
+    "search_summary": """SELECT count(*) AS generations, round(min(best_fitness), 6) AS best_fitness, round(avg(generation / 10.0e0), 6) AS mean_seconds,
+ concat('[', string_agg(CAST(best_fitness AS VARCHAR), ',' ORDER BY generation), ']') AS fitness_history FROM v_best""",
     "weather_dates": """SELECT CAST(date AS VARCHAR) AS date, count(*) AS n_stations FROM v_weather
  WHERE date IN (SELECT fire_date FROM v_fires) GROUP BY ALL""",
     "fire_events": """SELECT fire_id, center_cell_id, CAST(start_date AS VARCHAR) AS start_date, CAST(end_date AS VARCHAR) AS end_date,
@@ -514,7 +573,7 @@ ORACLES: dict[str, str] = {
     "target_cells": rounded("avg_confidence", "v_targets", "cell_id, terrain_type, is_water, urban_flag, data_days, fire_count"),
     "pool_cells": f"""SELECT cell_id, terrain_type, data_days, round(avg_confidence, 6) AS avg_confidence FROM (SELECT *,
  row_number() OVER (PARTITION BY terrain_type ORDER BY md5(concat_ws('|', cast(cell_id AS VARCHAR), '42')), cell_id) AS n
- FROM v_stats WHERE data_days >= 50) WHERE n <= {by_terrain({k: int(500 * v) for k, v in C.POOL_SHARE.items()})}""",
+ FROM v_stats WHERE data_days >= 50) WHERE n <= {by_terrain({'forest': 2000, 'tundra': 1250, 'urban': 750, 'water': 1000})}""",
     "sample_dates": " UNION ALL ".join(
         f"SELECT cell_id, terrain_type, CAST(target_date AS VARCHAR) AS target_date, draw, '{k}' AS kind FROM v_dates_{k}" for k in ("train", "test")
     ),

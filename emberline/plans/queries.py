@@ -13,10 +13,10 @@ from emberline.operators import features, fires, geo, grid, interpolate as ip, m
 from emberline.plans.adapters import view
 from emberline.plans.workspace import Workspace
 from emberline.session import reliable_cut
-from emberline.sources import station_text
+from emberline.sources import fire_files, station_text
 
-# Grid spacing of the queries; the coarser one where every cell and day is returned.
-GRID_KM, DAILY_GRID_KM = 100.0, 200.0
+# Grid spacing of the queries.
+GRID_KM = 100.0
 # The test stations are sparse and report a quarter of all days, so confidence is low everywhere.
 CONFIDENCE_MIN = {"forest": 0.105, "land": 0.105, "urban": 0.105, "water": 0.1}
 
@@ -201,6 +201,23 @@ def fire_valid(spark, d):
     )
 
 
+@query
+def days_in_layouts(spark, d):
+    return tidy(view(spark, d, "a_days").select("line_no", "layout", X.to_day("text").alias("day")))
+
+
+@query
+def fire_csv_layouts(spark, d):
+    """CSV lines of three files: two layouts, and one file without a required column."""
+    reports, _ = fire_files.parse_layouts(view(spark, d, "a_csv_lines"))
+    return reports.select("source_file", "line_no", "LATITUDE", "LONGITUDE", "YEAR", "MONTH", "DAY", "SIZE_HA", "CAUSE")
+
+
+@query
+def fire_csv_skipped(spark, d):
+    return fire_files.parse_layouts(view(spark, d, "a_csv_lines"))[1]
+
+
 @query
 def fire_polygon_box(spark, d):
     return view(spark, d, "a_shapes").select("shape_id", geo.polygon_meets_box("geometry_wkt").cast("int").alias("meets"))
@@ -268,12 +285,12 @@ def cell_station(spark, d):
 
 @query
 def interp_idw(spark, d):
-    return tidy(workspace(spark, d, DAILY_GRID_KM).weather)
+    return tidy(workspace(spark, d).weather)
 
 
 @query
 def interp_nearest(spark, d):
-    return tidy(workspace(spark, d, DAILY_GRID_KM, "nearest").weather)
+    return tidy(workspace(spark, d, GRID_KM, "nearest").weather)
 
 
 @query
@@ -305,7 +322,14 @@ def seasonal_defaults(spark, d):
 
 @query
 def weather_summary(spark, d):
-    return tidy(profile.weather_summary(workspace(spark, d).weather))
+    ws = workspace(spark, d)
+    return tidy(profile.weather_summary(ws.assigned, ws.days))
+
+
+@query
+def all_dates(spark, d):
+    """Every day any station reports, in order."""
+    return tidy(profile.distinct_dates(station_weather(spark, d)))
 
 
 @query
@@ -324,6 +348,23 @@ def fire_events(spark, d):
     return tidy(events.withColumn("affected_cells", F.to_json("affected_cells")))
 
 
+def two_files(spark, d) -> DataFrame:
+    """Affected cells of fire reports of two files that number their lines alike."""
+    rows = view(spark, d, "a_fire_files").filter(F.col("month").between(1, 12))
+    return fires.burned_lines(rows, workspace(spark, d).land, workspace(spark, d).cell_bound)
+
+
+@query
+def fire_events_of_files(spark, d):
+    events = fires.fire_events(two_files(spark, d)).select("fire_id", "center_cell_id", "start_date", "end_date", "total_size_ha", "affected_cells")
+    return tidy(events.withColumn("affected_cells", F.to_json("affected_cells")))
+
+
+@query
+def cell_fires_of_files(spark, d):
+    return tidy(fires.cell_fires(two_files(spark, d)))
+
+
 @query
 def cell_fire_table(spark, d):
     return tidy(fires.cell_fires(workspace(spark, d).burned_lines))
@@ -378,7 +419,7 @@ def target_cells(spark, d):
 
 @query
 def pool_cells(spark, d):
-    chosen = sampling.pool_cells(workspace(spark, d).stats, size=500)
+    chosen = sampling.pool_cells(workspace(spark, d).stats)
     return tidy(sampling.random_order(chosen, "cell_id").select("cell_id", "terrain_type", "data_days", "avg_confidence"))
 
 
@@ -485,6 +526,24 @@ def convergence(spark, d):
     return tidy(metrics.convergence(metrics.best_history(view(spark, d, "a_generations"))))
 
 
+@query
+def next_candidates(spark, d):
+    """The third generation out of a ranked population."""
+    from emberline.operators.search import next_candidates as following
+
+    return tidy(following(view(spark, d, "a_population"), 3))
+
+
+@query
+def search_summary(spark, d):
+    """Generations, best fitness and the best fitness so far, of a history."""
+    from emberline.operators.search import search_summary as summary
+
+    history = metrics.best_history(view(spark, d, "a_generations")).withColumn("seconds", F.col("generation") / 10)
+    found = summary(history)
+    return tidy(found.withColumn("fitness_history", F.to_json("fitness_history")))
+
+
 @query
 def gbt_scores(spark, d):
     """Train on the training samples and score the test samples (rows only: trees have no SQL twin)."""

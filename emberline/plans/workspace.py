@@ -43,6 +43,7 @@ class Workspace:
         self.confidence_min, self.interpolation = confidence_min, interpolation
         self.temporal_split, self.dedupe_fires, self.neighbor_lag_years = temporal_split, dedupe_fires, neighbor_lag_years
         self.cell_bound = grid.count_cells(km, bounds)
+        self._dates: dict[str, DataFrame] = {}
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -91,16 +92,29 @@ class Workspace:
 
     @cached_property
     def cell_fire(self) -> DataFrame:
-        return reliable_cut(fires.cell_fires(self.burned_lines), "cell_fire")
+        return reliable_cut(fires.cell_fires(self.burned), "cell_fire")
 
     @cached_property
     def fire_days(self) -> DataFrame:
-        first_day, last_day = f"{C.YEAR_FIRST - C.HISTORY_YEARS}-01-01", f"{C.YEAR_LAST}-12-31"
-        return reliable_cut(fires.fire_days(self.cell_fire, first_day, last_day), "fire_days")
+        """Burning days from the years of history before the first asked day to the last asked day. Asked are the reported days
+        and all days a sample may take."""
+        reported = self.days.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
+        sampled = [*(f"{C.SAMPLE_YEARS[0]}-01-01", f"{C.SAMPLE_YEARS[1]}-12-31"), *(d for pair in C.WATER_DATES.values() for d in pair)]
+        known = sorted([*sampled, *(str(d) for d in (reported.first, reported.last) if d is not None)])
+        first_year = int(known[0][:4]) - C.HISTORY_YEARS
+        return reliable_cut(fires.fire_days(self.cell_fire, f"{first_year}-01-01", known[-1]), "fire_days")
+
+    @property
+    def station_days(self) -> DataFrame:
+        """One row per station and day with a report; off the readings this needs no pivot."""
+        if self._readings is None or "station_weather" in self.__dict__:
+            return self.station_weather.select("station_id", "date")
+        return ip.used_stations(self._readings, self.assigned, self.cell_bound).select("station_id", "date").distinct()
 
     @property
     def stats(self) -> DataFrame:
-        return sampling.cell_stats(self.cells, self.weather, self.cell_fire)
+        confidence = ip.cell_confidence(self.assigned, self.station_days, self.days, self.interpolation, self.cell_bound)
+        return sampling.cell_stats(self.cells, confidence, self.cell_fire)
 
     @cached_property
     def targets(self) -> DataFrame:
@@ -125,11 +139,15 @@ class Workspace:
         return reliable_cut(rows.select("cell_id", "date", "tmax", "tavg", "prcp"), "sample_weather")
 
     def dates(self, kind: str) -> DataFrame:
-        return sampling.sample_dates(self.targets, self.sample_weather, self.cell_fire, kind, self.temporal_split)
+        """Drawn once per kind and stored."""
+        if kind not in self._dates:
+            drawn = sampling.sample_dates(self.targets, self.sample_weather, self.cell_fire, kind, self.temporal_split)
+            self._dates[kind] = reliable_cut(drawn, f"dates_{kind}")
+        return self._dates[kind]
 
     def samples(self, kind: str) -> DataFrame:
         return features.training_samples(
-            reliable_cut(self.dates(kind), f"dates_{kind}"), self.cells, self.sample_weather, self.cell_fire, self.fire_days,
+            self.dates(kind), self.cells, self.sample_weather, self.cell_fire, self.fire_days,
             self.neighbors, self.dedupe_fires, self.neighbor_lag_years,
         )
 

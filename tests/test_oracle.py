@@ -1,5 +1,4 @@
-"""Registered queries against their SQL twins on the smallest tables. The long chains are checked at a larger scale by the
-driver; here they stand in through target cells and samples."""
+"""Every registered query against its SQL twin, on the smallest tables."""
 
 import os
 
@@ -9,18 +8,10 @@ import pytest
 
 import __spark_entry__ as contract
 from emberline.plans.adapters import BASE_TABLES
+from emberline.plans.oracles import all_oracles
+from emberline.plans.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUICK = [
-    "station_scan", "station_scan_collector", "inventory_scan", "dly_tokens", "dly_fixed", "dly_year_filter", "year_audit",
-    "station_match", "weather_wide", "weather_enriched", "weather_wide_from_text", "variable_counts", "fire_rejects",
-    "fire_sentinels", "processed_counts", "reject_rows", "fire_valid", "fire_polygon_box", "value_counts", "range_profile",
-    "station_pairs", "station_neighbors", "run_metadata", "grid_cells", "terrain", "cell_station", "seasonal_defaults",
-    "weather_dates", "fire_events", "cell_fire_table", "fire_summary", "no_fire_cells", "class_balance", "pool_summary",
-    "split_8020", "generation_subset", "model_metrics", "baseline_scores", "population_fitness", "elite", "best_history",
-    "convergence", "training_samples",
-]
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
 
 
@@ -42,7 +33,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(value(v) for v in row) for row in df[names].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(all_oracles()))
 def test_query_equals_sql(spark, database, name):
     found = contract.queries()[name](spark, SF_DIR).toPandas()
     expected = database.execute(contract.oracle_sql()[name]).df()
@@ -51,6 +42,6 @@ def test_query_equals_sql(spark, database, name):
 
 
 def test_contract_is_complete():
-    without = set(contract.queries()) - set(contract.oracle_sql())
-    assert without == {"gbt_scores", "search_history"}
-    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(QUERIES) - set(all_oracles()) == {"gbt_scores", "search_history"}
+    assert set(all_oracles()) <= set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
