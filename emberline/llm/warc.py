@@ -200,7 +200,8 @@ def read_records(spark: SparkSession, manifest: DataFrame, keep_payload: bool =
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per response or revisit record: the record itself, its request, its metadata fields."""
+    """One nested row per response or revisit record: the record itself, its request, its metadata fields. ``records`` should be a stored
+    table, as it is read several times."""
     principal = records.filter(F.col("type").isin("response", "revisit"))
     requests = records.filter("type = 'request'")
     # Of several requests to one response the one with the least identifier; identifiers repeat only if pages do.
@@ -225,8 +226,10 @@ def assemble(records: DataFrame) -> DataFrame:
 def op9_transactions(spark, sf_dir: str) -> DataFrame:
     typed = record_types(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     manifest = reliable_cut(write_archives(typed, scratch_path(spark, "warc")), "warc-files")
+    # Stored once: the joins below then know its true size, and no archive is parsed twice.
+    records = reliable_cut(read_records(spark, manifest), "records")
     field = lambda name: F.expr(f"nullif(metadata.fields['{name}'], '')").cast("long")
-    return assemble(read_records(spark, manifest)).select(
+    return assemble(records).select(
         field("page-id").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
