@@ -13,6 +13,7 @@ from emberline.session import drop_path, reliable_cut, scratch_path, shared_fold
 
 # A side of a join is broadcast only if it was counted and has at most this many slim rows (some 16 MB).
 BROADCAST_ROWS = 500_000
+ARROW_KEY, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -37,7 +38,11 @@ def without(docs: DataFrame, id_col: str, value: Column, gone: DataFrame) -> Dat
 
 
 def importable(df: DataFrame) -> DataFrame:
-    """``df``, after seeing to it that Python workers on machines that share this folder can import the package from it."""
+    """``df``, made ready for Python tasks: workers on machines that share this folder can import the package from it, and, unless the
+    session says otherwise, texts come in batches of ARROW_ROWS rows instead of the default of 10,000, which long texts make large."""
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_KEY) == "10000":
+        conf.set(ARROW_KEY, str(ARROW_ROWS))
     environment = df.sparkSession.sparkContext.environment
     if ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, environment.get("PYTHONPATH")]))

@@ -28,7 +28,8 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 STEP_TOKENS = 65_536
 # A round of packing ends with this many pieces or ids.
-ROUND_PIECES, ROUND_IDS = 8_192, 4_000_000
+ROUND_PIECES, ROUND_IDS = 8_192, 2_000_000
+BATCH_ROWS = 1_000
 
 # A piece: length, place in the round (for ties), document's number in the round, start.
 Piece = tuple[int, int, int, int]
@@ -85,11 +86,11 @@ def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = tokens.VOCABULARY, end_id: int = END_ID,
     tiers: tuple[int, ...] = TIERS, keep_ids: bool = False,
 ) -> DataFrame:
-    """One row per piece; with ``keep_ids`` also the piece's ids."""
+    """One row per piece; with ``keep_ids`` also the piece's ids, as little-endian unsigned 32-bit integers."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    schema_text = SCHEMA + (", ids array<int>" if keep_ids else "")
+    schema_text = SCHEMA + (", ids binary" if keep_ids else "")
     schema = to_arrow_schema(_parse_datatype_string(schema_text))
     ending, longest = np.array([end_id], "<u4").tobytes(), tiers[-1]
 
@@ -120,7 +121,7 @@ def pack(
                 doc_id, ids = self.docs[doc]
                 part = ids[4 * start : 4 * (start + n)]
                 row = (doc_id, start, n, zlib.crc32(part), len(ids) // 4, self.base | self.sequences, at, tier, step)
-                self.rows.append((*row, np.frombuffer(part, "<i4")) if keep_ids else row)
+                self.rows.append((*row, part) if keep_ids else row)
                 at += n
             self.sequences += 1
 
@@ -134,17 +135,16 @@ def pack(
                 self.pieces.append((n % longest, doc, doc, n - n % longest))
             self.n_ids += n
 
-        def end_round(self, last: bool) -> pa.RecordBatch:
+        def end_round(self, last: bool) -> Iterator[pa.RecordBatch]:
             windows, rest = open_windows(self.pieces, tiers)
             for tier, window in windows + (tail_windows(rest) if last else []):
                 self.emit(tier, window)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(v, f.type) for v, f in zip(zip(*self.rows), schema)] if self.rows else [pa.array([], f.type) for f in schema],
-                schema=schema,
-            )
+            rows = self.rows
             # A piece that was cut keeps its document until its rest is placed.
             self.begin([] if last else rest, {} if last else {p[2]: self.docs[p[2]] for p in rest})
-            return out
+            for at in range(0, len(rows), BATCH_ROWS):
+                columns = zip(*rows[at : at + BATCH_ROWS])
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -155,8 +155,8 @@ def pack(
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     packer.add(doc_id, encode(text or "") + ending)
                     if len(packer.pieces) >= ROUND_PIECES or packer.n_ids >= ROUND_IDS:
-                        yield packer.end_round(last=False)
-        yield packer.end_round(last=True)
+                        yield from packer.end_round(last=False)
+        yield from packer.end_round(last=True)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return importable(rows).mapInArrow(task, schema_text)

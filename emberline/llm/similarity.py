@@ -45,7 +45,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 class _WordCodes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = code = xxhash.xxh3_64_intdigest(word)
         return code

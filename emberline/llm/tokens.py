@@ -14,8 +14,8 @@ from functools import lru_cache
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-# Cached words and pieces of a Python worker, some 100 MB each at most.
-CACHE = 600_000
+# Cached words and pieces of a Python worker, some 45 MB each at most.
+CACHE = 250_000
 # A blank before white space or at the end: the piece rule may fail there.
 _ODD_BLANK = re.compile(r" (?:\s|\Z)")
 # Also the four separators that Python counts as white space and the tokenizer does not.
