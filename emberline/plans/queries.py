@@ -554,6 +554,25 @@ def gbt_scores(spark, d):
     return tidy(fitted.score(ws.samples("test")))
 
 
+@query
+def gbt_scores_valid(spark, d):
+    """Key and label of every scored test sample, and whether its score is a probability."""
+    return gbt_scores(spark, d).select(
+        "cell_id", "target_date", "fire_occurred", F.col("fire_probability").between(0, 1).cast("int").alias("is_probability")
+    )
+
+
+@query
+def model_features(spark, d):
+    """The training samples as the trees see them: nulls filled, texts as codes by falling frequency."""
+    from emberline.operators import model
+
+    filled = model.fill_missing(reliable_cut(workspace(spark, d).samples("train"), "train"))
+    coded = model.feature_pipeline(filled).fit(filled).transform(filled)
+    names = [c if t != "string" else f"{c}_code" for c, t in filled.dtypes if c not in model.NOT_FEATURES]
+    return tidy(coded.select("cell_id", "target_date", "fire_occurred", *[F.col(c).cast("double").alias(c) for c in names]))
+
+
 @query
 def search_history(spark, d):
     """A small search over the samples (rows only)."""
