@@ -550,7 +550,7 @@ def gbt_scores(spark, d):
     from emberline.operators.model import train
 
     ws = workspace(spark, d)
-    fitted = train(reliable_cut(ws.samples("train"), "train"), C.ModelConfig(max_depth=4, n_estimators=8, seed=C.SAMPLE_SEED))
+    fitted = train(reliable_cut(ws.samples("train"), "train"))
     return tidy(fitted.score(ws.samples("test")))
 
 
