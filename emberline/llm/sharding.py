@@ -50,26 +50,19 @@ def quantiles(keys: list[tuple], parts: int) -> list[tuple]:
     return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
 
-def range_of(splitters: list[tuple]) -> Column:
-    """Number of splitters at or below the row's key, by binary search in a constant array."""
+def with_range(rows: DataFrame, splitters: list[tuple], name: str = "part") -> DataFrame:
+    """``rows`` with the number of splitters at or below their key, found by binary search in a constant array."""
     if not splitters:
-        return F.lit(0)
-    bits = len(splitters).bit_length()
+        return rows.withColumn(name, F.lit(0))
     bounds = F.array(*[F.struct(*[F.lit(int(v)).cast("long") for v in s]) for s in splitters]).cast("array<struct<h:bigint,id:bigint,place:bigint>>")
-    k = key()
 
     def step(at: Column, jump: Column) -> Column:
         ahead = at + jump
         return F.when((ahead <= len(splitters)) & (F.get("__bounds", ahead - 1) <= F.col("__key")), ahead).otherwise(at)
 
-    return bounds, k, F.aggregate(F.array(*[F.lit(1 << b) for b in reversed(range(bits))]), F.lit(0), step)
-
-
-def with_range(rows: DataFrame, splitters: list[tuple], name: str = "part") -> DataFrame:
-    if not splitters:
-        return rows.withColumn(name, F.lit(0))
-    bounds, k, search = range_of(splitters)
-    return rows.withColumns({"__bounds": bounds, "__key": k}).withColumn(name, search).drop("__bounds", "__key")
+    jumps = F.array(*[F.lit(1 << b) for b in reversed(range(len(splitters).bit_length()))])
+    search = F.aggregate(jumps, F.lit(0), step)
+    return rows.withColumns({"__bounds": bounds, "__key": key()}).withColumn(name, search).drop("__bounds", "__key")
 
 
 def ranges(rows: DataFrame, total_rows: int) -> tuple[DataFrame, list]:
