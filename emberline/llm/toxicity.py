@@ -4,6 +4,9 @@ A writer of a word may have passed it through a channel that puts digits and sig
 Every token that shows such traces becomes a lattice: at each place the letters that could have been meant, for a run of one letter also the
 shorter runs. Viterbi's algorithm finds the path with the highest product of channel and language model, a model of letter triples
 counted over the whole corpus. Letters that stand alone in a row are read as one token. Tokens without traces are taken as they are.
+Every token is also split at its signs, whatever its length, and each part is taken and decoded like a token. A lattice of more than
+``TOKEN_PLACES`` places is decoded in overlapping stretches: of a part without signs all pieces of 4 to ``SPACED_PART`` decoded letters
+count, of one with signs all neighbouring parts that make up to ``SPACED_PART`` places together. A run of one letter is one place.
 
 The score is a logistic function of the strongest words of the restored text. Word weights are lower bounds of log odds between toxic and
 other labelled texts, counted over different texts. Labels come from a bounded sample of at most ``FIT_ROWS`` labelled rows.
@@ -17,7 +20,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,11 @@ _SPACED = re.compile(r"(?<![\w@$!|+*])(?:[^\W_]|[@$!|+*])(?:[ .\-_~*](?:[^\W_]|[
 SIGN_COST, REPEAT_COST = 1.0, 0.7
 # Longest word looked for in spaced letters; such runs are decoded in overlapping stretches of this many characters.
 SPACED_PART, SPACED_RUN = 14, 80
+# Places of a lattice that is decoded in one piece, and characters of a token that is cached.
+TOKEN_PLACES = 40
+# What parts a token has: with the signs that may stand for letters, and without them.
+_SIGNED = re.compile(r"(?:[^\W_]|[@$!|+(<*#%])+")
+_PLAIN = re.compile(r"[^\W_]+")
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -111,20 +120,23 @@ def code_of(c: str) -> int:
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """At each place of a token the strings that may have been meant, with their cost."""
-    places, at = [], 0
+    return list(places_of(token))
+
+
+def places_of(token: str) -> Iterator[list[tuple[str, float]]]:
+    at = 0
     while at < len(token):
         c, n = token[at], 1
         while at + n < len(token) and token[at + n] == c:
             n += 1
         if c in SIGNS:
             choices = [(letter, SIGN_COST) for letter in SIGNS[c]]
-            places += [choices] if n > 2 else [choices] * n
+            yield from [choices] if n > 2 else [choices] * n
         elif c.isalpha():
             # A run of three or more was one or two letters; a run of two may have been one.
             lengths = ((1, REPEAT_COST), (2, REPEAT_COST)) if n > 2 else ((2, 0.0), (1, 2 * REPEAT_COST)) if n == 2 else ((1, 0.0),)
-            places.append([(c * k, cost) for k, cost in lengths])
+            yield [(c * k, cost) for k, cost in lengths]
         at += n
-    return places
 
 
 def viterbi(places: list[list[tuple[str, float]]], model: LetterModel) -> str:
@@ -147,11 +159,15 @@ def viterbi(places: list[list[tuple[str, float]]], model: LetterModel) -> str:
 
 
 class Restorer:
-    def __init__(self, model: LetterModel, cache: int = CACHE):
-        self.model, self.most, self.known = model, cache, {}
+    """``wanted``: if given, of the pieces of spaced letters and long parts only those in it are kept."""
+
+    def __init__(self, model: LetterModel, cache: int = CACHE, wanted: Collection[str] | None = None):
+        self.model, self.most, self.wanted, self.known = model, cache, wanted, {}
 
     def token(self, token: str) -> tuple[str, ...]:
-        """What a blank-free token in lower case may have meant: itself without edges, and its decoded forms."""
+        """What a blank-free token in lower case may have meant: itself without edges, its parts, and the decoded forms of both."""
+        if len(token) > TOKEN_PLACES:
+            return self._token(token)
         found = self.known.get(token)
         if found is None:
             if len(self.known) >= self.most:
@@ -161,13 +177,53 @@ class Restorer:
 
     def _token(self, token: str) -> tuple[str, ...]:
         bare = token.strip(EDGE)
-        forms = [bare] if bare else []
+        forms = dict.fromkeys([bare])
         # With signs at its edges a token may be a word with decoration, or one whose first or last letter is a sign.
-        for form in {bare, token.strip(".,;:?\"'()[]{}-")}:
-            if form and len(form) <= 40 and _TRACE.search(form) and any(c.isalpha() for c in form):
-                forms.append(viterbi(lattice(form), self.model))
-                forms += [p for p in re.split(r"[^\w]+", form) if p.isalpha()]
-        return tuple(dict.fromkeys(f for f in forms if f))
+        whole = {bare, token.strip(".,;:?\"'()[]{}-")}
+        parts = dict.fromkeys(m.group() for kind in (_SIGNED, _PLAIN) for m in kind.finditer(token))
+        forms.update(dict.fromkeys(p for p in parts if p.isalnum()))
+        for form in whole | parts.keys():
+            if _TRACE.search(form) and any(map(str.isalpha, form)):
+                forms.update(dict.fromkeys(self._decoded(form)))
+        return tuple(f for f in forms if f)
+
+    def _decoded(self, form: str) -> Iterator[str]:
+        places = places_of(form)
+        first = list(islice(places, TOKEN_PLACES + 1))
+        if len(first) <= TOKEN_PLACES:
+            yield viterbi(first, self.model)
+        elif _SIGNED.fullmatch(form):
+            yield from self._stretches(chain(first, places))
+        else:
+            yield from self._neighbours(form)
+
+    def _stretches(self, places: Iterator[list[tuple[str, float]]]) -> Iterator[str]:
+        """Pieces of a long part, decoded in stretches that overlap by the longest word."""
+        stretch: list[list[tuple[str, float]]] = []
+        while more := list(islice(places, TOKEN_PLACES + SPACED_PART - len(stretch))):
+            stretch += more
+            yield from self._pieces(viterbi(stretch, self.model))
+            stretch = stretch[TOKEN_PLACES:]
+
+    def _neighbours(self, form: str) -> Iterator[str]:
+        """Parts beside each other as one word, as signs may have been set into it."""
+        size = lambda part: max(1, sum(1 for _ in islice(places_of(part), SPACED_PART + 1)))
+        sized = [(m.start(), m.end(), size(m.group())) for m in _SIGNED.finditer(form)]
+        for k, (start, _, total) in enumerate(sized):
+            for _, end, n in sized[k + 1 : k + SPACED_PART]:
+                total += n
+                if total > SPACED_PART:
+                    break
+                run = form[start:end]
+                if _TRACE.search(run) and any(map(str.isalpha, run)):
+                    yield viterbi(lattice(run), self.model)
+
+    def _pieces(self, decoded: str) -> Iterator[str]:
+        for n in range(4, SPACED_PART + 1):
+            for k in range(len(decoded) - n + 1):
+                piece = decoded[k : k + n]
+                if self.wanted is None or piece in self.wanted:
+                    yield piece
 
     def words(self, text: str) -> set[str]:
         """The different words of the restored text."""
@@ -181,7 +237,7 @@ class Restorer:
             for at in range(0, len(run), SPACED_RUN):
                 decoded = viterbi(lattice(run[at : at + SPACED_RUN + 2 * SPACED_PART : 2]), self.model)
                 found.add(decoded)
-                found.update(decoded[k : k + n] for n in range(4, SPACED_PART + 1) for k in range(len(decoded) - n + 1))
+                found.update(self._pieces(decoded))
         return found
 
 
@@ -289,7 +345,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col="doc_id", text_col="text") ->
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
-        restorer = Restorer(scorer.model)
+        restorer = Restorer(scorer.model, wanted=scorer.weights)
         for batch in batches:
             for part in cut(batch):
                 scores = scorer.scores(part.column(1).to_pylist(), restorer)

@@ -47,6 +47,22 @@ def test_hidden_words_come_back():
     assert words("a b") >= {"a", "b"} and words("   ") == set()
 
 
+def test_long_and_joined_tokens_are_decoded():
+    words = Restorer(model_of(TEXT), cache=8).words
+    filler = "said about them" * 4
+    for hidden, word in {
+        f"idi{'o' * 60}t": "idiot", f"m0r{'o' * 500}n!": "moron", "idiot,moron": "moron", "idiot/moron": "idiot", "idiot:m0r0n": "moron",
+        '{"id":1,"user":"someone","text":"an-1d10t_and:$cum","more":[1,2,3]}': "idiot", "they,said/that:he=is;a$cum,and,$cum:of/them;all=day": "scum",
+        "_".join(["said", "about"] * 8 + ["p@thet1c"] + ["them"] * 8): "pathetic", ".".join(["that"] * 12 + ["id.i0t"] + ["them"] * 12): "idiot",
+        f"{filler}m0r0n{filler}".replace(" ", ""): "moron", f"{filler}{filler}1d1ot{filler}".replace(" ", ""): "idiot",
+    }.items():
+        assert word in words(f"the {hidden} of them"), hidden
+    long = "the,".join(["said"] * 30) + ",whatever,skills,pathetically"
+    assert not {"hate", "kill", "pathetic"} & words(long + ",2")
+    some = Restorer(model_of(TEXT), wanted={"moron": 1.0}).words(f"{filler}m0r0n{filler}".replace(" ", ""))
+    assert "moron" in some and len(some) < 10
+
+
 def test_triples_cover_all_texts(frame):
     counts = letter_triples(frame([(k, t) for k, t in enumerate(["ab", None, "", "Abé", "b" * 100])])).reshape(CLASSES, CLASSES, CLASSES)
     assert counts[2, 2, 2] >= 98 and counts.sum() >= 100
