@@ -3,7 +3,8 @@
 A window of constant length slides over every candidate string of a character class. Its entropy is kept by counts: one character comes in, one
 goes out, and only their two terms of the sum change, so a candidate costs one step per character whatever the window. Windows at
 or above the class's threshold that also mix digits and letters are joined into spans. An allow-list drops candidates that are known to be harmless:
-UUIDs, digests that say they are one, addresses, sequences, placeholders, and what the caller adds.
+UUIDs, digests that say they are one, sequences, placeholders, and what the caller adds. The host and the plain path of an address are cut out
+of candidates; its user part, its query and fragment, and all that stands before and after it are scanned.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned each for itself; texts are scanned whole, in one pass each, at
 any length; an empty table gives no rows.
@@ -30,6 +31,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
+# An address from its marker to the first blank, quote, comma, bracket or angle sign, or where its query or fragment begins.
+ADDRESS = re.compile(r"""(?:://|(?<![A-Za-z0-9.])www\.)(\[[0-9A-Fa-f:.]*\])?[^\s"'`“”‘’,()\[\]{}<>|\\^?#&;]*""")
+# What in the part up to the first slash says that a user part comes first: its end, or a colon without a port.
+USER = re.compile(r"@|:(?!\d{0,5}(?:/|$))")
 LONG = 256
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -53,13 +58,11 @@ class Settings:
     # A window holds this many digits and letters at least: words of a language have no digits, numbers no letters.
     digits_least: int = 2
     letters_least: int = 2
-    # A candidate after one of these, in the same blank-free token or within 16 characters, is no secret: addresses, named digests.
-    allowed_before: tuple[str, ...] = (
-        r"://", r"www\.", r"(?i:sha-?\d*|md5|digest|checksum|etag|commit|integrity)\W{0,3}$",
-    )
+    # A candidate after one of these, in the same blank-free token or within 16 characters, is no secret: named digests.
+    allowed_before: tuple[str, ...] = (r"(?i:sha-?\d*|md5|digest|checksum|etag|commit|integrity)\W{0,3}$",)
     # Nor is one that matches one of these (of a candidate over LONG characters the span that was found is looked at, not the whole).
     allowed: tuple[str, ...] = (
-        r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+        r"^(?:[A-Za-z][\w-]*=)?[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
         r"(?i:example|placeholder|changeme|dummy|xxxxxx)",
         r"0123456789|abcdefghij|ABCDEFGHIJ",
     )
@@ -78,6 +81,39 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return spans
 
 
+def plain_addresses(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the hosts and plain paths of addresses."""
+    found = []
+    for m in ADDRESS.finditer(text):
+        start, end = m.span()
+        if text[start] == ":" and not m.group(1):
+            slash = text.find("/", start + 3, end)
+            if USER.search(text[start + 3 : slash if slash >= 0 else end]):
+                # A password may hold a slash. Without a sign for the end of the user part nothing says where the host is.
+                at = text.rfind("@", start + 3, end)
+                found.append((start, start + 3))
+                start = at + 1 if at >= 0 else end
+        # A value with a name is none of the path.
+        while (named := text.find("=", start, end)) >= 0:
+            found.append((start, max(start, text.rfind("/", start, named) + 1)))
+            slash = text.find("/", named, end)
+            start = slash if slash >= 0 else end
+        found.append((start, end))
+    return found
+
+
+def without_parts(start: int, end: int, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of a span is in none of the sorted ``parts``."""
+    out = []
+    at = max(0, bisect_right(parts, (start, 1 << 62)) - 1)
+    while at < len(parts) and parts[at][0] < end:
+        s, e = parts[at]
+        if s > start:
+            out.append((start, s))
+        start, at = max(start, e), at + 1
+    return [*out, (start, end)] if start < end else out
+
+
 def high_windows(run: str, window: int, bits: float, digits_least: int, letters_least: int) -> list[tuple[int, int]]:
     """Joined spans of the windows of ``run`` whose entropy reaches ``bits``.
 
@@ -136,11 +172,12 @@ class Scanner:
         covered = joined((s, e) for s, _, e in base)
         found: list[tuple[int, int]] = []
         if self.digit.search(text):
+            plain = joined(plain_addresses(text))
             for c, runs in self.runs:
-                for m in runs.finditer(text):
-                    run, at = m.group(), m.start()
+                for at, end in (x for m in runs.finditer(text) for x in without_parts(*m.span(), plain)):
+                    run = text[at:end]
                     short = len(run) <= LONG
-                    if (short and any(p.search(run) for p in self.allowed)) or self.follows_allowed(text, at):
+                    if len(run) < c.window or (short and any(p.search(run) for p in self.allowed)) or self.follows_allowed(text, at):
                         continue
                     for s, e in high_windows(run, c.window, c.bits, self.settings.digits_least, self.settings.letters_least):
                         if short or not any(p.search(run, s, e) for p in self.allowed):

@@ -68,6 +68,25 @@ def test_entropy_spans_and_allow_list():
     assert Scanner(Settings(extra_allowed=(key[:5],))).spans(f"see {key} there") == []
 
 
+def test_addresses_hide_only_their_host_and_plain_path():
+    random.seed(5)
+    key = "".join(random.sample("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 32)) + "7Q2"
+    found = lambda text: [text[s:e] for _, k, s, e in ((0, k, s, e) for s, k, e in Scanner().spans(text)) if k == "entropy"]
+    for shown in (
+        f'{{"url":"https://a.io/","apiSecretKey":"{key}"}}', f"https://a.io/,{key}", f"<https://a.io/x>{key}", f"www.a.io {key}",
+        f"https://a.io {key}", f"https://user:{key}@a.io/x", f"https://{key}@a.io/x", f"https://a.io/x?v={key}", f"https://a.io/x#{key}",
+        f"https://a.io/x?a=1&v={key}&b=2", f"s3n://me:{key[:10]}/{key}@bucket/x", f"https://a.io/x\\n{key}", f"a,www.a.io,{key},b",
+        f"https://a.io/cb/v={key}/x", f"[a](https://a.io/x){key}", f"redis://:{key}", f"{key}://x", f"x://a?x {key} b://c",
+    ):
+        assert any(key in part for part in found(shown)), shown
+    for harmless in (
+        f"https://host/{key}", f"http://host:8080/a/{key}/b?x=1", f"https://{key}.host.org/", f"www.host.org/{key}", f"https://medium.com/@me/{key}",
+        f"http://[::1]:80/{key}", "https://host/x?id=123e4567-e89b-12d3-a456-426614174000", f"https://me@host/{key}",
+    ):
+        assert found(f"see {harmless} there") == [], harmless
+    assert found(f"https://host/{key} https://host/{key}?v={key}") == [f"v={key}"]
+
+
 def test_very_long_candidates_take_linear_time():
     random.seed(4)
     run = "".join(random.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789") for _ in range(400_000))
