@@ -575,11 +575,9 @@ def model_features(spark, d):
 
 @query
 def search_history(spark, d):
-    """A small search over the samples (rows only)."""
+    """The search with its default settings over the samples (rows only)."""
     from emberline.operators.search import search
 
     ws = workspace(spark, d)
-    settings = C.SearchConfig(population_size=3, max_generations=2, elite_count=2, default_members=1)
     train, test = reliable_cut(ws.samples("train"), "train"), reliable_cut(ws.samples("test"), "test")
-    quick = dict(C.SEARCH_SPACE, n_estimators=(4, 8, 2, True), max_depth=(3, 5, 1, True))
-    return tidy(search(train, test, settings, space=quick).history_table(spark).drop("seconds"))
+    return tidy(search(train, test, C.SearchConfig(), space=C.SEARCH_SPACE).history_table(spark).drop("seconds"))

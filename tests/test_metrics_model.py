@@ -157,3 +157,20 @@ def test_search(spark, tmp_path):
     assert result.best.trees is not None
     result.write_summary(spark, str(tmp_path / "summary"))
     assert spark.read.json(str(tmp_path / "summary")).first().best_model_id == result.best.model_id
+
+
+def test_registered_search_takes_the_default_settings(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from emberline.plans import queries
+
+    asked = []
+
+    def noted(train, test, settings=C.SearchConfig(), space=C.SEARCH_SPACE):
+        asked.append((settings, space))
+        return SimpleNamespace(history_table=lambda s: s.createDataFrame([(0, 1.0)], "generation int, seconds double"))
+
+    monkeypatch.setattr(queries, "workspace", lambda s, d: SimpleNamespace(samples=lambda kind: s.range(1).toDF("cell_id")))
+    monkeypatch.setattr(search, "search", noted)
+    assert queries.search_history(spark, "").columns == ["generation"]
+    assert asked == [(C.SearchConfig(), C.SEARCH_SPACE)]
