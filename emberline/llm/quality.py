@@ -235,15 +235,9 @@ def judged(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", s
     )
     # Pooled estimates take all rows of the pool, large groups' too.
     everyone = _matched(counts.filter(~F.col("base_failed")), named).select("lang", "g_lang", "g_source", F.array(*rates().values()).alias("x"))
-    pools = named.filter(F.col("g_source") == pool).select("g_lang").distinct()
-    has_pool = [r.g_lang for r in pools.limit(10_001).collect()]
+    pools = reliable_cut(named.filter(F.col("g_source") == pool).select("g_lang").distinct(), "quality-pools")
     fitted = x_of.select("lang", "source", "x").filter(~F.col("source").eqNullSafe(pool))
-    if has_pool:
-        wide = small(reliable_cut(pools, "quality-pools"), 20_000)
-        by_lang = everyone.join(wide.withColumnRenamed("g_lang", "p_lang"), F.col("lang").eqNullSafe(F.col("p_lang")))
-        fitted = fitted.unionByName(by_lang.select("lang", pool.alias("source"), "x"))
-        if "\u0001pooled" in has_pool:
-            fitted = fitted.unionByName(everyone.select(pool.alias("lang"), pool.alias("source"), "x"))
+    fitted = fitted.unionByName(pooled_rows(everyone, pools, pool))
     estimates = mcd(reliable_cut(fitted, "quality-fit"))
     limit = chi2_quantile(1 - TAIL, P)
     scored = _matched(x_of, estimates).withColumn("distance", _distance() * F.col("n_words") / (F.col("n_words") + SHORT))
@@ -253,6 +247,18 @@ def judged(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", s
     return good.select(*columns).unionByName(bad.select(*columns))
 
 
+def pooled_rows(everyone: DataFrame, pools: DataFrame, pool: Column) -> DataFrame:
+    """Rows (lang, source, x) that the pooled estimates of ``pools`` (g_lang) take from all rows (lang, x), however many pools there are."""
+    none = everyone.select("lang", pool.alias("source"), "x")
+    if pools.isEmpty():
+        return none.limit(0)
+    wide = small(pools.withColumnRenamed("g_lang", "p_lang"), 20_000)
+    found = everyone.join(wide, F.col("lang").eqNullSafe(F.col("p_lang"))).select("lang", pool.alias("source"), "x")
+    if pools.filter(F.col("g_lang") == pool).isEmpty():
+        return found
+    return found.unionByName(none.withColumn("lang", pool))
+
+
 def keep_good(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", source_col="source") -> DataFrame:
     """The documents that pass, with all their columns."""
     found = judged(docs, id_col, text_col, lang_col, source_col)

@@ -87,6 +87,20 @@ def test_verdicts(frame, spark):
     assert judged(empty).count() == 0 and keep_good(empty).count() == 0
 
 
+def test_the_pool_of_all_is_found_among_many_languages(spark):
+    from pyspark.sql import functions as F
+
+    from emberline.llm.quality import pooled_rows
+
+    pool = F.lit("\u0001pooled")
+    names = spark.range(0, 12_000, 1, 4).select(F.when(F.col("id") == 11_999, pool).otherwise(F.concat(F.lit("l"), "id")).alias("g_lang"))
+    rows = spark.createDataFrame([("l1", [1.0]), (None, [2.0]), ("z", [3.0])], "lang string, x array<double>")
+    found = sorted((r.lang, r.source, r.x[0]) for r in pooled_rows(rows, names, pool).collect())
+    assert found == [("\u0001pooled", "\u0001pooled", k) for k in (1.0, 2.0, 3.0)] + [("l1", "\u0001pooled", 1.0)]
+    assert pooled_rows(rows, names.filter(F.col("g_lang") != pool), pool).count() == 1
+    assert pooled_rows(rows, names.limit(0), pool).count() == 0
+
+
 def test_null_groups(frame):
     rng = random.Random(6)
     docs = frame([(i, prose(rng, 100)) for i in range(30)], lang=None, source=None)
