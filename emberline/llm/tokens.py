@@ -1,9 +1,9 @@
 """Token ids of texts by a public byte-level BPE, with bounded caches of words.
 
 A byte-level BPE with its usual word pattern never joins across the start of `` x`` (a blank before a non-blank), so a text may be encoded
-piece by piece there, and a piece met before is only looked up. Texts for which that rule could fail go whole through the
-tokenizer; so does every piece with letters beyond Latin. Results are those of ``Tokenizer.encode(text, add_special_tokens=False)`` with
-``encode_special_tokens`` on: the strings of special tokens in a text are ordinary text.
+piece by piece there, and a piece met before is only looked up. Texts for which that rule could fail, or that hold the string of an added token,
+go whole through the tokenizer; so does every piece with letters beyond Latin. Results are those of
+``Tokenizer.encode(text, add_special_tokens=False)``: the string of a special token in a text gives that token's id.
 """
 
 from __future__ import annotations
@@ -47,7 +47,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.words = _Cache(self._word, cache)
         self.first, self.later = _Cache(self._piece, cache // 8), _Cache(lambda p: self._piece(" " + p), cache)
@@ -66,7 +67,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if _ODD_BLANK.search(text):
+        if _ODD_BLANK.search(text) or self.added.search(text):
             return self._whole(text)
         first, *later = text.split(" ")
         return (self.first[first] if first else b"") + b"".join(map(self.later.__getitem__, later))

@@ -25,6 +25,16 @@ def test_pieces_equal_the_whole(text):
     assert np.frombuffer(tokens.encoder().encode(text), "<u4").tolist() == ids_of(text)
 
 
+def test_strings_of_added_tokens_are_those_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    for text in ("one<|endoftext|>two", "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|> x", "中<|endoftext|>", "<|endof text|>"):
+        assert np.frombuffer(tokens.encoder().encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert len(tokens.encoder().encode("one<|endoftext|>two")) == 12
+
+
 def test_small_caches_change_nothing():
     import public_tokenizers
 
