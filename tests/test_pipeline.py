@@ -18,7 +18,8 @@ def write_raw(folder):
     (folder / "daily").mkdir()
     (folder / "fires").mkdir()
     stations, inventory = [], []
-    # Twelve Canadian stations, and one inside the box that is not: neither it nor its readings may appear.
+    # Twelve Canadian stations, and one inside the box that is not: neither it nor its readings may appear, but its inventory
+    # line does, as the inventory is kept by the box alone.
     for i in range(13):
         sid = f"CA{i:09d}" if i < 12 else "US000000099"
         lat, lon = 49.0 + rng.random(), -125.0 + 3 * rng.random()
@@ -85,7 +86,7 @@ def test_reports(spark, built):
     _, out, _ = built
     read = lambda name: spark.read.option("header", True).csv(f"{out}/validated/{name}")
     counts = {r.table_name: (r.processed, r.valid, r.removed) for r in read("report_counts").collect()}
-    assert counts == {"stations": ("12", "12", "0"), "station_inventory": ("12", "12", "0"), "wildfires": ("41", "40", "1")}
+    assert counts == {"stations": ("12", "12", "0"), "station_inventory": ("13", "13", "0"), "wildfires": ("41", "40", "1")}
     assert [r.detail for r in read("report_rejects").collect()] == ["BAD"]
     assert read("skipped_files").first().source_file.endswith("shapes.csv")
 
