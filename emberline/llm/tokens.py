@@ -24,11 +24,23 @@ _BEYOND_LATIN = re.compile(r"[^\x00-\x1b\x20-ɏ]")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9²³¹¼-¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letters that stand for bytes in a byte-level vocabulary: printable bytes are themselves, the others follow from 256 on."""
+def byte_letters() -> dict[int, int]:
+    """The letters (code points) that stand for bytes in a byte-level vocabulary: printable bytes are themselves, the others follow from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+    return {b: b for b in printable} | {b: 256 + n for n, b in enumerate(others)}
+
+
+def vocabulary_path(vocabulary: str) -> str:
+    """A path as it is; a bare name is one of the public tokenizers' files."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if "/" in vocabulary:
+        return vocabulary
+    import public_tokenizers
+
+    return public_tokenizers.path(vocabulary)
 
 
 class _Cache(dict):
@@ -49,7 +61,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.words = _Cache(self._word, cache)
         self.first, self.later = _Cache(self._piece, cache // 8), _Cache(lambda p: self._piece(" " + p), cache)
 
@@ -76,11 +88,4 @@ class Encoder:
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str = VOCABULARY) -> Encoder:
     """The encoder of this Python worker. ``vocabulary``: a path that exists on every machine, or a name among the public ones."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if "/" not in vocabulary:
-        import public_tokenizers
-
-        vocabulary = public_tokenizers.path(vocabulary)
-    return Encoder(vocabulary)
+    return Encoder(vocabulary_path(vocabulary))
