@@ -1,27 +1,29 @@
-"""Token ids of texts by a public byte-level BPE, with bounded caches of words.
+"""Token ids of texts by a public byte-level BPE, with a bounded cache of pieces.
 
 A byte-level BPE with its usual word pattern never joins across the start of `` x`` (a blank before a non-blank), so a text may be encoded
-piece by piece there, and a piece met before is only looked up. Texts for which that rule could fail, or that hold the string of an added token,
-go whole through the tokenizer; so does every piece with letters beyond Latin. Results are those of
-``Tokenizer.encode(text, add_special_tokens=False)``: the string of a special token in a text gives that token's id.
+piece by piece there, and a piece met before is only looked up. Other pieces are merged by tiktoken, over the ranks and the bytes of the
+vocabulary file itself. Results are those of ``Tokenizer.encode(text, add_special_tokens=False)`` of the tokenizers library (tested, all code points
+included): the string of a special token in a text gives that token's id, for which such texts go whole through the library, or, with
+``plain``, it is ordinary text.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-# Cached words and pieces of a Python worker, some 45 MB each at most.
-CACHE = 250_000
-# A blank before white space or at the end: the piece rule may fail there.
+# Cached pieces of a Python worker, some 45 MB at most; longer ones are not kept.
+CACHE, CACHE_LETTERS = 250_000, 64
+# A blank before white space or at the end: texts with one are split by the pattern below it.
 _ODD_BLANK = re.compile(r" (?:\s|\Z)")
-# Also the four separators that Python counts as white space and the tokenizer does not.
-_BEYOND_LATIN = re.compile(r"[^\x00-\x1b\x20-ɏ]")
-# The word pattern of byte-level BPE, for Latin text (fixed value).
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9²³¹¼-¾]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_BEFORE_WORD = re.compile(r" (?=\S)")
+# The word pattern of byte-level BPE (fixed value).
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_letters() -> dict[int, int]:
@@ -43,49 +45,54 @@ def vocabulary_path(vocabulary: str) -> str:
     return public_tokenizers.path(vocabulary)
 
 
-class _Cache(dict):
-    def __init__(self, make, most: int):
-        self.make, self.most = make, most
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = made = self.make(key)
-        return made
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of every token of a byte-level vocabulary file, added ones left out."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    byte_of = {c: b for b, c in byte_letters().items()}
+    merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:])):
+        raise ValueError("the ids of the vocabulary do not follow its merges")
+    return {i: bytes(map(byte_of.__getitem__, map(ord, t))) for t, i in model["vocab"].items()}
 
 
 class Encoder:
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE, plain: bool = False):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.words = _Cache(self._word, cache)
-        self.first, self.later = _Cache(self._piece, cache // 8), _Cache(lambda p: self._piece(" " + p), cache)
-
-    def _word(self, word: str) -> bytes:
-        spelled = word.encode("utf-8").decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ranks = {spelled: i for i, spelled in token_bytes(path).items()}
+        self.merge = tiktoken.Encoding("pieces", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.pieces: dict[str, bytes] = {}
+        self.most = cache
 
     def _piece(self, piece: str) -> bytes:
-        if _BEYOND_LATIN.search(piece):
-            return self._whole(piece)
-        return b"".join([self.words[w] for w in _WORDS.findall(piece)])
+        ids = self.merge(piece)
+        made = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= CACHE_LETTERS:
+            if len(self.pieces) >= self.most:
+                self.pieces.clear()
+            self.pieces[piece] = made
+        return made
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if _ODD_BLANK.search(text) or self.added.search(text):
-            return self._whole(text)
-        first, *later = text.split(" ")
-        return (self.first[first] if first else b"") + b"".join(map(self.later.__getitem__, later))
+        if self.added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        first, *later = _BEFORE_WORD.split(text) if _ODD_BLANK.search(text) else text.split(" ")
+        get = self.pieces.get
+        # A piece of several ids is never empty, and the empty piece is no piece.
+        out = [(get(first) or self._piece(first)) if first else b""]
+        for piece in later:
+            piece = " " + piece
+            out.append(get(piece) or self._piece(piece))
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str = VOCABULARY) -> Encoder:
+def encoder(vocabulary: str = VOCABULARY, plain: bool = False) -> Encoder:
     """The encoder of this Python worker. ``vocabulary``: a path that exists on every machine, or a name among the public ones."""
-    return Encoder(vocabulary_path(vocabulary))
+    return Encoder(vocabulary_path(vocabulary), plain=plain)

@@ -41,7 +41,28 @@ def test_small_caches_change_nothing():
     few = tokens.Encoder(public_tokenizers.path(tokens.VOCABULARY), cache=16)
     text = " ".join(f"word{i} and, other-{i * i} things." for i in range(200))
     assert np.frombuffer(few.encode(text), "<u4").tolist() == ids_of(text)
-    assert len(few.later) <= 16 and len(few.words) <= 16
+    assert len(few.pieces) <= 16
+    long = "x" * 100_000 + " " + "yz-" * 50_000
+    assert np.frombuffer(few.encode(long), "<u4").tolist() == ids_of(long)
+
+
+def test_every_code_point_is_of_the_same_kind():
+    encoder = tokens.encoder()
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 5000):
+        text = "".join(f"a{chr(c)}b 1{chr(c)}2 {chr(c)}." for c in points[at : at + 5000])
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids_of(text)
+
+
+def test_plain_strings_of_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    library.encode_special_tokens = True
+    for text in ("one<|endoftext|>two", "<|endoftext|> x"):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(tokens.encoder(plain=True).encode(text), "<u4").tolist() == ids and 50256 not in ids
 
 
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=100), st.booleans())
