@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberline.llm import bpe_automaton, decontam, packing, quality, secrets, sharding, similarity, token_store, toxicity, url_index, warc
+from emberline.llm import alignment, bpe_automaton, decontam, lexical, packing, quality, secrets, sharding, similarity, token_store, toxicity, url_index, warc
 
 QUERIES = {
     "op1_entropy_windows": secrets.op1_entropy_windows,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_sampled_splitters": sharding.op8_sampled_splitters,
     "op9_transactions": warc.op9_transactions,
     "op10_robust_outliers": quality.op10_robust_outliers,
+    "op11_identity_map": alignment.op11_identity_map,
     "op12_token_automaton": bpe_automaton.op12_token_automaton,
+    "op13_max_sketches": lexical.op13_max_sketches,
 }
-ORACLES: dict[str, str] = {"op5_digest_array": url_index.ORACLE}
+ORACLES: dict[str, str] = {"op5_digest_array": url_index.ORACLE, "op13_max_sketches": lexical.ORACLE}
