@@ -5,8 +5,8 @@ them into groups; two tokens are linked when their bytes overlap. The count of a
 
 * **Identity map.** An array gives for each id of A the id of B with the same bytes. Pairs of that kind, nearly all groups of common words, are
   counted in one vector of the length of the vocabulary per task; only the other pairs, folded per task first, enter the shuffle as pairs.
-* **Pieces.** No token of either crosses the start of a single blank between two words, so a text is aligned piece by piece there,
-  and a piece met before is looked up. What no such place divides is aligned whole.
+* **Arrays.** The texts of a batch are laid end to end; the ends of the tokens of both sides, sorted together, cut the bytes into intervals, and each
+  interval is the overlap of exactly one linked pair. Groups, links and their numbers follow from a few array operations a batch.
 * **Counts come back** without a shuffle of documents: the identity pairs' and the best counts are vectors of vocabulary length, and of the
   other pairs the most frequent, ``HEAD`` at most by an exact count, are broadcast. Pairs below them are few to a document and in few documents each;
   they alone are joined by key.
@@ -19,9 +19,9 @@ rows are documents of their own; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,83 +31,75 @@ from emberline.llm import tokens
 from emberline.llm.common import cut, importable, reliable_cut
 
 VOCABULARY_B = "piece_bpe_32k.model"
-# Cached pieces of a Python worker, some 100 MB at most; longer ones are not kept.
-CACHE, CACHE_LETTERS = 200_000, 64
 # Pairs whose counts are broadcast at most (16 bytes each), and links that a task gathers before it folds or emits them.
 HEAD, FOLD = 2_000_000, 2_000_000
-# A single blank between two words, where neither tokenizer joins (blanks in a row, or at an end, may be one token of B).
-_BETWEEN = re.compile(r"(?<=[^ ]) (?=\S)")
-_ODD = re.compile(r"\A | (?:\s|\Z)")
+# Characters of text that are aligned at a time; a longer text is alone in its batch.
+BATCH_CHARS = 500_000
 BITS = 32
 
-# A piece: tokens of A, of B, groups, the groups' text, link keys (a << 32 | b, little-endian int64).
-Piece = tuple[int, int, int, str, bytes]
-
-
-def groups_of(a: list[int], b: list[int], len_a, len_b) -> tuple[list[str], list[int]]:
-    """Texts of the groups, and the keys of all linked pairs, of two token lists over the same bytes."""
-    texts, keys, i, j, end_a, end_b, from_i, from_j = [], [], 0, 0, 0, 0, 0, 0
-    while i < len(a) and j < len(b):
-        # Tokens i and j overlap: both begin before the other one's end.
-        keys.append(a[i] << BITS | b[j])
-        to_a, to_b = end_a + len_a[a[i]], end_b + len_b[b[j]]
-        if to_a <= to_b:
-            i, end_a = i + 1, to_a
-        if to_b <= to_a:
-            j, end_b = j + 1, to_b
-        if to_a == to_b:
-            texts.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-            from_i, from_j = i, j
-    return texts, keys
-
 
 class Aligner:
-    def __init__(self, path_a: str, path_b: str, cache: int = CACHE):
+    def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
         self.merge = tokens.Encoder(path_a, cache=1, plain=True).merge
         self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_a = tokens.token_bytes(path_a)
+        bytes_a = tokens.token_bytes(path_a)
         self.bytes_b = [
-            bytes([int(self.model.id_to_piece(i)[3:5], 16)]) if self.model.is_byte(i) else self.model.id_to_piece(i).replace("▁", " ").encode()
+            bytes([int(self.model.id_to_piece(i)[3:5], 16)]) if self.model.is_byte(i) else self.model.id_to_piece(i).replace("\u2581", " ").encode()
             for i in range(self.model.get_piece_size())
         ]
-        self.len_a, self.len_b = {i: len(v) for i, v in self.bytes_a.items()}, [len(v) for v in self.bytes_b]
-        same = {self.bytes_b[i]: i for i in sorted(range(len(self.bytes_b)), key=lambda i: not self.model.is_byte(i))}
-        self.n_a = max(self.bytes_a) + 1
-        self.same = np.full(self.n_a, -1, np.int64)
-        for i, spelled in self.bytes_a.items():
-            self.same[i] = same.get(spelled, -1)
-        self.pieces: dict[str, Piece | None] = {}
-        self.most = cache
-
-    def whole(self, text: str) -> Piece | None:
-        """Blank + ``text``, aligned; None where the bytes of B's tokens are others."""
-        a, b = self.merge(" " + text), self.model.encode(text)
-        spelled = b"".join(map(self.bytes_b.__getitem__, b))
-        # A's tokens spell every text; B's may not.
-        if spelled != (" " + text).encode():
-            return None
-        texts, keys = groups_of(a, b, self.len_a, self.len_b)
-        return len(a), len(b), len(texts), ";".join(texts), np.array(keys, "<i8").tobytes()
-
-    def align(self, text: str) -> list[Piece] | None:
-        """The pieces of a text in order; None for a text without tokens."""
-        if not text:
-            return None
-        out, pieces = [], self.pieces
-        for piece in _BETWEEN.split(text) if _ODD.search(text) else text.split(" "):
-            found = pieces.get(piece)
-            if found is None:
-                found = self.whole(piece)
-                if found is None:
-                    return None
-                if len(piece) <= CACHE_LETTERS:
-                    if len(pieces) >= self.most:
-                        pieces.clear()
-                    pieces[piece] = found
-            out.append(found)
-        return out
+        n_a, n_b = max(bytes_a) + 1, len(self.bytes_b)
+        self.len_a = np.array([len(bytes_a.get(i, b"")) for i in range(n_a)], np.int64)
+        self.len_b = np.array([len(v) for v in self.bytes_b], np.int64)
+        # Of several ids of B with the same bytes, the piece goes before the byte.
+        same = {self.bytes_b[i]: i for i in sorted(range(n_b), key=lambda i: not self.model.is_byte(i))}
+        self.same = np.array([same.get(bytes_a.get(i), -1) for i in range(n_a)], np.int64)
+        # What a token writes into the groups' text, by whether it is the last of its side in its group.
+        self.written = [f"{i}{end}" for i in range(n_a) for end in ",|"] + [f"{i}{end}" for i in range(n_b) for end in ",;"]
+
+    def _tokens(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Both token lists of each text, empty ones where B's bytes are others than blank + text (A's never are)."""
+        right = self.model.encode(texts, num_threads=1)
+        for k, text in enumerate(texts):
+            if not text or b"".join(map(self.bytes_b.__getitem__, right[k])) != (" " + text).encode():
+                right[k] = []
+        return [self.merge(" " + text) if found else [] for text, found in zip(texts, right)], right
+
+    def align(self, left: list[list[int]], right: list[list[int]]) -> Iterator[tuple]:
+        """n_groups, the groups' text, keys of the linked pairs (sorted, each once), their links: for each pair of token lists over the same bytes."""
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (left, right))
+        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        upto_a, upto_b = np.cumsum(list(map(len, left))), np.cumsum(list(map(len, right)))
+        # Where each text's bytes end.
+        doc_ends = np.concatenate([[0], ends_a])[upto_a]
+        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        ends = ends[np.diff(ends, prepend=-1) > 0]
+        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        common = ends[(ends_a[at_a] == ends) & (ends_b[at_b] == ends)]
+        n_groups = np.diff(np.searchsorted(common, doc_ends, "right"), prepend=0)
+        # Tokens in the order of the text: a group's tokens of A, then those of B.
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = 2 * a + (common[group_a] == ends_a)
+        order[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = 2 * (len(self.len_a) + b) + (common[group_b] == ends_b)
+        written = list(map(self.written.__getitem__, order.tolist()))
+        # Links: text, a, b as one number, so that one sort serves the batch.
+        n_b = len(self.len_b)
+        size = len(self.len_a) * n_b
+        found, links = np.unique(np.searchsorted(doc_ends, ends) * size + a[at_a] * n_b + b[at_b], return_counts=True)
+        firsts = np.searchsorted(found, np.arange(len(left) + 1) * size)
+        keys = (found % size) // n_b << BITS | found % n_b
+        upto = [0, *(upto_a + upto_b).tolist()]
+        for k in range(len(left)):
+            some = slice(firsts[k], firsts[k + 1])
+            yield int(n_groups[k]), "".join(written[upto[k] : upto[k + 1]])[:-1], keys[some], links[some]
+
+    def rows(self, texts: list[str]) -> Iterator[tuple]:
+        """n_a, n_b, n_groups, groups' text, keys, links of each text."""
+        left, right = self._tokens(texts)
+        for a, b, found in zip(left, right, self.align(left, right)):
+            yield len(a), len(b), *found
 
 
 @lru_cache(maxsize=1)
@@ -116,6 +108,21 @@ def aligner(vocabulary_a: str = tokens.VOCABULARY, vocabulary_b: str = VOCABULAR
     return Aligner(tokens.vocabulary_path(vocabulary_a), tokens.vocabulary_path(vocabulary_b))
 
 
+def by_length(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of (place, doc_id, text) with some BATCH_CHARS characters each."""
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_pylist()
+    first = chars = 0
+    for k, n in enumerate(lengths):
+        if k > first and chars + n > BATCH_CHARS:
+            yield batch.slice(first, k - first)
+            first, chars = k, 0
+        chars += n
+    if first < len(lengths):
+        yield batch.slice(first)
+
+
 LINKED = (
     "place long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
     "same_ids binary, same_n binary, pair_keys binary, pair_n binary"
@@ -134,15 +141,10 @@ def aligned(
     schema_text = LINKED + (", groups string" if keep_groups else "")
     schema = to_arrow_schema(_parse_datatype_string(schema_text))
 
-    def row(place, doc_id, pieces: list[Piece] | None, same: np.ndarray) -> tuple:
-        if not pieces:
-            return (place, doc_id, 0, 0, 0, 0, "", b"", b"", b"", b"", "")
-        n_a, n_b, n_groups, texts, links = zip(*pieces)
-        keys, n = np.unique(np.frombuffer(b"".join(links), "<i8"), return_counts=True)
+    def row(place, doc_id, n_a: int, n_b: int, n_groups: int, text: str, keys: np.ndarray, n: np.ndarray, same: np.ndarray) -> tuple:
         plain = same[keys >> BITS] == keys & ((1 << BITS) - 1)
-        text = ";".join(texts)
         return (
-            place, doc_id, sum(n_a), sum(n_b), sum(n_groups), int(n.sum()), hashlib.sha256(text.encode()).hexdigest(),
+            place, doc_id, n_a, n_b, n_groups, int(n.sum()), hashlib.sha256(text.encode()).hexdigest() if text else "",
             (keys[plain] >> BITS).astype("<u4").tobytes(), n[plain].astype("<u4").tobytes(),
             keys[~plain].tobytes(), n[~plain].astype("<u4").tobytes(), text,
         )
@@ -150,8 +152,10 @@ def aligned(
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(vocabulary_a, vocabulary_b)
         for batch in batches:
-            for part in cut(batch, 500):
-                rows = [row(p, i, own.align(t or ""), own.same) for p, i, t in zip(*(c.to_pylist() for c in part.columns))]
+            for part in by_length(batch):
+                places, ids, texts = (c.to_pylist() for c in part.columns)
+                found = own.rows([t or "" for t in texts])
+                rows = [row(p, i, *x, own.same) for p, i, x in zip(places, ids, found)]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
     rows = docs.select(

@@ -75,10 +75,11 @@ def sample():
     return docs + [(900, None), (901, ""), (902, " "), (903, "a▁b and more"), (904, " the"), (905, "the "), (906, docs[0][1]), (0, "twice"), (None, "no id")]
 
 
-@pytest.mark.parametrize("head, fold", [(A.HEAD, A.FOLD), (40, 50), (0, 1)])
-def test_equals_brute_force(spark, frame, plain, monkeypatch, head, fold):
-    """Whether all pairs, some or none are in the broadcast head, and however often tasks fold, the result is the same."""
+@pytest.mark.parametrize("head, fold, chars", [(A.HEAD, A.FOLD, A.BATCH_CHARS), (40, 50, 100), (0, 1, 1)])
+def test_equals_brute_force(spark, frame, plain, monkeypatch, head, fold, chars):
+    """Whether all pairs, some or none are in the broadcast head, however often tasks fold and whatever a batch holds, the result is the same."""
     monkeypatch.setattr(A, "FOLD", fold)
+    monkeypatch.setattr(A, "BATCH_CHARS", chars)
     docs = sample()
     found = {tuple(r) for r in A.alignment_scores(frame(docs), head=head).collect()}
     assert found == brute(docs, plain)[0]
@@ -94,9 +95,15 @@ def test_pair_counts(spark, frame, plain):
 
 
 def test_groups_of_shifted_tokens():
-    # Bytes aaa: A as aa, a and B as a, aa. One group; of the four pairs only a, a of the two ends does not overlap.
-    texts, keys = A.groups_of([2, 1], [1, 2], {1: 1, 2: 2}, {1: 1, 2: 2})
-    assert texts == ["2,1|1,2"] and sorted((k >> 32, k & 0xFFFFFFFF) for k in keys) == [(1, 2), (2, 1), (2, 2)]
+    """Three bytes, of A in tokens of two and one, of B in one and two: one group, in which only the first of B and the last of A do not meet."""
+    own = A.aligner()
+    two = next(i for i in range(len(own.len_a)) if own.len_a[i] == 2)
+    one = next(i for i in range(len(own.len_a)) if own.len_a[i] == 1)
+    left = next(i for i in range(len(own.len_b)) if own.len_b[i] == 1)
+    right = next(i for i in range(len(own.len_b)) if own.len_b[i] == 2)
+    empty, (n_groups, text, keys, links) = own.align([[], [two, one]], [[], [left, right]])
+    assert empty[:2] == (0, "") and n_groups == 1 and text == f"{two},{one}|{left},{right}"
+    assert {(int(k) >> 32, int(k) & 0xFFFFFFFF): int(n) for k, n in zip(keys, links)} == {(two, left): 1, (two, right): 1, (one, right): 1}
 
 
 def test_long_text_and_empty_table(spark, frame, plain):
