@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from emberline import config as C
 from emberline.functions import exprs as X
+from emberline.session import reliable_cut
 
 METRICS = {"euclid": X.euclid_degrees, "manhattan": X.manhattan_degrees}
 
@@ -17,6 +18,9 @@ LEVELS = 24
 AROUND_BINS = 25
 QUERY_BYTES = 80
 
+# Points of a bin that is searched whole; a larger one is cut into parts, each with a UNIT_FAN-th of its points at most.
+UNIT_POINTS, UNIT_FAN = 256, 256
+
 BIN_BYTES = 32
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -98,6 +102,59 @@ def pairs_within(stations: DataFrame, limit_km: float = C.PAIR_LIMIT_KM) -> Data
     )
 
 
+def _boxed(df: DataFrame, metric: str) -> DataFrame:
+    """Candidate bins with the least and the greatest distance that a point of theirs can have from the query."""
+    distance_of, lat, lon = METRICS[metric], F.col("query_lat"), F.col("query_lon")
+    width = F.pow(F.lit(2.0), F.col("lvl") - LEAF_EXPONENT)
+    south, west = F.col("by") * width, F.col("bx") * width
+
+    def nearer(at, low):
+        return F.greatest(low, F.least(at, low + width))
+
+    def farther(at, low):
+        return F.when(at - low > low + width - at, low).otherwise(low + width)
+
+    return df.withColumns(
+        {
+            "d_min": distance_of(lat, lon, nearer(lat, south), nearer(lon, west)),
+            "d_max": distance_of(lat, lon, farther(lat, south), farther(lon, west)),
+        }
+    )
+
+
+def _within_bound(candidates: DataFrame, need: int, metric: str) -> DataFrame:
+    """The candidate bins that may hold one of a query's ``need`` nearest. The bins whose far ends are nearest, up to ``need`` points, bound
+    the distance of the last one from above; bins that begin beyond it drop out. The bound has a margin for distances that round to a tie."""
+    far = Window.partitionBy("query_lat", "query_lon").orderBy("d_max", "lvl", "by", "bx")
+    query = Window.partitionBy("query_lat", "query_lon")
+    return (
+        _boxed(candidates, metric)
+        .withColumn("_upto", F.sum("n").over(far.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_bound", F.min(F.when(F.col("_upto") >= need, F.col("d_max"))).over(query))
+        .filter(F.col("_bound").isNull() | (F.col("d_min") <= F.col("_bound") + 1e-8))
+        .select("query_lat", "query_lon", "lvl", "by", "bx", "n")
+    )
+
+
+def _cut_up(crowded: DataFrame, nodes: DataFrame, unit: int, fan: int) -> DataFrame:
+    """The parts (lvl, by, bx, n) of each crowded bin (root_lvl, root_by, root_bx): its largest bins below with at most ``unit`` points or
+    a ``fan``-th of its own. They are some four to ``fan`` times as many, whatever the bin holds."""
+    roots = crowded.select(F.col("lvl").alias("root_lvl"), F.col("by").alias("root_by"), F.col("bx").alias("root_bx"), F.col("n").alias("root_n")).distinct()
+    # At most LEVELS small integers.
+    levels = F.lit(sorted(r.root_lvl for r in roots.select("root_lvl").distinct().collect())).cast("array<int>")
+    up = lambda c: F.expr(f"shiftright({c}, root_lvl - lvl)")
+    parent = nodes.select((F.col("lvl") - 1).alias("lvl"), F.col("by").alias("_py"), F.col("bx").alias("_px"), F.col("n").alias("parent_n"))
+    below = nodes.withColumns({"_py": F.shiftright("by", 1), "_px": F.shiftright("bx", 1)}).join(parent, ["lvl", "_py", "_px"])
+    most = F.greatest(F.lit(unit), F.expr(f"root_n div {fan}"))
+    return (
+        below.withColumn("root_lvl", F.explode(F.filter(levels, lambda v: v > F.col("lvl"))))
+        .withColumns({"root_by": up("by"), "root_bx": up("bx")})
+        .join(roots, ["root_lvl", "root_by", "root_bx"])
+        .filter((F.col("parent_n") > most) & ((F.col("n") <= most) | (F.col("lvl") == 0)))
+        .select("root_lvl", "root_by", "root_bx", "lvl", "by", "bx", "n")
+    )
+
+
 def nearest_k(
     queries: DataFrame,
     points: DataFrame,
@@ -105,6 +162,8 @@ def nearest_k(
     metric: str = "euclid",
     skip_self: bool = False,
     query_bound: int | None = None,
+    unit: int = UNIT_POINTS,
+    fan: int = UNIT_FAN,
 ) -> DataFrame:
     """The k nearest points of every query by a degree metric: (query, point, degrees, rank).
 
@@ -113,13 +172,16 @@ def nearest_k(
 
     How it stays local. Points are counted in square bins of doubling size. A query looks for the smallest bin around
     itself that holds k points: its k nearest then lie within two bin widths, so the 5 x 5 bins around it hold all of
-    them. Only those bins are joined. Dense areas thereby use small bins and empty areas large ones, and no query meets
-    all points. Points at one and the same place are cut to the lowest k ids first, which cannot change a result,
-    so copies of one position never pile up in a bin; and the search runs once per place, however many queries stand there:
-    its answer, a list of at most k + 1 points, is then joined to them by a key that is unique on its side.
-
-    ``query_bound`` is a proven limit on the number of queries. When it is small, the queries' bins are broadcast, and points
-    far from all queries drop out where they are read.
+    them. The counts of those bins bound the k-th distance, and bins that begin beyond the bound drop out. A bin that is left with more than
+    ``unit`` points - a dense cluster beside the query - is cut into parts with a ``fan``-th of its points each at most, the bound is drawn
+    tighter with the parts' counts, and so on until all bins are small: every round divides a cluster by ``fan``. Only the bins left are
+    joined with points. Dense areas thereby use small bins and empty areas large ones, no query meets all points of a cluster,
+    and no bin holds more than ``unit`` of them, except leaf bins, which are finer than the coordinates of the formats. Points at one
+    and the same place are cut to the lowest k ids first, which cannot change a result; and the search runs once per place, however many
+    queries stand there: its answer, a list of at most k + 1 points, is then joined to them by a key that is unique on its side.
+
+    ``query_bound`` is a proven limit on the number of queries. When it is small, and no bin is crowded, the queries' bins are broadcast, and
+    points far from all queries drop out where they are read. Counts and bins are stored, so this runs when it is called.
     """
     need = k + 1 if skip_self else k
     distance_of = METRICS[metric]
@@ -139,18 +201,12 @@ def nearest_k(
     at_level = [F.expr("shiftright(iy, lvl)").alias("by"), F.expr("shiftright(ix, lvl)").alias("bx")]
     all_levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("lvl")
     few_queries = query_bound is not None and query_bound * AROUND_BINS * QUERY_BYTES <= BROADCAST_BYTES
-    asked_bins = asked.select("iy", "ix").distinct().select("iy", "ix", all_levels).select("iy", "ix", "lvl", *at_level)
-    counted = places.select("iy", "ix", all_levels).select("lvl", *at_level)
-    if few_queries:
-        counted = counted.join(F.broadcast(asked_bins.select("lvl", "by", "bx").distinct()), ["lvl", "by", "bx"], "left_semi")
-    filled = (
-        counted.groupBy("lvl", "by", "bx")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= need)
-        .drop("n")
+    nodes = reliable_cut(
+        places.select("iy", "ix", all_levels).select("lvl", *at_level).groupBy("lvl", "by", "bx").agg(F.count("*").alias("n")), "bins"
     )
     chosen = (
-        asked_bins.join(filled, ["lvl", "by", "bx"])
+        asked.select("iy", "ix").distinct().select("iy", "ix", all_levels).select("iy", "ix", "lvl", *at_level)
+        .join(nodes.filter(F.col("n") >= need).drop("n"), ["lvl", "by", "bx"])
         .groupBy("iy", "ix")
         .agg(F.min("lvl").alias("lvl"))
     )
@@ -169,15 +225,27 @@ def nearest_k(
             (F.col("bx") + F.col("dx")).alias("bx"),
         )
     )
-    # Points enter only the levels some query uses: a set of at most LEVELS small integers, read off the same shuffle.
-    used = chosen.agg(F.array_union(F.collect_set("lvl"), F.array(F.lit(LEVELS - 1)))).scalar()
+    candidates = reliable_cut(_within_bound(looking.join(nodes, ["lvl", "by", "bx"]), need, metric), "near-bins")
+    is_crowded = (F.col("n") > unit) & (F.col("lvl") > 0)
+    while not candidates.filter(is_crowded).isEmpty():
+        few_queries = False
+        crowded = candidates.filter(is_crowded)
+        parts = _cut_up(crowded, nodes, unit, fan)
+        roots = crowded.select(
+            "query_lat", "query_lon", F.col("lvl").alias("root_lvl"), F.col("by").alias("root_by"), F.col("bx").alias("root_bx")
+        )
+        opened = roots.join(parts, ["root_lvl", "root_by", "root_bx"]).select(candidates.columns)
+        candidates = reliable_cut(_within_bound(candidates.filter(~is_crowded).unionByName(opened), need, metric), "near-bins")
+    # Points enter only the levels some query uses: a set of at most LEVELS small integers.
+    used = F.lit(sorted(r.lvl for r in candidates.select("lvl").distinct().collect())).cast("array<int>")
     offered = places.withColumn("lvl", F.explode(used)).select(
         F.struct("id", "lat", "lon").alias("p"), "lvl", *at_level
     )
+    candidates = candidates.drop("n")
     degrees = F.round(distance_of(F.col("query_lat"), F.col("query_lon"), F.col("p.lat"), F.col("p.lon")), 9)
     order = Window.partitionBy("query_lat", "query_lon").orderBy("degrees", "point_id")
     answers = (
-        offered.join(F.broadcast(looking) if few_queries else looking, ["lvl", "by", "bx"])
+        offered.join(F.broadcast(candidates) if few_queries else candidates, ["lvl", "by", "bx"])
         .select(
             "query_lat",
             "query_lon",

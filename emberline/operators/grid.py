@@ -89,6 +89,53 @@ def grid_cells(spark: SparkSession, km: float = 10.0, bounds: C.Bounds = C.SOUTH
     return with_terrain(cells)
 
 
+def lattice_neighbors(
+    targets: DataFrame, km: float = 10.0, bounds: C.Bounds = C.SOUTHERN_CANADA, k: int = C.CELL_NEIGHBORS
+) -> DataFrame:
+    """The k nearest cells of each target cell of a box's grid by summed degree differences, over all terrains: (cell_id, neighbor_id,
+    degrees, rank). Ties (nine decimals) go to the lower id; a target outside the grid has the nearest cells all the same, as far as its
+    row reaches.
+
+    The lattice itself names the candidates, so nothing is searched, joined or shuffled, however many targets there are: in each row the k cells
+    on either side of the target's longitude, and of rows those up to k and a few beyond. Every row in between has a cell that is at most a
+    longitude step off, which is less than the rows beyond k are further away.
+    """
+    table = grid_rows(km, bounds)
+    if not table:
+        return targets.select("cell_id", F.lit(0).cast("long").alias("neighbor_id"), F.lit(0.0).alias("degrees"), F.lit(0).alias("rank")).limit(0)
+    step = km / C.KM_PER_DEGREE
+    reach = k + math.ceil(max(lon_step for _, lon_step, _, _ in table) / step)
+    # One row: at most 180 * 111.32 / km entries.
+    lattice = (
+        targets.sparkSession.createDataFrame(table, "lat double, lon_step double, n long, before long")
+        .agg(F.array_sort(F.collect_list(F.struct("lat", "lon_step", "n", "before"))).alias("rows"))
+        .scalar()
+    )
+    own = F.round((F.col("center_lat") - F.lit(bounds.lat_min)) / F.lit(step)).cast("int")
+
+    def in_row(i):
+        row = F.get(F.col("_rows"), i)
+        at = F.floor((F.col("center_lon") - F.lit(bounds.lon_min)) / row["lon_step"])
+        low = F.greatest(F.lit(0).cast("long"), F.least(at, row["n"]) - (k - 1))
+        high = F.least(row["n"] - 1, F.greatest(at, F.lit(-1).cast("long")) + k)
+        return F.transform(
+            F.sequence(F.least(low, high), high),
+            lambda j: F.struct(
+                F.round(
+                    X.manhattan_degrees(F.col("center_lat"), F.col("center_lon"), row["lat"], F.lit(bounds.lon_min) + j * row["lon_step"]), 9
+                ).alias("degrees"),
+                (row["before"] + j + 1).alias("neighbor_id"),
+            ),
+        )
+
+    first, last = F.greatest(own - reach, F.lit(0)), F.least(own + reach, F.lit(len(table) - 1))
+    rows = F.filter(F.sequence(F.least(own - reach, F.lit(len(table) - 1)), F.greatest(own + reach, F.lit(0))), lambda i: i.between(first, last))
+    others = F.filter(F.flatten(F.transform(rows, in_row)), lambda c: c["neighbor_id"] != F.col("cell_id"))
+    return targets.select("cell_id", "center_lat", "center_lon", lattice.alias("_rows")).select(
+        "cell_id", F.posexplode(F.slice(F.array_sort(others), 1, k)).alias("pos", "c")
+    ).select("cell_id", "c.neighbor_id", "c.degrees", (F.col("pos") + 1).alias("rank"))
+
+
 def count_cells(km: float, bounds: C.Bounds = C.SOUTHERN_CANADA) -> int:
     """Number of cells of a grid, from its parameters alone; used to decide whether a cell table may be broadcast."""
     return sum(row[2] for row in grid_rows(km, bounds))

@@ -582,7 +582,7 @@ ORACLES: dict[str, str] = {
     "sample_dates": " UNION ALL ".join(
         f"SELECT cell_id, terrain_type, CAST(target_date AS VARCHAR) AS target_date, draw, '{k}' AS kind FROM v_dates_{k}" for k in ("train", "test")
     ),
-    "cell_neighbors": rounded("degrees", f"({nearest_pairs('v_burned_cells', 8)})", "cell_id, neighbor_id, rank"),
+    "cell_neighbors": rounded("degrees", f"({nearest_pairs('v_targets', 8)})", "cell_id, neighbor_id, rank"),
     "yearly_features": rounded(_YEARLY_NAMES, "v_yearly_train", _KEY),
     "neighbor_features": rounded(list(NEIGHBOR_NAMES), "v_around_train", _KEY),
     "cell_features": rounded("terrain_type_encoded area_km2 historical_fire_frequency elevation", "v_cell_features", "cell_id"),

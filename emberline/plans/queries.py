@@ -433,8 +433,7 @@ def sample_dates(spark, d):
 @query
 def cell_neighbors(spark, d):
     ws = workspace(spark, d)
-    burning = ws.cell_fire.select("cell_id").distinct()
-    return tidy(geo.cell_neighbors(ws.cells.join(burning, "cell_id", "left_semi"), ws.cells))
+    return tidy(grid.lattice_neighbors(ws.targets, ws.km, ws.bounds))
 
 
 @query

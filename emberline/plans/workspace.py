@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline import config as C
-from emberline.operators import features, fires, geo, grid, interpolate as ip, sampling, weather
+from emberline.operators import features, fires, grid, interpolate as ip, sampling, weather
 from emberline.session import reliable_cut
 
 
@@ -124,7 +124,7 @@ class Workspace:
     @cached_property
     def neighbors(self) -> DataFrame:
         asked = self.targets.filter(F.col("terrain_type") != "water").select("cell_id", "center_lat", "center_lon")
-        return reliable_cut(geo.cell_neighbors(asked, self.cells, target_bound=C.TARGET_CELLS), "neighbors")
+        return reliable_cut(grid.lattice_neighbors(asked, self.km, self.bounds), "neighbors")
 
     @cached_property
     def sample_weather(self) -> DataFrame:

@@ -50,6 +50,42 @@ def test_nearest_k_equals_brute_force(spark, metric, distance):
     assert {(r.query_id, r.point_id, r.rank) for r in found.collect()} == brute(asked, points, 5, distance, False)
 
 
+@pytest.mark.parametrize("metric, distance", [("euclid", EUCLID), ("manhattan", MANHATTAN)])
+def test_nearest_k_beside_a_cluster(spark, metric, distance):
+    """Different positions crowded beside the queries: bins are cut, over several rounds, and the answer is that of brute force."""
+    rng = random.Random(9)
+    points = [(i, rng.uniform(50, 50.02), rng.uniform(-113, -112.98)) for i in range(1200)]
+    points += [(2000 + i, rng.uniform(45, 55), rng.uniform(-120, -105)) for i in range(60)]
+    asked = [(i, rng.uniform(49.5, 50.5), rng.uniform(-114, -112)) for i in range(40)] + [(90, 50.01, -112.99), (91, -40.0, 100.0)]
+    frames = [spark.createDataFrame(rows, "id long, lat double, lon double") for rows in (asked, points)]
+    expected = brute(asked, points, 6, distance, False)
+    for unit, fan in ((256, 256), (8, 4), (1, 2)):
+        found = geo.nearest_k(*frames, 6, metric, query_bound=100, unit=unit, fan=fan).collect()
+        assert {(r.query_id, r.point_id, r.rank) for r in found} == expected
+
+
+def test_no_bin_of_a_cluster_meets_a_query_whole(spark):
+    rng = random.Random(10)
+    points = spark.createDataFrame([(i, rng.uniform(50, 50.02), rng.uniform(-113, -112.98)) for i in range(3000)], "id long, lat double, lon double")
+    nodes = points.selectExpr("CAST(floor(lat * 16384) AS LONG) iy", "CAST(floor(lon * 16384) AS LONG) ix", "explode(sequence(0, 23)) lvl").selectExpr(
+        "lvl", "shiftright(iy, lvl) by", "shiftright(ix, lvl) bx").groupBy("lvl", "by", "bx").count().withColumnRenamed("count", "n")
+    root = nodes.filter("lvl = 16 AND n > 100").select("lvl", "by", "bx", "n")
+    parts = geo._cut_up(root, nodes, 100, 256).collect()
+    assert sum(r.n for r in parts) == root.agg(F.sum("n")).first()[0] and max(r.n for r in parts) <= 100
+
+
+@pytest.mark.parametrize("km, region", [(100.0, None), (50.0, None), (10.0, "vancouver"), (500.0, "toronto")])
+def test_lattice_neighbors_equal_the_search(spark, km, region):
+    bounds = C.REGIONS[region] if region else C.SOUTHERN_CANADA
+    cells = grid.grid_cells(spark, km, bounds)
+    ends = cells.filter("cell_id % 13 = 1 OR terrain_type = 'urban'") if grid.count_cells(km, bounds) > 500 else cells
+    expected = geo.cell_neighbors(ends, cells)
+    names = ["cell_id", "neighbor_id", "degrees", "rank"]
+    assert rows(grid.lattice_neighbors(ends, km, bounds), *names) == rows(expected, *names)
+    plan = grid.lattice_neighbors(ends, km, bounds)._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    assert "Exchange" not in plan
+
+
 def test_nearest_k_with_too_few_points(spark):
     points, points_df = cloud(spark, 4, 3)
     found = geo.nearest_k(points_df, points_df, 10, "euclid", skip_self=True)
