@@ -140,8 +140,8 @@ class ModelConfig:
         return cls(**{f.name: values[f.name] for f in fields(cls) if f.name in values})
 
 
-# Search space: name -> (low, high, largest mutation step, is integer). Settings that Spark's trees do not have (L1, L2, rounds of
-# patience) are carried by ModelConfig but not searched over.
+# Search space: name -> (low, high, largest mutation step, is integer). Settings that Spark's trees do not have (L1, L2) are
+# carried by ModelConfig but not searched over.
 SEARCH_SPACE = {
     "max_depth": (3, 15, 2, True),
     "n_estimators": (50, 500, 50, True),
@@ -163,4 +163,6 @@ class SearchConfig:
     crossover_rate: float = 0.8
     patience: int = 3
     parallel_fits: int = 4
+    # No fit begins later; the stated target of a whole search.
+    max_seconds: float = 5 * 3600.0
     seed: int = 42

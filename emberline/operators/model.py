@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -87,16 +87,26 @@ class FittedModel:
         )
 
 
+@dataclass
+class Grown:
+    """Trees of one row of settings, as far as they were grown, and the validation loss after each of them."""
+
+    trees: GBTClassificationModel
+    losses: list[float]
+
+
 @dataclass
 class TrainingSet:
-    """Vectors, weights and the validation mark, prepared once and shared by every fit."""
+    """Vectors, weights and the validation mark, prepared once and shared by every fit. ``grown`` keeps what fits have grown, by settings."""
 
     features: PipelineModel
     rows: DataFrame
     one_class: bool
+    grown: dict[tuple, Grown] = field(default_factory=dict)
 
     def release(self) -> None:
         self.rows.unpersist()
+        self.grown.clear()
 
 
 def prepare_training(samples: DataFrame, test_share: float = 0.2, weight_cap: float = 5.0) -> TrainingSet:
@@ -115,31 +125,85 @@ def prepare_training(samples: DataFrame, test_share: float = 0.2, weight_cap: fl
     return TrainingSet(features, rows.persist(), one_class)
 
 
-def fit(training: TrainingSet, config: C.ModelConfig, model_id: str) -> FittedModel:
-    """One boosted-tree model. Rounds stop early once the validation loss no longer improves.
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """The round (from 1) with the least loss before the first stretch of ``patience`` rounds without a lesser one, and whether there was
+    such a stretch. Without a loss that is a number, the last round."""
+    best, at = float("inf"), None
+    for n, loss in enumerate(losses, 1):
+        if loss < best:
+            best, at = loss, n
+        elif at is not None and n - at >= patience:
+            return at, True
+    return at or len(losses), False
+
+
+def first_trees(grown: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model after ``n`` rounds of boosting: its first n trees with their weights."""
+    if n >= grown.getNumTrees:
+        return grown
+    gateway = SparkSession.active().sparkContext._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    whole = grown._java_obj
+    for k, (tree, weight) in enumerate(zip(list(whole.trees())[:n], list(whole.treeWeights())[:n])):
+        trees[k], weights[k] = tree, weight
+    java = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        whole.uid(), trees, weights, whole.numFeatures(), whole.numClasses()
+    )
+    return grown._copyValues(GBTClassificationModel(java))
+
+
+def settings_of(config: C.ModelConfig) -> tuple:
+    """What decides the trees, whatever their number: fits with equal settings are prefixes of each other."""
+    return config.max_depth, config.learning_rate, config.subsample, config.colsample, config.seed
+
 
-    ``subsample`` and ``colsample`` map to row and feature sampling per tree. Spark's trees have no L1 or L2 term, so
-    ``reg_alpha`` and ``reg_lambda`` are carried along but do not act, and the early stop uses a tolerance instead of
-    a number of rounds.
+def grow(training: TrainingSet, used: C.ModelConfig, seed: int, deadline: float = float("inf")) -> Grown:
+    """Trees for ``used``, from those that are there already where that is enough.
+
+    Rounds double until the loss has not improved for ``early_stopping_rounds`` of them, or all are grown. A longer fit repeats the shorter
+    one tree by tree, so doubling costs at most twice the trees, while fits that stop early never grow the rest. After ``deadline`` (of
+    ``time.monotonic``) rounds double no more.
+    """
+    key, patience = settings_of(used), used.early_stopping_rounds
+    fitted = training.rows.filter("NOT validation")
+    validation = training.rows.filter("validation")
+    rounds = min(used.n_estimators, patience + patience // 4 + 1)
+    while True:
+        grown = training.grown.get(key)
+        if grown is None or (grown.trees.getNumTrees < rounds and not best_round(grown.losses, patience)[1]):
+            grower = GBTClassifier(
+                labelCol=LABEL,
+                featuresCol="features",
+                weightCol="weight",
+                maxDepth=used.max_depth,
+                maxIter=rounds,
+                stepSize=used.learning_rate,
+                subsamplingRate=used.subsample,
+                featureSubsetStrategy="all" if used.colsample >= 1.0 else str(used.colsample),
+                maxBins=32,
+                cacheNodeIds=False,
+                seed=seed,
+            )
+            trees = grower.fit(fitted)
+            grown = training.grown[key] = Grown(trees, list(trees.evaluateEachIteration(validation)))
+        if rounds >= used.n_estimators or best_round(grown.losses[:rounds], patience)[1] or time.monotonic() >= deadline:
+            return grown
+        rounds = min(used.n_estimators, 2 * rounds)
+
+
+def fit(training: TrainingSet, config: C.ModelConfig, model_id: str, deadline: float = float("inf")) -> FittedModel:
+    """One boosted-tree model, cut at the round with the least validation loss.
+
+    Of at most ``n_estimators`` rounds it keeps those up to the best one before the loss failed to improve for ``early_stopping_rounds``
+    rounds. ``subsample`` and ``colsample`` map to row and feature sampling per tree. Spark's trees have no L1 or L2 term, so
+    ``reg_alpha`` and ``reg_lambda`` are carried along but do not act.
     """
     started = time.perf_counter()
     used = PLAIN if training.one_class else config
-    grower = GBTClassifier(
-        labelCol=LABEL,
-        featuresCol="features",
-        weightCol="weight",
-        maxDepth=used.max_depth,
-        maxIter=used.n_estimators,
-        stepSize=used.learning_rate,
-        subsamplingRate=used.subsample,
-        featureSubsetStrategy="all" if used.colsample >= 1.0 else str(used.colsample),
-        validationIndicatorCol="validation",
-        maxBins=32,
-        cacheNodeIds=False,
-        seed=config.seed,
-    )
-    trees = grower.fit(training.rows)
-    return FittedModel(model_id, config, training.features, trees, time.perf_counter() - started)
+    grown = grow(training, used, config.seed, deadline)
+    best, _ = best_round(grown.losses[: used.n_estimators], used.early_stopping_rounds)
+    return FittedModel(model_id, config, training.features, first_trees(grown.trees, best), time.perf_counter() - started)
 
 
 def train(samples: DataFrame, config: C.ModelConfig | None = None, model_id: str = "base") -> FittedModel:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberline import config as C
 from emberline.operators.metrics import population_fitness
-from emberline.operators.model import FittedModel, TrainingSet, fit, prepare_training
+from emberline.operators.model import FittedModel, TrainingSet, fit, prepare_training, settings_of
 from emberline.operators.sampling import random_subset
 from emberline.sources import sinks
 
@@ -103,13 +103,24 @@ def config_of(row, space: Space = C.SEARCH_SPACE) -> C.ModelConfig:
     return C.ModelConfig.from_dict({**C.ModelConfig().to_dict(), **found})
 
 
-def fit_all(configs: dict[str, C.ModelConfig], training: TrainingSet, parallel: int) -> dict[str, FittedModel]:
-    """Fits side by side, as the cross validator of ``pyspark.ml`` runs them."""
+def fit_all(
+    configs: dict[str, C.ModelConfig], training: TrainingSet, parallel: int, deadline: float = float("inf")
+) -> dict[str, FittedModel]:
+    """Fits side by side, as the cross validator of ``pyspark.ml`` runs them. Candidates that differ in their number of trees alone share
+    one fit, that of the most trees. No fit begins after ``deadline``, and those under way
+    stop at their next doubling; what was not fitted is missing in the result."""
     if not configs:
         return {}
-    work = inheritable_thread_target(SparkSession.active())(lambda item: fit(training, item[1], item[0]))
-    with ThreadPool(min(parallel, len(configs))) as pool:
-        return {m.model_id: m for m in pool.map(work, configs.items())}
+    shared: dict[tuple, list[tuple[str, C.ModelConfig]]] = {}
+    for item in sorted(configs.items(), key=lambda x: (-x[1].n_estimators, x[0])):
+        shared.setdefault(settings_of(item[1]), []).append(item)
+
+    def work(group: list[tuple[str, C.ModelConfig]]) -> list[FittedModel]:
+        return [fit(training, config, name, deadline) for name, config in group] if time.monotonic() < deadline else []
+
+    with ThreadPool(min(parallel, len(shared))) as pool:
+        done = pool.map(inheritable_thread_target(SparkSession.active())(work), shared.values(), chunksize=1)
+    return {m.model_id: m for group in done for m in group}
 
 
 def rated(models: list[FittedModel], test_rows: DataFrame) -> DataFrame:
@@ -119,7 +130,9 @@ def rated(models: list[FittedModel], test_rows: DataFrame) -> DataFrame:
     return population_fitness(scores, names)
 
 
-HISTORY = "generation int, fitness double, best_fitness double, mean_fitness double, n_fitted int, seconds double"
+HISTORY = (
+    "generation int, fitness double, best_fitness double, mean_fitness double, n_fitted int, n_missing int, ended string, seconds double"
+)
 
 
 def search_summary(history: DataFrame) -> DataFrame:
@@ -138,9 +151,12 @@ class SearchResult:
     history: list[tuple] = field(default_factory=list)
     training_seconds: float = 0.0
     evaluation_seconds: float = 0.0
+    ended: str = "generations"
 
     def history_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.history, HISTORY)
+        """A row per generation; the last one says why the search ended (converged, generations or time)."""
+        rows = [(*row[:-1], self.ended if row is self.history[-1] else None, row[-1]) for row in self.history]
+        return spark.createDataFrame(rows, HISTORY)
 
     def summary(self, spark: SparkSession) -> DataFrame:
         return search_summary(self.history_table(spark)).withColumns(
@@ -162,19 +178,28 @@ def converged(best: list[float], patience: int, decimals: int = 4) -> bool:
 def search(
     train: DataFrame, pool: DataFrame, settings: C.SearchConfig = C.SearchConfig(), space: Space = C.SEARCH_SPACE
 ) -> SearchResult:
-    """Rate generation after generation until the best fitness stands still or the last generation is done.
+    """Rate generation after generation until the best fitness stands still, the last generation is done or the time is over.
 
-    A generation's rows are as many as the population, so they are read on the driver to start the fits.
+    A generation's rows are as many as the population, so they are read on the driver to start the fits. Equal settings are fitted once
+    over all generations, and trees grown for a candidate of an earlier one are taken up while it is among the candidates. After
+    ``max_seconds`` no fit begins; candidates that were not fitted have no fitness, and the search ends with that generation.
     """
     spark, result, models, best = train.sparkSession, SearchResult(), {}, float("inf")
     training, pool, ranked = prepare_training(train), pool.persist(), None
+    deadline = time.monotonic() + settings.max_seconds
     try:
         for generation in range(settings.max_generations):
             begun = time.perf_counter()
             candidates = first_candidates(spark, settings, space) if ranked is None else next_candidates(ranked, generation, settings, space)
             rows = {r.model_id: r.asDict() for r in candidates.collect()}
-            fresh = fit_all({k: config_of(r, space) for k, r in rows.items() if k not in models}, training, settings.parallel_fits)
+            configs = {k: config_of(r, space) for k, r in rows.items()}
+            fresh = fit_all({k: c for k, c in configs.items() if k not in models}, training, settings.parallel_fits, deadline)
             models = {k: m for k, m in {**models, **fresh}.items() if k in rows}
+            kept = {settings_of(c) for c in configs.values()}
+            training.grown = {k: g for k, g in training.grown.items() if k in kept}
+            if not models:
+                result.ended = "time"
+                break
             fitted_at = time.perf_counter()
             asked = random_subset(pool, settings.test_samples_per_generation, "cell_id", "target_date", seed=generation).persist()
             fitness = {r.model_id: r.fitness for r in rated(list(models.values()), asked).collect()}
@@ -185,10 +210,15 @@ def search(
             done = time.perf_counter()
             result.training_seconds += fitted_at - begun
             result.evaluation_seconds += done - fitted_at
-            result.history.append((generation, fitness[leader], best, sum(fitness.values()) / len(fitness), len(fresh), done - begun))
+            missing = len(rows) - len(models)
+            result.history.append((generation, fitness[leader], best, sum(fitness.values()) / len(fitness), len(fresh), missing, done - begun))
             if converged([row[2] for row in result.history], settings.patience):
+                result.ended = "converged"
+                break
+            if time.monotonic() >= deadline:
+                result.ended = "time"
                 break
-            table = [(k, fitness[k], *[r[n] for n in space]) for k, r in rows.items()]
+            table = [(k, fitness.get(k, float("inf")), *[r[n] for n in space]) for k, r in rows.items()]
             ranked = spark.createDataFrame(table, "model_id string, fitness double, " + ", ".join(f"{n} double" for n in space))
     finally:
         training.release()

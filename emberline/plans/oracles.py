@@ -538,7 +538,7 @@ ORACLES: dict[str, str] = {
     + " FROM v_weather WHERE tavg IS NULL",
     "weather_summary": """SELECT count(*) AS n_rows, count(DISTINCT cell_id) AS n_cells, count(DISTINCT date) AS n_dates,
  CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date FROM v_cell_weather""",
-    "gbt_scores_valid": f"SELECT {_KEY}, fire_occurred, 1 AS is_probability FROM v_samples_test",
+    "gbt_scores_valid": f"SELECT {_KEY}, fire_occurred, 1 AS is_probability, 1 AS is_same_when_loaded FROM v_samples_test",
     "model_features": f"""SELECT {_KEY}, s.fire_occurred, CAST(t.code AS DOUBLE) AS terrain_type_code, {', '.join(
         f'round(coalesce(CAST(s.{c} AS DOUBLE), 0), 6) AS {c}' for c in C.FEATURE_COLUMNS)} FROM v_samples_train s
  JOIN (SELECT terrain_type AS v, row_number() OVER (ORDER BY count(*) DESC, terrain_type) - 1 AS code FROM v_samples_train GROUP BY 1) t

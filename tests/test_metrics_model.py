@@ -1,5 +1,6 @@
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,53 @@ def test_model_round_trip(spark, tmp_path):
     assert fitted.score(unknown).count() == 300
 
 
+def test_best_round():
+    assert model.best_round([5, 4, 3, 3.5, 3.2, 2, 9], 2) == (3, True)
+    assert model.best_round([5, 4, 3, 3.5, 3.2, 2, 9], 3) == (6, False)
+    assert model.best_round([3, 4, 5], 1) == (1, True) and model.best_round([3, 2, 1], 1) == (3, False)
+    assert model.best_round([float("nan")] * 4, 2) == (4, False)
+
+
+def test_trees_follow_rounds_and_patience(spark):
+    training = model.prepare_training(sample_rows(spark))
+    config = C.ModelConfig(max_depth=2, n_estimators=12, learning_rate=0.3, early_stopping_rounds=3)
+    few = model.fit(training, config, "few")
+    grown = training.grown[model.settings_of(config)]
+    best, stopped = model.best_round(grown.losses, 3)
+    assert few.trees.getNumTrees == best and (stopped or grown.trees.getNumTrees == 12)
+    # With more patience at least as many rounds; all rounds where patience never ends.
+    patient = C.ModelConfig(max_depth=2, n_estimators=12, learning_rate=0.3, early_stopping_rounds=50)
+    whole = model.fit(training, patient, "whole")
+    grown = training.grown[model.settings_of(patient)]
+    assert grown.trees.getNumTrees == 12 and whole.trees.getNumTrees == min(range(12), key=lambda n: grown.losses[n]) + 1
+    # Fewer rounds are a cut of the same fit, and score like a fit of their own.
+    before = dict(training.grown)
+    short = model.fit(training, C.ModelConfig(max_depth=2, n_estimators=4, learning_rate=0.3, early_stopping_rounds=50), "short")
+    assert all(training.grown[k] is before[k] for k in before) and short.trees.getNumTrees <= 4
+    alone = model.fit(model.prepare_training(sample_rows(spark)), short.config, "short")
+    samples = sample_rows(spark)
+    assert rows(tidy(short.score(samples))) == rows(tidy(alone.score(samples)))
+
+
+def test_search_ends_by_time(spark):
+    samples = sample_rows(spark, 100)
+    found = search.search(samples, samples, C.SearchConfig(population_size=3, max_seconds=0.0))
+    assert found.ended == "time" and found.history == [] and found.history_table(spark).count() == 0
+    one = dict(C.SEARCH_SPACE, n_estimators=(2, 2, 1, True), max_depth=(2, 2, 1, True))
+    settings = C.SearchConfig(population_size=12, max_generations=3, parallel_fits=1, max_seconds=0.5, elite_count=2, default_members=1)
+    found = search.search(samples, samples, settings, one)
+    last = found.history_table(spark).collect()[-1]
+    assert last.ended == "time" and last.n_fitted + last.n_missing == 12 and last.n_missing > 0
+
+
+def test_candidates_share_fits(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(search, "fit", lambda training, config, name, deadline: asked.append((name, config.n_estimators)) or SimpleNamespace(model_id=name))
+    same = {f"m{n}": C.ModelConfig(n_estimators=n) for n in (50, 200, 100)}
+    found = search.fit_all({**same, "other": C.ModelConfig(max_depth=9)}, None, 1)
+    assert set(found) == {"m50", "m100", "m200", "other"} and [n for n, _ in asked if n != "other"] == ["m200", "m100", "m50"]
+
+
 def test_single_class_uses_the_plain_model(spark):
     fitted = model.train(sample_rows(spark, 60, one_class=True), C.ModelConfig(n_estimators=50), "flat")
     assert fitted.trees.getNumTrees <= 10
@@ -173,4 +221,4 @@ def test_registered_search_takes_the_default_settings(spark, monkeypatch):
     monkeypatch.setattr(queries, "workspace", lambda s, d: SimpleNamespace(samples=lambda kind: s.range(1).toDF("cell_id")))
     monkeypatch.setattr(search, "search", noted)
     assert queries.search_history(spark, "").columns == ["generation"]
-    assert asked == [(C.SearchConfig(), C.SEARCH_SPACE)]
+    assert asked == [(C.SearchConfig(max_seconds=queries.SEARCH_SECONDS), C.SEARCH_SPACE)]
