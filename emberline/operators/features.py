@@ -34,31 +34,40 @@ def _total(value: Column, hit: Column) -> Column:
     return F.coalesce(F.sum(F.when(hit, value)), F.lit(0)).cast("double")
 
 
-def yearly_features(
-    keys: DataFrame, weather: DataFrame, days: DataFrame, dedupe_fires: bool = False
-) -> DataFrame:
-    """Same-cell weather within 7 days of the sample day, one, two and three years before.
-
-    Every sample asks for 3 x 15 exact (cell, date) keys, so the lookup is a plain equi-join and not a range join; the three
-    years are then one conditional aggregation.
-    """
-    span = F.sequence(F.lit(-C.WINDOW_DAYS), F.lit(C.WINDOW_DAYS))
-    asked = (
-        keys.select("cell_id", "target_date", F.explode(F.sequence(F.lit(1), F.lit(C.HISTORY_YEARS))).alias("back"))
-        .select("cell_id", "target_date", "back", F.explode(span).alias("shift"))
-        .select(
-            "cell_id",
-            "target_date",
-            "back",
-            F.date_add(_years_back(F.col("target_date"), F.col("back")), F.col("shift")).alias("date"),
-        )
-    )
-    found = _with_fire_weight(
-        asked.join(weather.select("cell_id", "date", "tavg", "tmax", "prcp"), ["cell_id", "date"]), days, dedupe_fires
-    )
+# What a looked-up day is to its sample: the day itself, a day of the window 1, 2, ... years back, or the day at a neighbour.
+OWN_DAY, AROUND = 0, -1
+
+
+def _asked(keys: DataFrame, neighbors: DataFrame | None, history: bool, own_day: bool, lag_years: int) -> DataFrame:
+    """All (cell, day) look-ups of all samples: sample_cell, target_date, role, cell_id, date."""
+    own, day = F.col("cell_id"), F.col("target_date")
+    entry = lambda role, cell, date: F.struct(role.alias("role"), cell.alias("cell"), date.alias("date"))
+    wanted = []
+    if own_day:
+        wanted.append(F.array(entry(F.lit(OWN_DAY), own, day)))
+    if history:
+        span = F.sequence(F.lit(-C.WINDOW_DAYS), F.lit(C.WINDOW_DAYS))
+
+        def window(back: int) -> Column:
+            middle = _years_back(day, F.lit(back))
+            return F.transform(span, lambda shift: entry(F.lit(back), own, F.date_add(middle, shift)))
+
+        wanted += [window(back) for back in range(1, C.HISTORY_YEARS + 1)]
+    if neighbors is not None:
+        # A row per target cell with its few neighbours.
+        lists = neighbors.groupBy("cell_id").agg(F.collect_list("neighbor_id").alias("_around"))
+        keys = keys.join(lists, "cell_id", "left")
+        on = day if lag_years == 0 else _years_back(day, F.lit(lag_years))
+        wanted.append(F.transform(F.coalesce("_around", F.array().cast("array<long>")), lambda cell: entry(F.lit(AROUND), cell, on)))
+    return keys.select(
+        F.col("cell_id").alias("sample_cell"), "target_date", F.explode(F.concat(*wanted)).alias("a")
+    ).select("sample_cell", "target_date", "a.role", F.col("a.cell").alias("cell_id"), "a.date")
+
+
+def _yearly_parts() -> list[Column]:
     parts = []
     for back in range(1, C.HISTORY_YEARS + 1):
-        hit = F.col("back") == back
+        hit = F.col("role") == back
         rows = F.count(F.when(hit, 1))
         parts += [
             F.when(rows == 0, 0.0).otherwise(_weighted_mean("tavg", hit)).alias(f"year_{back}_avg_temp"),
@@ -69,27 +78,68 @@ def yearly_features(
                 f"year_{back}_fire_occurred"
             ),
         ]
-    grouped = found.groupBy("cell_id", "target_date").agg(*parts)
-    zeros = {
-        f"year_{back}_{name}": F.lit(0.0)
-        for back in range(1, C.HISTORY_YEARS + 1)
-        for name in ("avg_temp", "max_temp", "total_precip", "dry_days", "fire_occurred")
-    }
-    out = keys.join(grouped.withColumn("_found", F.lit(1)), ["cell_id", "target_date"], "left").withColumns(
-        {name: F.when(F.col("_found").isNull(), zero).otherwise(F.col(name)) for name, zero in zeros.items()}
-    )
+    return parts
+
+
+def _around_parts() -> list[Column]:
+    hit = F.col("role") == AROUND
+    found = F.count(F.when(hit, 1)) > 0
+    or_zero = lambda value, name: F.when(found, value).otherwise(0.0).alias(f"neighbor_{name}")
+    return [
+        or_zero(_weighted_mean("tmax", hit), "avg_temp"),
+        or_zero(F.max(F.when(hit, F.col("tmax"))), "max_temp"),
+        or_zero(_total(F.col("prcp") * F.col("w"), hit), "total_precip"),
+        or_zero(_total(F.col("w"), hit & (F.col("prcp") < 1.0)), "dry_days"),
+        or_zero(F.try_divide(_total(F.col("w"), hit & (F.col("n_fires") > 0)), F.sum(F.when(hit, F.col("w")))), "fire_frequency"),
+        or_zero(F.lit(1.0), "terrain_types"),
+    ]
+
+
+def _looked_up(
+    keys: DataFrame, weather: DataFrame, days: DataFrame, dedupe_fires: bool, neighbors: DataFrame | None = None,
+    history: bool = False, own_day: bool = False, lag_years: int = 0,
+) -> DataFrame:
+    """cell_id, target_date and the asked features of every sample of which any looked-up day has weather.
+
+    All roles are exact (cell, day) keys of one table, so there is one join to the weather and its fires, and one conditional aggregation, whatever
+    is asked for.
+    """
+    asked = _asked(keys, neighbors, history, own_day, lag_years)
+    known = _with_fire_weight(weather.select("cell_id", "date", "tavg", "tmax", "prcp"), days, dedupe_fires)
+    parts = (_yearly_parts() if history else []) + (_around_parts() if neighbors is not None else [])
+    if own_day:
+        hit = F.col("role") == OWN_DAY
+        parts += [F.count(F.when(hit, 1)).alias("_own_day"), F.max(F.when(hit, F.least("n_fires", F.lit(1)))).cast("int").alias("fire_occurred")]
+    return asked.join(known, ["cell_id", "date"]).groupBy(F.col("sample_cell").alias("cell_id"), "target_date").agg(*parts)
+
+
+def _with_trends(samples: DataFrame) -> DataFrame:
     y1, y2, y3 = (F.col(f"year_{i}_avg_temp") for i in (1, 2, 3))
     f1, f2, f3 = (F.col(f"year_{i}_fire_occurred") for i in (1, 2, 3))
-    return out.withColumns(
+    return samples.withColumns(
         {
             # Slope of the least-squares line through (0, y1), (1, y2), (2, y3).
             "avg_temp_trend": F.when(y2.isNotNull(), (y3 - y1) / F.lit(2.0)),
             "fire_frequency": (f1 + f2 + f3) / F.lit(3.0),
             "avg_fire_size": F.lit(0.0),
         }
+    )
+
+
+def _zero_where_missing(keys: DataFrame, found: DataFrame) -> DataFrame:
+    names = [c for c in found.columns if c not in ("cell_id", "target_date")]
+    return keys.join(found.withColumn("_found", F.lit(1)), ["cell_id", "target_date"], "left").withColumns(
+        {name: F.when(F.col("_found").isNull(), F.lit(0.0)).otherwise(F.col(name)) for name in names}
     ).drop("_found")
 
 
+def yearly_features(
+    keys: DataFrame, weather: DataFrame, days: DataFrame, dedupe_fires: bool = False
+) -> DataFrame:
+    """Same-cell weather within 7 days of the sample day, one, two and three years before."""
+    return _with_trends(_zero_where_missing(keys, _looked_up(keys, weather, days, dedupe_fires, history=True)))
+
+
 def neighbor_features(
     keys: DataFrame,
     neighbors: DataFrame,
@@ -99,26 +149,7 @@ def neighbor_features(
     lag_years: int = 0,
 ) -> DataFrame:
     """Weather and fires of the neighbour cells on the sample day (or ``lag_years`` before it)."""
-    day = F.col("target_date") if lag_years == 0 else _years_back(F.col("target_date"), F.lit(lag_years))
-    asked = keys.join(neighbors.select("cell_id", "neighbor_id"), "cell_id").select(
-        F.col("cell_id").alias("sample_cell"), "target_date", F.col("neighbor_id").alias("cell_id"), day.alias("date")
-    )
-    found = _with_fire_weight(
-        asked.join(weather.select("cell_id", "date", "tmax", "prcp"), ["cell_id", "date"]), days, dedupe_fires
-    )
-    every = F.lit(True)
-    grouped = found.groupBy(F.col("sample_cell").alias("cell_id"), "target_date").agg(
-        _weighted_mean("tmax", every).alias("neighbor_avg_temp"),
-        F.max("tmax").alias("neighbor_max_temp"),
-        _total(F.col("prcp") * F.col("w"), every).alias("neighbor_total_precip"),
-        _total(F.col("w"), F.col("prcp") < 1.0).alias("neighbor_dry_days"),
-        (_total(F.col("w"), F.col("n_fires") > 0) / F.sum("w")).alias("neighbor_fire_frequency"),
-        F.lit(1.0).alias("neighbor_terrain_types"),
-    )
-    names = [c for c in grouped.columns if c.startswith("neighbor_")]
-    return keys.join(grouped, ["cell_id", "target_date"], "left").withColumns(
-        {c: F.when(F.col("neighbor_terrain_types").isNull(), 0.0).otherwise(F.col(c)) for c in names}
-    )
+    return _zero_where_missing(keys, _looked_up(keys, weather, days, dedupe_fires, neighbors, lag_years=lag_years))
 
 
 def cell_features(cells: DataFrame, cell_fire: DataFrame) -> DataFrame:
@@ -168,26 +199,14 @@ def land_samples(
 ) -> DataFrame:
     """Features and label of land samples; a sample without weather on its day is left out.
 
-    Features are computed once per distinct (cell, day) and joined back, so a day drawn twice costs nothing extra.
+    Features are computed once per distinct (cell, day), all in one look-up, and joined back, so a day drawn twice costs nothing extra.
     """
-    kept = drop_leap_day(samples)
-    keys = (
-        kept.select("cell_id", "target_date")
-        .distinct()
-        .join(
-            weather.select("cell_id", F.col("date").alias("target_date")), ["cell_id", "target_date"], "left_semi"
-        )
-    )
-    yearly = yearly_features(keys, weather, days, dedupe_fires)
-    around = neighbor_features(keys, neighbors, weather, days, dedupe_fires, neighbor_lag_years)
-    status = days.select("cell_id", F.col("date").alias("target_date"), F.lit(1).alias("fire_occurred"))
+    kept = drop_leap_day(samples).select("cell_id", "target_date", "terrain_type")
+    keys = kept.select("cell_id", "target_date").distinct()
+    found = _looked_up(keys, weather, days, dedupe_fires, neighbors, history=True, own_day=True, lag_years=neighbor_lag_years)
     return (
-        kept.select("cell_id", "target_date", "terrain_type")
-        .join(yearly, ["cell_id", "target_date"])
-        .join(around, ["cell_id", "target_date"])
+        kept.join(_with_trends(found.filter(F.col("_own_day") > 0).drop("_own_day")), ["cell_id", "target_date"])
         .join(cell_features(cells, cell_fire), "cell_id")
-        .join(status, ["cell_id", "target_date"], "left")
-        .withColumn("fire_occurred", F.coalesce("fire_occurred", F.lit(0)))
     )
 
 
