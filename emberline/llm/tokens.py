@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -56,19 +56,31 @@ def token_bytes(path: str) -> dict[int, bytes]:
     return {i: bytes(map(byte_of.__getitem__, map(ord, t))) for t, i in model["vocab"].items()}
 
 
+def added_strings(path: str) -> list[str]:
+    """The strings of a vocabulary file's added tokens."""
+    with open(path, encoding="utf-8") as file:
+        return [t["content"] for t in json.load(file).get("added_tokens", [])]
+
+
 class Encoder:
     def __init__(self, path: str, cache: int = CACHE, plain: bool = False):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
+        added = [] if plain else added_strings(path)
         self.added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
         ranks = {spelled: i for i, spelled in token_bytes(path).items()}
         self.merge = tiktoken.Encoding("pieces", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.pieces: dict[str, bytes] = {}
         self.most = cache
 
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer, some 35 MB, loaded where a text holds the string of an added token."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _piece(self, piece: str) -> bytes:
         ids = self.merge(piece)
         made = struct.pack(f"<{len(ids)}I", *ids)
