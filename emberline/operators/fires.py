@@ -175,6 +175,51 @@ def fire_status(keys: DataFrame, days: DataFrame) -> DataFrame:
     )
 
 
+def burning_spans(cell_fire: DataFrame) -> DataFrame:
+    """cell_id, year, first_day, last_day: the days with any fire, as disjoint spans that end with the year.
+
+    Of intervals that begin on one day of a cell only the longest counts, folded before the shuffle, and spans are cut at the turn of the year, so a
+    window holds at most 366 rows, whatever the number of fires of a cell. An interval without a first or last day has no span.
+    """
+    longest = (
+        cell_fire.filter(F.col("fire_start_date") <= F.col("fire_end_date"))
+        .groupBy("cell_id", F.col("fire_start_date").alias("d1"))
+        .agg(F.max("fire_end_date").alias("d2"))
+        .select("cell_id", "d1", "d2", F.explode(F.sequence(F.year("d1"), F.year("d2"))).alias("year"))
+        .groupBy("cell_id", "year", F.greatest("d1", F.make_date("year", F.lit(1), F.lit(1))).alias("d1"))
+        .agg(F.max(F.least("d2", F.make_date("year", F.lit(12), F.lit(31)))).alias("d2"))
+    )
+    in_order = Window.partitionBy("cell_id", "year").orderBy("d1")
+    before = F.max("d2").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        longest.withColumn("begins", F.when(F.col("d1") <= before, 0).otherwise(1))
+        .withColumn("span", F.sum("begins").over(in_order))
+        .groupBy("cell_id", "year", "span")
+        .agg(F.min("d1").alias("first_day"), F.max("d2").alias("last_day"))
+        .drop("span")
+    )
+
+
+def fire_status_in_spans(keys: DataFrame, cell_fire: DataFrame) -> DataFrame:
+    """``fire_status`` of distinct (cell_id, date) keys by the intervals themselves: no interval becomes days.
+
+    An as-of join: the spans and the keys of a cell and year stand in one order of days, and each key looks back to the last span that began.
+    """
+    spans = burning_spans(cell_fire).select(
+        "cell_id", "year", F.col("first_day").alias("date"), F.lit(0).alias("is_key"), "last_day"
+    )
+    asked = keys.select(
+        "cell_id", F.year("date").alias("year"), "date", F.lit(1).alias("is_key"), F.lit(None).cast("date").alias("last_day")
+    )
+    back = Window.partitionBy("cell_id", "year").orderBy("date", "is_key")
+    return (
+        spans.unionByName(asked)
+        .withColumn("until", F.last("last_day", ignorenulls=True).over(back))
+        .filter(F.col("is_key") == 1)
+        .select("cell_id", "date", F.coalesce(F.col("date") <= F.col("until"), F.lit(False)).cast("int").alias("fire_occurred"))
+    )
+
+
 def cells_with_history(cell_fire: DataFrame, events: DataFrame) -> DataFrame:
     """Cells touched by a recorded event."""
     return cell_fire.join(events.select("fire_id"), "fire_id", "left_semi").select("cell_id").distinct()

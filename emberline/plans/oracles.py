@@ -569,6 +569,8 @@ ORACLES: dict[str, str] = {
  CAST(fire_end_date AS VARCHAR) AS fire_end_date FROM v_cell_fire""",
     "fire_summary": """SELECT count(*) AS n_events, round(sum(total_size_ha), 6) AS total_ha, (SELECT count(*) FROM v_cell_fire) AS n_relations,
  (SELECT count(DISTINCT cell_id) FROM v_cell_fire) AS n_cells FROM v_events""",
+    "sample_fire_status": """SELECT k.cell_id, CAST(k.target_date AS VARCHAR) AS date, CASE WHEN EXISTS (SELECT 1 FROM v_cell_fire f
+ WHERE f.cell_id = k.cell_id AND k.target_date BETWEEN f.fire_start_date AND f.fire_end_date) THEN 1 ELSE 0 END AS fire_occurred FROM v_keys_train k""",
     "fire_status": """SELECT b.cell_id, CAST(d.date AS VARCHAR) AS date, CASE WHEN EXISTS (SELECT 1 FROM v_cell_fire f WHERE f.cell_id = b.cell_id
  AND d.date BETWEEN f.fire_start_date AND f.fire_end_date) THEN 1 ELSE 0 END AS fire_occurred
  FROM v_burned_cells b CROSS JOIN (SELECT DISTINCT date FROM a_readings) d""",

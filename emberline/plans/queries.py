@@ -378,6 +378,14 @@ def fire_summary(spark, d):
     return tidy(profile.fire_summary(ws.events, fires.cell_fires(ws.burned)))
 
 
+@query
+def sample_fire_status(spark, d):
+    """Whether a fire burns on the day of each training sample, by merged intervals."""
+    ws = workspace(spark, d)
+    keys = ws.sample_keys("train").withColumnRenamed("target_date", "date")
+    return tidy(fires.fire_status_in_spans(keys, ws.cell_fire))
+
+
 @query
 def fire_status(spark, d):
     """Burning flag for every cell that ever burned, on each day of the readings."""

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,3 +204,22 @@ def test_fire_days(spark):
     assert rows(days.selectExpr("cell_id", "day(date)", "n_fires")) == [(1, 2, 2), (1, 3, 3), (1, 4, 1)]
     keys = spark.createDataFrame([(1, dt.date(2023, 7, 4)), (2, dt.date(2023, 7, 4))], "cell_id long, date date")
     assert rows(fires.fire_status(keys, days), "cell_id", "fire_occurred") == [(1, 1), (2, 0)]
+
+
+def test_fire_status_in_spans_equals_days(spark):
+    rng = random.Random(12)
+    date, day = dt.date, dt.timedelta(1)
+    first = date(2022, 12, 1)
+    intervals = [(0, date(2023, 1, 10), date(2023, 1, 5)), (3, date(2020, 5, 1), date(2025, 6, 1))]
+    for _ in range(400):
+        begins = first + day * rng.randint(0, 200)
+        intervals.append((rng.choice([0, 0, 0, 1, 2]), begins, begins + day * (rng.choice([0, 1, 3, 40]) if rng.random() < 0.3 else 0)))
+    burning = spark.createDataFrame(intervals, "cell_id long, fire_start_date date, fire_end_date date")
+    keys = spark.range(6).withColumnRenamed("id", "cell_id").selectExpr("cell_id", "explode(sequence(DATE'2022-11-20', DATE'2023-07-30')) AS date")
+    for asked in (burning, burning.filter("cell_id = 2").limit(3)):
+        days = fires.fire_days(asked, "2022-01-01", "2024-12-31")
+        assert rows(fires.fire_status_in_spans(keys, asked)) == rows(fires.fire_status(keys, days))
+        spans = fires.burning_spans(asked)
+        assert spans.filter("first_day > last_day OR year(first_day) <> year OR year(last_day) <> year").isEmpty()
+    endless = spark.createDataFrame([(1, None, date(2023, 1, 1)), (1, date(2023, 1, 1), None)], burning.schema)
+    assert fires.fire_status_in_spans(keys, endless).filter("fire_occurred = 1").isEmpty()
