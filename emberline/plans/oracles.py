@@ -9,8 +9,20 @@ from emberline import config as C
 from emberline.plans.adapters import VIEWS, sql_of
 from emberline.plans.queries import CONFIDENCE_MIN, GRID_KM
 
-BOX = C.SOUTHERN_CANADA
-ELEMENT_LIST = ", ".join(f"'{e}'" for e in C.ELEMENTS)
+# Fixed values, written out so that a wrong constant of the package does not pass on both sides.
+BOX = C.Bounds(41.75, 60.0, -137.72, -52.67)
+ELEMENT_LIST = "'TMAX', 'TMIN', 'TAVG', 'PRCP', 'SNWD'"
+# (lat_min, lat_max, lon_min, lon_max); None is open.
+WATER_BOXES = ((41.75, 49.0, -92.0, -76.0), (None, None, -65.0, None), (48.0, None, None, -125.0), (58.0, None, None, None))
+URBAN_BOXES = (
+    (43.0, 44.5, -80.0, -78.5), (49.0, 49.5, -123.5, -122.5), (45.3, 45.7, -74.0, -73.5), (51.0, 51.2, -114.2, -113.8),
+    (53.4, 53.7, -113.7, -113.3), (50.0, 50.5, -97.0, -96.5), (46.8, 47.0, -71.2, -71.0), (44.6, 44.8, -63.8, -63.4),
+)
+TERRAIN_CODE = {"forest": 1, "land": 2, "urban": 3, "water": 4}
+TARGET_QUOTA = {"forest": 200, "land": 125, "urban": 100, "water": 75}
+LEAST_CONFIDENCE = {"forest": 0.4, "land": 0.3, "urban": 0.7, "water": 0.1}
+DATES_PER_CELL = {"train": 10, "test": 20}
+WATER_DATES = {"train": ("2022-06-01", "2023-08-31"), "test": ("2024-06-01", "2024-08-31")}
 MEASURES = ("tmax", "tmin", "tavg", "prcp", "snwd")
 MIXED = ("tmax", "tmin", "tavg", "temp_range", "prcp", "snwd", "data_completeness")
 
@@ -59,8 +71,8 @@ def box_test(lat, lon, box) -> str:
     return "(" + " AND ".join(f"{t} {v}" for t, v in tests if v is not None) + ")"
 
 
-WATER = "(" + " OR ".join(box_test("center_lat", "center_lon", b) for b in C.WATER_BOXES) + ")"
-URBAN = "(" + " OR ".join(box_test("center_lat", "center_lon", b) for b in C.URBAN_BOXES) + ")"
+WATER = "(" + " OR ".join(box_test("center_lat", "center_lon", b) for b in WATER_BOXES) + ")"
+URBAN = "(" + " OR ".join(box_test("center_lat", "center_lon", b) for b in URBAN_BOXES) + ")"
 
 
 def terrain_columns() -> str:
@@ -208,8 +220,8 @@ def nearest_pairs(left: str, k: int) -> str:
 
 
 def dates_of(kind: str) -> str:
-    n = C.DATES_PER_CELL[kind]
-    w1, w2 = C.WATER_DATES[kind]
+    n = DATES_PER_CELL[kind]
+    w1, w2 = WATER_DATES[kind]
     return f"""SELECT cell_id, terrain_type, date AS target_date, CAST(draw AS INT) AS draw FROM (
  WITH land AS (SELECT cell_id, terrain_type, fire_count FROM v_targets WHERE terrain_type <> 'water'),
  avail AS (SELECT DISTINCT w.cell_id, w.date FROM v_cell_weather w JOIN land USING (cell_id)
@@ -312,7 +324,20 @@ def by_terrain(values: dict) -> str:
     return "CASE terrain_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
 
 
-_QUOTA = by_terrain({k: int(C.TARGET_CELLS * v) for k, v in C.TERRAIN_SHARE.items()})
+_QUOTA = by_terrain(TARGET_QUOTA)
+
+def targets_sql(least: dict[str, float]) -> str:
+    return f"""WITH pool AS (SELECT cell_id, center_lat, center_lon, terrain_type, is_water, urban_flag, avg_confidence, data_days, fire_count
+ FROM v_stats WHERE (terrain_type <> 'water' OR fire_count > 0) AND data_days >= 100 AND round(avg_confidence, 9) >= {by_terrain(least)}
+ UNION ALL (SELECT cell_id, center_lat, center_lon, terrain_type, is_water, urban_flag, 0.0e0, 0, 0 FROM v_cells
+ WHERE terrain_type = 'water' ORDER BY cell_id LIMIT 50)),
+ available AS (SELECT terrain_type, count(*) FILTER (fire_count > 0) AS fires, count(*) FILTER (fire_count = 0) AS others FROM pool GROUP BY terrain_type),
+ quota AS (SELECT terrain_type, least({_QUOTA} // 2, fires) AS n_fire, least({_QUOTA} - least({_QUOTA} // 2, fires), others) AS n_other FROM available),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY terrain_type, fire_count > 0
+ ORDER BY md5(concat_ws('|', cast(cell_id AS VARCHAR), '42')), cell_id) AS n FROM pool)
+ SELECT r.* EXCLUDE (n) FROM ranked r JOIN quota q ON r.terrain_type = q.terrain_type
+ WHERE r.n <= CASE WHEN r.fire_count > 0 THEN q.n_fire ELSE q.n_other END"""
+
 
 COMMON: dict[str, str] = {
     "v_stations": f"SELECT * FROM a_stations WHERE {inside('latitude', 'longitude')}",
@@ -372,21 +397,12 @@ COMMON: dict[str, str] = {
  LEFT JOIN (SELECT cell_id, avg(confidence_score) AS avg_confidence, count(DISTINCT date) AS data_days FROM v_cell_weather GROUP BY cell_id) w
  ON c.cell_id = w.cell_id LEFT JOIN (SELECT cell_id, count(DISTINCT fire_id) AS fire_count FROM v_cell_fire GROUP BY cell_id) f
  ON c.cell_id = f.cell_id""",
-    "v_targets": f"""WITH pool AS (SELECT cell_id, center_lat, center_lon, terrain_type, is_water, urban_flag, avg_confidence, data_days, fire_count
- FROM v_stats WHERE (terrain_type <> 'water' OR fire_count > 0) AND data_days >= 100 AND round(avg_confidence, 9) >= {by_terrain(CONFIDENCE_MIN)}
- UNION ALL (SELECT cell_id, center_lat, center_lon, terrain_type, is_water, urban_flag, 0.0e0, 0, 0 FROM v_cells
- WHERE terrain_type = 'water' ORDER BY cell_id LIMIT 50)),
- available AS (SELECT terrain_type, count(*) FILTER (fire_count > 0) AS fires, count(*) FILTER (fire_count = 0) AS others FROM pool GROUP BY terrain_type),
- quota AS (SELECT terrain_type, least({_QUOTA} // 2, fires) AS n_fire, least({_QUOTA} - least({_QUOTA} // 2, fires), others) AS n_other FROM available),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY terrain_type, fire_count > 0
- ORDER BY md5(concat_ws('|', cast(cell_id AS VARCHAR), '42')), cell_id) AS n FROM pool)
- SELECT r.* EXCLUDE (n) FROM ranked r JOIN quota q ON r.terrain_type = q.terrain_type
- WHERE r.n <= CASE WHEN r.fire_count > 0 THEN q.n_fire ELSE q.n_other END""",
+    "v_targets": targets_sql(CONFIDENCE_MIN),
     "v_land_targets": "SELECT cell_id FROM v_targets WHERE terrain_type <> 'water'",
     "v_target_neighbors": nearest_pairs("v_land_targets", 8),
     "v_burned_cells": "SELECT DISTINCT cell_id FROM v_cell_fire",
     "v_burning_weather": BURNING_WEATHER,
-    "v_cell_features": f"""SELECT c.cell_id, CAST({by_terrain(C.TERRAIN_CODE)} AS DOUBLE) AS terrain_type_encoded, 100.0e0 AS area_km2,
+    "v_cell_features": f"""SELECT c.cell_id, CAST({by_terrain(TERRAIN_CODE)} AS DOUBLE) AS terrain_type_encoded, 100.0e0 AS area_km2,
  coalesce(n, 0) / 3.0e0 AS historical_fire_frequency, 0.0e0 AS elevation FROM v_cells c
  LEFT JOIN (SELECT cell_id, count(*) AS n FROM v_cell_fire GROUP BY cell_id) f ON c.cell_id = f.cell_id""",
     "v_regions": """SELECT station_id AS region_id, latitude - 0.5e0 AS lat_min, latitude + 0.5e0 AS lat_max, longitude - 1.0e0 AS lon_min,
@@ -577,6 +593,9 @@ ORACLES: dict[str, str] = {
     "fire_history_cells": "SELECT DISTINCT f.cell_id FROM v_cell_fire f JOIN v_events e ON f.fire_id = e.fire_id",
     "no_fire_cells": "SELECT cell_id, terrain_type FROM v_land WHERE cell_id NOT IN (SELECT cell_id FROM v_cell_fire)",
     "cell_stats": "SELECT cell_id, terrain_type, round(avg_confidence, 6) AS avg_confidence, data_days, fire_count FROM v_stats WHERE data_days >= 100",
+    "target_cells_default": rounded(
+        "avg_confidence", f"({targets_sql(LEAST_CONFIDENCE)})", "cell_id, terrain_type, is_water, urban_flag, data_days, fire_count"
+    ),
     "target_cells": rounded("avg_confidence", "v_targets", "cell_id, terrain_type, is_water, urban_flag, data_days, fire_count"),
     "pool_cells": f"""SELECT cell_id, terrain_type, data_days, round(avg_confidence, 6) AS avg_confidence FROM (SELECT *,
  row_number() OVER (PARTITION BY terrain_type ORDER BY md5(concat_ws('|', cast(cell_id AS VARCHAR), '42')), cell_id) AS n

@@ -418,6 +418,13 @@ def cell_stats(spark, d):
     )
 
 
+@query
+def target_cells_default(spark, d):
+    """Target cells under the default thresholds of confidence, which few of the sparse test stations' cells reach."""
+    found = sampling.target_cells(workspace(spark, d).stats)
+    return tidy(found.select("cell_id", "terrain_type", "is_water", "urban_flag", "avg_confidence", "data_days", "fire_count"))
+
+
 @query
 def target_cells(spark, d):
     return tidy(
