@@ -29,12 +29,14 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def without(docs: DataFrame, id_col: str, value: Column, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id and ``value`` are not in ``gone`` (a stored table doc_id, h); nulls are values like others."""
-    gone = small(gone.select(F.col("doc_id").alias("__doc_id"), F.col("h").alias("__gone_h")).distinct())
-    marked = docs.withColumn("__h", value)
+    fresh = lambda name: next(n for n in (name + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    mark, gone_id, gone_h = fresh("__h"), fresh("__doc_id"), fresh("__gone_h")
+    gone = small(gone.select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)).distinct())
+    marked = docs.withColumn(mark, value)
     kept = marked.join(
-        gone, marked[id_col].cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__h") == F.col("__gone_h")), "left_anti"
+        gone, marked[id_col].cast("long").eqNullSafe(F.col(gone_id)) & (F.col(mark) == F.col(gone_h)), "left_anti"
     )
-    return kept.drop("__h")
+    return kept.drop(mark)
 
 
 def importable(df: DataFrame) -> DataFrame:

@@ -62,5 +62,5 @@ def test_all_are_registered():
     import __spark_entry__ as contract
 
     names = contract.queries()
-    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(k) for k in range(1, 11)} and "pipeline" in names
+    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(k) for k in range(1, 14)} and "pipeline" in names
     assert "op5_digest_array" in contract.oracle_sql()
