@@ -125,6 +125,15 @@ VIEWS: dict[str, str | dict[str, str]] = {
  UNION ALL SELECT 'f0.csv', 0, 'LATITUDE,LONGITUDE,YEAR,MONTH,DAY,SIZE_HA' FROM {region} WHERE r_regionkey = 0
  UNION ALL SELECT 'f1.csv', 0, 'DAY,MONTH,YEAR,LATITUDE,LONGITUDE,SIZE_HA,CAUSE' FROM {region} WHERE r_regionkey = 0
  UNION ALL SELECT 'f2.csv', 0, 'LATITUDE,CAUSE' FROM {region} WHERE r_regionkey = 0""",
+    # CSV lines with quoted line breaks: a header over two lines, records over one and two, and a file that ends inside quotes.
+    "a_csv_breaks": """SELECT 'g0.csv' AS source_file, 2 * o_orderkey + 1 AS line_no, concat(cast(o_orderkey AS string), ',', cast(o_custkey AS string),
+ ',2023,7,1,1,', CASE o_orderkey % 3 WHEN 0 THEN '"struck ""twice"", then' WHEN 1 THEN 'a 5" hose' ELSE '"dry, windy"' END) AS value FROM {orders}
+ UNION ALL SELECT 'g0.csv', 2 * o_orderkey + 2, 'burned, slowly"' FROM {orders} WHERE o_orderkey % 3 = 0
+ UNION ALL SELECT 'g0.csv', -1, 'LATITUDE,LONGITUDE,YEAR,MONTH,DAY,SIZE_HA,"CAUSE' FROM {region} WHERE r_regionkey = 0
+ UNION ALL SELECT 'g0.csv', 0, 'TEXT"' FROM {region} WHERE r_regionkey = 0
+ UNION ALL SELECT 'g1.csv', o_orderkey + 2, '1,2,2023,7,1,1' FROM {orders}
+ UNION ALL SELECT 'g1.csv', 1, '1,2,2023,7,1,"1' FROM {region} WHERE r_regionkey = 0
+ UNION ALL SELECT 'g1.csv', 0, 'LATITUDE,LONGITUDE,YEAR,MONTH,DAY,SIZE_HA' FROM {region} WHERE r_regionkey = 0""",
     # Labelled samples and prediction requests.
     "a_labelled": """SELECT o_orderkey AS sample_id, o_custkey AS cell_id, cast(o_orderdate AS date) AS target_date,
  CASE o_orderkey % 5 WHEN 0 THEN 'forest' WHEN 1 THEN 'land' WHEN 2 THEN 'urban' WHEN 3 THEN 'water' ELSE 'forest' END

@@ -565,6 +565,10 @@ ORACLES: dict[str, str] = {
  CAST(o_custkey AS VARCHAR) AS LONGITUDE, '2023' AS YEAR, '7' AS MONTH, '1' AS DAY, '1,5 ha' AS SIZE_HA, NULL AS CAUSE
  FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'f1.csv', o_orderkey + 1, CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), '2023', '7', '1',
  NULL, 'x' FROM orders WHERE o_orderkey % 3 = 1""",
+    "fire_csv_records": """SELECT 'g0.csv' AS source_file, 2 * o_orderkey + 1 AS line_no, CAST(o_orderkey AS VARCHAR) AS LATITUDE,
+ CAST(o_custkey AS VARCHAR) AS LONGITUDE, '1' AS SIZE_HA, CASE o_orderkey % 3 WHEN 0 THEN concat('struck "twice", then', chr(10), 'burned, slowly')
+ WHEN 1 THEN 'a 5" hose' ELSE 'dry, windy' END AS cause FROM orders""",
+    "fire_csv_left_open": "SELECT 'g1.csv' AS source_file, 'quote left open' AS reason",
     "fire_csv_skipped": """SELECT 'f2.csv' AS source_file, 'missing columns: LONGITUDE, YEAR, MONTH, DAY, SIZE_HA' AS reason""",
     "fire_events_of_files": """SELECT fire_id, center_cell_id, CAST(start_date AS VARCHAR) AS start_date, CAST(end_date AS VARCHAR) AS end_date,
  round(size, 6) AS total_size_ha, affected_cells FROM (SELECT *, row_number() OVER (PARTITION BY fire_id ORDER BY source_file, line_no) AS n FROM (

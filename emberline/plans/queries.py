@@ -220,6 +220,19 @@ def fire_csv_skipped(spark, d):
     return fire_files.parse_layouts(view(spark, d, "a_csv_lines"))[1]
 
 
+@query
+def fire_csv_records(spark, d):
+    """Records with line breaks, doubled quotes and quotes within plain fields, under a header that has a line break itself."""
+    reports, _ = fire_files.parse_layouts(view(spark, d, "a_csv_breaks"))
+    return reports.select("source_file", "line_no", "LATITUDE", "LONGITUDE", "SIZE_HA", F.col("`CAUSE\nTEXT`").alias("cause"))
+
+
+@query
+def fire_csv_left_open(spark, d):
+    """Files that end inside quotes, named instead of read."""
+    return fire_files.parse_layouts(view(spark, d, "a_csv_breaks"))[1]
+
+
 @query
 def fire_polygon_box(spark, d):
     return view(spark, d, "a_shapes").select("shape_id", geo.polygon_meets_box("geometry_wkt").cast("int").alias("meets"))

@@ -156,6 +156,34 @@ def test_fire_files(spark, tmp_path):
     assert none is None and all_skipped.count() == 1
 
 
+def test_csv_records_over_lines(spark, tmp_path):
+    import csv
+    import random
+
+    head = "LATITUDE,LONGITUDE,YEAR,MONTH,DAY,SIZE_HA,CAUSE"
+    rng = random.Random(3)
+    pieces = ['a', '5" x', ' "b"', '""', '"c, d"', '"e\nf"', '"g ""h""\n\n"', '"""\n"', "", 'é', '"i\nj"']
+    expected = {}
+    for f in range(6):
+        lines = [",".join([str(n), "-115", "2023", "7", "1", rng.choice(pieces), rng.choice(pieces)]) for n in range(120)]
+        (tmp_path / f"{f}.csv").write_text("\n".join([head, *lines]) + "\n")
+        with open(tmp_path / f"{f}.csv", newline="") as text:
+            expected[f"{f}.csv"] = [tuple(x or None for x in r) for r in list(csv.reader(text))[1:]]
+    (tmp_path / "open.csv").write_text(head + '\n1,-115,2023,7,1,1,"lost\n2,-115,2023,7,1,1,x\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("200", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            reports, skipped = fire_files.read_fire_files(spark, str(tmp_path))
+            assert [(os.path.basename(r.source_file), r.reason) for r in skipped.collect()] == [("open.csv", "quote left open")]
+            found = {}
+            for r in reports.orderBy("line_no").collect():
+                found.setdefault(os.path.basename(r.source_file), []).append(tuple(x or None for x in r[:7]))
+            assert found == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_line_order_over_small_splits_and_packed_files(spark, tmp_path):
     for name in ("a", "b", "c"):
         (tmp_path / f"{name}.txt").write_text("".join(f"{name}{k:05d}\n" for k in range(3000)))
