@@ -2,8 +2,9 @@
 
 A window of constant length slides over every candidate string of a character class. Its entropy is kept by counts: one character comes in, one
 goes out, and only their two terms of the sum change, so a candidate costs one step per character whatever the window. Windows at
-or above the class's threshold that also mix digits and letters are joined into spans. An allow-list drops candidates that are known to be harmless:
-UUIDs, digests that say they are one, sequences, placeholders, and what the caller adds. The host and the plain path of an address are cut out
+or above the class's threshold that also mix digits and letters are joined into spans, also where a fixed pattern has one. An allow-list drops
+what is known to be harmless: digests that say they are one, and segments of a candidate that hold a UUID, a sequence, a placeholder, or
+what the caller adds. The host and the plain path of an address are cut out
 of candidates; its user part, its query and fragment, and all that stands before and after it are scanned.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned each for itself; texts are scanned whole, in one pass each, at
@@ -35,7 +36,9 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 ADDRESS = re.compile(r"""(?:://|(?<![A-Za-z0-9.])www\.)(\[[0-9A-Fa-f:.]*\])?[^\s"'`“”‘’,()\[\]{}<>|\\^?#&;]*""")
 # What in the part up to the first slash says that a user part comes first: its end, or a colon without a port.
 USER = re.compile(r"@|:(?!\d{0,5}(?:/|$))")
-LONG = 256
+SEGMENT = re.compile(r"[^/=]+")
+# So much of the token before a candidate is looked at.
+BEFORE = 256
 KINDS = ("assign", "access", "hex", "entropy")
 
 
@@ -60,7 +63,7 @@ class Settings:
     letters_least: int = 2
     # A candidate after one of these, in the same blank-free token or within 16 characters, is no secret: named digests.
     allowed_before: tuple[str, ...] = (r"(?i:sha-?\d*|md5|digest|checksum|etag|commit|integrity)\W{0,3}$",)
-    # Nor is one that matches one of these (of a candidate over LONG characters the span that was found is looked at, not the whole).
+    # Segments of a candidate (``/`` and ``=`` part them) that match one of these are no part of it, nor are those that a longer match touches.
     allowed: tuple[str, ...] = (
         r"^(?:[A-Za-z][\w-]*=)?[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
         r"(?i:example|placeholder|changeme|dummy|xxxxxx)",
@@ -162,27 +165,39 @@ class Scanner:
 
     def follows_allowed(self, text: str, start: int) -> bool:
         """Up to three characters of the candidate count, as ``//`` of an address belongs to it."""
-        before = text[max(0, start - LONG) : start]
+        before = text[max(0, start - BEFORE) : start]
         token = re.split(r"\s", before)[-1]
         seen = (token if len(token) > 16 else before[-16:]) + text[start : start + 3]
         return any(p.search(seen) or p.search(before[-16:]) for p in self.before)
 
+    def allowed_parts(self, run: str) -> list[tuple[int, int]]:
+        """The segments that an allowed pattern matches, alone or with what stands about them, in whole."""
+        segments = [m.span() for m in SEGMENT.finditer(run)]
+        starts = [s for s, _ in segments]
+        found = [(s, e) for s, e in segments if any(p.search(run[s:e]) for p in self.allowed)]
+        for p in self.allowed:
+            for m in p.finditer(run):
+                first, last = bisect_right(starts, m.start()) - 1, bisect_right(starts, max(m.start(), m.end() - 1)) - 1
+                if first >= 0:
+                    found.append((segments[first][0], max(segments[last][1], m.end())))
+        return joined(found)
+
+    def high(self, run: str, c: CharacterClass) -> list[tuple[int, int]]:
+        return high_windows(run, c.window, c.bits, self.settings.digits_least, self.settings.letters_least)
+
     def spans(self, text: str) -> list[tuple[int, str, int]]:
         base = base_spans(text)
-        covered = joined((s, e) for s, _, e in base)
         found: list[tuple[int, int]] = []
         if self.digit.search(text):
             plain = joined(plain_addresses(text))
             for c, runs in self.runs:
                 for at, end in (x for m in runs.finditer(text) for x in without_parts(*m.span(), plain)):
                     run = text[at:end]
-                    short = len(run) <= LONG
-                    if len(run) < c.window or (short and any(p.search(run) for p in self.allowed)) or self.follows_allowed(text, at):
+                    if len(run) < c.window or self.follows_allowed(text, at):
                         continue
-                    for s, e in high_windows(run, c.window, c.bits, self.settings.digits_least, self.settings.letters_least):
-                        if short or not any(p.search(run, s, e) for p in self.allowed):
-                            found.append((at + s, at + e))
-        base += [(s, "entropy", e) for s, e in joined(found) if not inside(covered, s, e)]
+                    for s, e in without_parts(0, len(run), self.allowed_parts(run)) if self.high(run, c) else ():
+                        found += [(at + s + x, at + s + y) for x, y in self.high(run[s:e], c)]
+        base += [(s, "entropy", e) for s, e in joined(found)]
         return sorted(base, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
@@ -196,11 +211,6 @@ def joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def inside(spans: list[tuple[int, int]], start: int, end: int) -> bool:
-    at = bisect_right(spans, (start, 1 << 62)) - 1
-    return at >= 0 and spans[at][1] >= end
-
-
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """doc_id and spans (kind, start, end), in code points, end exclusive, by start and kind."""
 

@@ -68,6 +68,22 @@ def test_entropy_spans_and_allow_list():
     assert Scanner(Settings(extra_allowed=(key[:5],))).spans(f"see {key} there") == []
 
 
+def test_allow_list_looks_at_segments_at_every_length():
+    random.seed(7)
+    key = "".join(random.sample("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 40)) + "7Q2"
+    found = lambda text: [text[s:e] for s, k, e in Scanner().spans(text) if k == "entropy"]
+    for before in ("", "AWS_EXAMPLE_KEY=", "/srv/dummy/", "/srv" * 100 + "/dummy/"):
+        (span,) = found(f"see {before}{key} there")
+        assert key in span or span in key
+    for after in ("", "/x" * 200):
+        assert not found(f"see /srv/example{key}{after} there")
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    assert not found(f"see {uuid} and id={uuid} and " + f"/srv/{uuid}" * 20)
+    # Inside the span of a fixed kind, which stays.
+    assert sorted(k for _, k, _ in Scanner().spans(f"token = {key}")) == ["assign", "entropy"]
+    assert len(found(" ".join(["ab12" * 5, key]))) == 1
+
+
 def test_addresses_hide_only_their_host_and_plain_path():
     random.seed(5)
     key = "".join(random.sample("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 32)) + "7Q2"
