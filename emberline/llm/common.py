@@ -29,8 +29,7 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def without(docs: DataFrame, id_col: str, value: Column, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id and ``value`` are not in ``gone`` (a stored table doc_id, h); nulls are values like others."""
-    fresh = lambda name: next(n for n in (name + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
-    mark, gone_id, gone_h = fresh("__h"), fresh("__doc_id"), fresh("__gone_h")
+    mark, gone_id, gone_h = (fresh_name(docs.columns, n) for n in ("__h", "__doc_id", "__gone_h"))
     gone = small(gone.select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)).distinct())
     marked = docs.withColumn(mark, value)
     kept = marked.join(
@@ -51,6 +50,38 @@ def importable(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Hand memory that is free in this Python process back to the system, where the C library can do so."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def freed(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``task``, after which its worker keeps no free memory: workers live on, and two tasks' peaks need not come together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def fresh_name(columns: list[str], name: str) -> str:
+    """``name``, lengthened until none of ``columns`` has it, in upper or lower case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """``fn`` turns the columns of a batch, as lists, into output columns; rows may be fewer or more than came in."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,6 +89,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
 
     out = to_arrow_schema(_parse_datatype_string(schema))
 
+    @freed
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in cut(batch):

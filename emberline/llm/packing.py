@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from emberline.llm import tokens
-from emberline.llm.common import cut, importable
+from emberline.llm.common import cut, freed, importable
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
@@ -146,6 +146,7 @@ def pack(
                 columns = zip(*rows[at : at + BATCH_ROWS])
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
 
+    @freed
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

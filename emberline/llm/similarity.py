@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from emberline.llm.common import cut, importable, reliable_cut, small, without
+from emberline.llm.common import cut, freed, fresh_name, importable, reliable_cut, small, without
 from emberline.llm.components import components
 
 SHINGLE = 5
@@ -86,6 +86,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, h (``text_value``), n_shingles, key (null for an empty set)."""
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary())])
 
+    @freed
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordCodes()
         for batch in batches:
@@ -123,6 +124,7 @@ def dealt_codes(docs: DataFrame, bits: int, id_col: str, text_col: str) -> DataF
             rows.append((int(bucket[s]), batch, counts.tobytes(), octets[s:e].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
+    @freed
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -176,6 +178,7 @@ def shared_codes(dealt: DataFrame, buckets: int) -> DataFrame:
             at += n
         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
 
+    @freed
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), rows in groups(batches, 1):
             if bucket < 0:
@@ -231,6 +234,7 @@ def candidate_sets(dealt: DataFrame, buckets: int) -> DataFrame:
                 rows.append((key, n, codes[begin:end].tobytes(), sets[begin:end].tobytes()))
         return rows
 
+    @freed
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches, 1):
             found = batch_rows([r[1:] for r in rows])
@@ -251,6 +255,7 @@ def prefix_rows(sets: DataFrame) -> DataFrame:
     """code, id, unshared (per mille): the rarest codes of a set, of which a linked set has one among its own rarest."""
     schema = pa.schema([("code", pa.int64()), ("id", pa.int64()), ("unshared", pa.int32())])
 
+    @freed
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in cut(batch, 200):
@@ -459,7 +464,7 @@ def join_chunks(rows: DataFrame) -> DataFrame:
             yield out
 
     ordered = rows.select("leader", "chunk", "chunks", "id", "n", "codes").repartition("leader", "chunk").sortWithinPartitions("leader", "chunk")
-    return importable(ordered).mapInArrow(lambda batches: _link_batches(found(batches)), LINK_TEXT)
+    return importable(ordered).mapInArrow(freed(lambda batches: _link_batches(found(batches))), LINK_TEXT)
 
 
 def join_parts(rows: DataFrame) -> DataFrame:
@@ -479,7 +484,7 @@ def join_parts(rows: DataFrame) -> DataFrame:
 
     names = ["leader", "kind", "i", "j"]
     ordered = rows.select(*names, "side", "id", "n", "codes").repartition(*names).sortWithinPartitions(*names)
-    return importable(ordered).mapInArrow(lambda batches: _link_batches(found(batches)), LINK_TEXT)
+    return importable(ordered).mapInArrow(freed(lambda batches: _link_batches(found(batches))), LINK_TEXT)
 
 
 def set_links(sets: DataFrame) -> DataFrame:
@@ -576,11 +581,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if twice.isEmpty():
         return kept
     repeated = without(kept, id_col, text_value(text_col), twice)
-    others = kept.withColumn("__h", text_value(text_col))
-    pairs = twice.select(F.col("doc_id").alias("__doc_id"), F.col("h").alias("__twice_h"))
+    mark, twice_id, twice_h = (fresh_name(kept.columns, n) for n in ("__h", "__doc_id", "__twice_h"))
+    others = kept.withColumn(mark, text_value(text_col))
+    pairs = twice.select(F.col("doc_id").alias(twice_id), F.col("h").alias(twice_h))
     once = others.join(
-        pairs, others[id_col].cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__h") == F.col("__twice_h")), "left_semi"
-    ).dropDuplicates([id_col, "__h"]).drop("__h")
+        pairs, others[id_col].cast("long").eqNullSafe(F.col(twice_id)) & (F.col(mark) == F.col(twice_h)), "left_semi"
+    ).dropDuplicates([id_col, mark]).drop(mark)
     return repeated.unionByName(once)
 
 

@@ -166,3 +166,12 @@ def test_query(spark):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF_DIR}/documents.parquet'").fetchall()
     found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in op3_signature_trees(spark, SF_DIR).collect()), key=str)
     assert found == expected(rows)
+
+
+def test_one_of_repeated_rows_whatever_the_columns_names(spark):
+    names = "doc_id long, text string, __h long, __H_ string, __doc_id long, __twice_h long"
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text, 1, "a", 2, 3), (1, text, 1, "a", 2, 3), (2, text, 4, "b", 5, 6), (3, None, 7, "c", 8, 9)], names)
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, text, 1, "a", 2, 3), (3, None, 7, "c", 8, 9)]
