@@ -26,6 +26,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 # Rows of one bin beyond which it is split over several join keys.
 SPLIT_ROWS = 20_000
+# The same for either side of a join that keeps most of its candidate pairs: a key yields at most some 4 million.
+PAIR_ROWS = 2_000
 
 
 def _bin(value: Column, size: Column | float) -> Column:
@@ -41,6 +43,7 @@ def bin_join(
     lon_bin: float,
     split_rows: int | None = SPLIT_ROWS,
     small_right: bool = False,
+    split_left: int | None = None,
 ) -> DataFrame:
     """Candidate pairs (l, r) of two point tables: every pair within the left row's reach is among them, once.
 
@@ -49,7 +52,8 @@ def bin_join(
     ``split_rows`` right rows is cut into parts by a hash of the row, and the left rows of that bin are copied to
     each part, so no join key ever holds more than about ``split_rows`` right rows. ``None`` skips the cutting, for a right
     side whose density is bounded by its construction; ``small_right`` broadcasts a right side whose size the caller has
-    checked.
+    checked. With ``split_left`` the left rows of a bin are cut likewise, and its right rows copied to each part, so a join key yields at most
+    about ``split_left * split_rows`` pairs.
     """
     right_binned = right.select(
         _bin(F.col("lat"), lat_bin).alias("by"),
@@ -67,31 +71,45 @@ def bin_join(
     if split_rows is None:
         right_side = F.broadcast(right_binned) if small_right else right_binned
         return left_binned.join(right_side, ["by", "bx"]).select("l", "r")
-    crowded = (
-        right_binned.groupBy("by", "bx")
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > split_rows)
-        .select("by", "bx", F.ceil(F.col("_n") / F.lit(split_rows)).cast("int").alias("_parts"))
-    )
-    # One row per crowded bin: the globe has a fixed number of bins, which proves when this table is small. Rows then learn
-    # their parts where they are, before any shuffle by bin.
-    if (180.0 / lat_bin + 1) * (360.0 / lon_bin + 1) * BIN_BYTES <= BROADCAST_BYTES:
-        crowded = F.broadcast(crowded)
-    parts = F.coalesce("_parts", F.lit(1))
-    right_keyed = right_binned.join(crowded, ["by", "bx"], "left").select(
-        "by", "bx", F.pmod(F.xxhash64("r"), parts).cast("int").alias("part"), "r"
-    )
-    left_keyed = left_binned.join(crowded, ["by", "bx"], "left").select(
-        "by", "bx", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "l"
-    )
-    return left_keyed.join(right_keyed, ["by", "bx", "part"]).select("l", "r")
+    few_bins = (180.0 / lat_bin + 1) * (360.0 / lon_bin + 1) * BIN_BYTES <= BROADCAST_BYTES
+
+    def parts_of(rows: DataFrame, most: int, name: str) -> DataFrame:
+        """The crowded bins and their number of parts."""
+        crowded = (
+            rows.groupBy("by", "bx")
+            .agg(F.count("*").alias("_n"))
+            .filter(F.col("_n") > most)
+            .select("by", "bx", F.ceil(F.col("_n") / F.lit(most)).cast("int").alias(name))
+        )
+        # One row per crowded bin: the globe has a fixed number of bins, which proves when this table is small. Rows then learn
+        # their parts where they are, before any shuffle by bin.
+        return F.broadcast(crowded) if few_bins else crowded
+
+    def cut(rows: DataFrame, crowded: DataFrame, name: str, side: str, key: str, own: bool) -> DataFrame:
+        """Rows in their own part (by a hash of the row), or copied to all parts of their bin."""
+        n = F.coalesce(name, F.lit(1))
+        part = F.pmod(F.xxhash64(side), n).cast("int") if own else F.explode(F.sequence(F.lit(0), n - 1))
+        kept = [c for c in rows.columns if c != side]
+        return rows.join(crowded, ["by", "bx"], "left").select(*kept, part.alias(key), side)
+
+    keys = ["by", "bx", "part"]
+    crowded = parts_of(right_binned, split_rows, "_parts")
+    right_keyed = cut(right_binned, crowded, "_parts", "r", "part", own=True)
+    left_keyed = cut(left_binned, crowded, "_parts", "l", "part", own=False)
+    if split_left is not None:
+        crowded_left = parts_of(left_binned, split_left, "_left_parts")
+        left_keyed = cut(left_keyed, crowded_left, "_left_parts", "l", "left_part", own=True)
+        right_keyed = cut(right_keyed, crowded_left, "_left_parts", "r", "left_part", own=False)
+        keys.append("left_part")
+    return left_keyed.join(right_keyed, keys).select("l", "r")
 
 
 def pairs_within(stations: DataFrame, limit_km: float = C.PAIR_LIMIT_KM) -> DataFrame:
-    """All ordered pairs of different stations closer than ``limit_km`` by degree distance."""
+    """All ordered pairs of different stations closer than ``limit_km`` by degree distance. Dense bins are cut on both sides, so that no
+    join key yields more than some PAIR_ROWS squared pairs and the output is spread over tasks as it grows."""
     points = stations.select("station_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     reach = limit_km / C.KM_PER_DEGREE
-    pairs = bin_join(points, points, F.lit(reach), F.lit(reach), reach, reach)
+    pairs = bin_join(points, points, F.lit(reach), F.lit(reach), reach, reach, split_rows=PAIR_ROWS, split_left=PAIR_ROWS)
     distance = X.euclid_degrees(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon")) * F.lit(C.KM_PER_DEGREE)
     return (
         pairs.filter(F.col("l.station_id") != F.col("r.station_id"))

@@ -612,6 +612,20 @@ ORACLES: dict[str, str] = {
     "neighbor_features": rounded(list(NEIGHBOR_NAMES), "v_around_train", _KEY),
     "cell_features": rounded("terrain_type_encoded area_km2 historical_fire_frequency elevation", "v_cell_features", "cell_id"),
     "training_samples": rounded(list(C.FEATURE_COLUMNS), "v_samples_train", f"{_KEY}, terrain_type, fire_occurred"),
+    "samples_round_trip": rounded(list(C.FEATURE_COLUMNS), "v_samples_train", f"{_KEY}, terrain_type, fire_occurred"),
+    "declared_tables": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS n_rows, 0 AS n_nulls, 0 AS n_repeats FROM {table}"
+        for name, table in (
+            ("stations", "v_stations"), ("grid_cells", f"({full_grid(GRID_KM)})"), ("cell_station", "v_assigned"), ("fire_events", "v_events"),
+            ("cell_fire", "v_cell_fire"), ("station_neighbors", f"""(SELECT a.station_id, row_number() OVER (PARTITION BY a.station_id ORDER BY
+ {euclid('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}, b.station_id) AS place FROM v_stations a JOIN v_stations b
+ ON a.station_id <> b.station_id AND {euclid('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} * 111.32e0 < 500) WHERE place <= 10"""),
+        )
+    ),
+    "refused_overwrite": rounded("latitude longitude elevation", "v_stations", "station_id, name, country"),
+    "csv_round_trip": """SELECT fire_id AS NFDBFIREID, line_no, round(latitude, 6) AS LATITUDE, year AS YEAR, fire_type AS FIRE_TYPE, geometry_wkt,
+ CASE line_no % 6 WHEN 0 THEN '' WHEN 1 THEN 'say "x", then y' WHEN 2 THEN concat('two', chr(10), 'lines') WHEN 3 THEN concat('  blanks ', chr(92), ' ')
+ WHEN 4 THEN '"' END AS REMARK FROM a_fires""",
     "dataset_metadata": f"""SELECT concat('{{"training_samples":', (SELECT count(*) FROM v_samples_train), ',"test_samples":',
  (SELECT count(*) FROM v_samples_test), ',"features":[{_SAMPLE_JSON}],"terrain_distribution":{{',
  (SELECT string_agg(concat('"', k, '":', n), ',' ORDER BY k) FROM (SELECT terrain_type AS k, count(*) AS n FROM v_samples_train GROUP BY 1)),

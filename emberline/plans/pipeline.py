@@ -5,14 +5,16 @@ Each step writes its tables under ``out`` and the next reads them back, so a ste
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberline import config as C
 from emberline.operators import fires, geo, profile, validate, weather
 from emberline.plans.workspace import Workspace
-from emberline.sources import fire_files, sinks, station_text
+from emberline.sources import declared, fire_files, sinks, station_text
 from emberline.sources.tables import read_table
 
 
@@ -116,22 +118,39 @@ def validate_raw(spark: SparkSession, raw: RawInputs, out: str, daily_mode: str
     sinks.write_csv(every, f"{out}/validated/report_rejects")
 
 
+# Tables whose rows are checked as they are written.
+DECLARED = {
+    "stations": declared.STATIONS, "weather_wide": declared.WEATHER_WIDE, "station_neighbors": declared.STATION_NEIGHBORS,
+    "grid_cells": declared.GRID_CELLS, "cell_station": declared.CELL_STATION, "fire_events": declared.FIRE_EVENTS,
+    "cell_fire": declared.CELL_FIRE,
+}
+
+
+def keep(df: DataFrame, out: str, name: str, write: Callable[[DataFrame, str], None] = sinks.write_table) -> DataFrame:
+    """Store a declared table; a run that fails leaves the one before it."""
+    return declared.write_declared(df, f"{out}/tables/{name}", DECLARED[name], write)
+
+
+def stored(spark: SparkSession, out: str, name: str, *columns: str) -> DataFrame:
+    """A stored table."""
+    path = f"{out}/tables/{name}"
+    if name in DECLARED:
+        return declared.read_declared(spark, path, DECLARED[name], *columns)
+    return read_table(spark, path, *columns)
+
+
 def build_station_tables(spark: SparkSession, out: str) -> None:
     """Station, weather and neighbour tables, and the run's counts as metadata. Pairs of stations are not stored: their number grows with
     the square of the density, and nothing reads them; ``geo.pairs_within`` gives them when asked."""
     def validated(name):
         return read_table(spark, f"{out}/validated/tables/{name}")
 
-    sinks.write_table(validated("stations"), f"{out}/tables/stations")
-    stations = read_table(spark, f"{out}/tables/stations")
-    sinks.write_weather(
-        weather.enrich(validated("weather_records")), f"{out}/tables/weather_wide", key="station_id"
-    )
-    sinks.write_table(geo.station_neighbors(stations), f"{out}/tables/station_neighbors")
+    stations = keep(validated("stations"), out, "stations")
+    by_station = partial(sinks.write_weather, key="station_id")
     counted = {
         "stations": (stations, "Number of weather stations"),
-        "weather_records": (read_table(spark, f"{out}/tables/weather_wide"), "Number of weather records"),
-        "station_neighbors": (read_table(spark, f"{out}/tables/station_neighbors"), "Number of neighbor relations"),
+        "weather_records": (keep(weather.enrich(validated("weather_records")), out, "weather_wide", by_station), "Number of weather records"),
+        "station_neighbors": (keep(geo.station_neighbors(stations), out, "station_neighbors"), "Number of neighbor relations"),
     }
     sinks.write_table(profile.table_counts(counted), f"{out}/tables/metadata")
 
@@ -143,31 +162,29 @@ def workspace_of(spark: SparkSession, out: str, **options) -> Workspace:
     )
     return Workspace(
         spark,
-        read_table(spark, f"{out}/tables/stations", "station_id", "latitude", "longitude"),
-        read_table(spark, f"{out}/tables/weather_wide"),
+        stored(spark, out, "stations", "station_id", "latitude", "longitude"),
+        stored(spark, out, "weather_wide"),
         fires.fires_from_reports(reports),
         **options,
     )
 
 
 def build_grid_tables(ws: Workspace, out: str) -> None:
-    sinks.write_table(ws.cells, f"{out}/tables/grid_cells")
-    sinks.write_table(ws.assigned, f"{out}/tables/cell_station")
+    keep(ws.cells, out, "grid_cells")
+    keep(ws.assigned, out, "cell_station")
     sinks.write_weather(ws.weather, f"{out}/tables/weather_data")
-    sinks.write_fire_events(ws.events, f"{out}/tables/fire_events")
-    sinks.write_table(ws.cell_fire, f"{out}/tables/cell_fire")
+    keep(sinks.with_json_cells(ws.events), out, "fire_events")
+    keep(ws.cell_fire, out, "cell_fire")
 
 
 def build_samples(ws: Workspace, out: str) -> None:
-    """Training and test samples as CSV, and their metadata as JSON."""
+    """Training and test samples as tables, from these as CSV, and their metadata as JSON."""
+    made = {}
     for kind in ("train", "test"):
-        samples = ws.samples(kind)
-        schema = samples.schema
-        sinks.write_csv(samples, f"{out}/samples/{kind}")
-    train, test = (
-        ws.spark.read.schema(schema).option("header", True).csv(f"{out}/samples/{kind}") for kind in ("train", "test")
-    )
-    profile.dataset_metadata(train, test).coalesce(1).write.mode("overwrite").text(f"{out}/samples/metadata")
+        sinks.write_table(ws.samples(kind), f"{out}/samples/tables/{kind}")
+        made[kind] = read_table(ws.spark, f"{out}/samples/tables/{kind}")
+        sinks.write_csv(made[kind], f"{out}/samples/{kind}")
+    profile.dataset_metadata(made["train"], made["test"]).coalesce(1).write.mode("overwrite").text(f"{out}/samples/metadata")
 
 
 def run(spark: SparkSession, raw: RawInputs, out: str, daily_mode: str = "tokens", **options) -> Workspace:

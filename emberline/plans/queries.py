@@ -13,7 +13,8 @@ from emberline.operators import features, fires, geo, grid, interpolate as ip, m
 from emberline.plans.adapters import view
 from emberline.plans.workspace import Workspace
 from emberline.session import reliable_cut, scratch_path
-from emberline.sources import fire_files, station_text
+from emberline.sources import declared, fire_files, sinks, station_text
+from emberline.sources.tables import read_csv, read_table
 
 # Grid spacing of the queries.
 GRID_KM = 100.0
@@ -270,6 +271,65 @@ def run_metadata(spark, d):
     return profile.upsert_metadata(before, after)
 
 
+# --- stored tables ------------------------------------------------------------------------------------------------------
+
+@query
+def declared_tables(spark, d):
+    """Tables written under their declarations and read back: rows, missing values and repeated keys of each."""
+    ws, root = workspace(spark, d), scratch_path(spark, "declared")
+    made = {
+        "stations": (stations(spark, d), declared.STATIONS),
+        "station_neighbors": (geo.station_neighbors(stations(spark, d)), declared.STATION_NEIGHBORS),
+        "grid_cells": (ws.cells, declared.GRID_CELLS),
+        "cell_station": (ws.assigned, declared.CELL_STATION),
+        "fire_events": (sinks.with_json_cells(ws.events), declared.FIRE_EVENTS),
+        "cell_fire": (ws.cell_fire, declared.CELL_FIRE),
+    }
+    parts = []
+    for name, (df, table) in made.items():
+        declared.write_declared(df, f"{root}/{name}", table)
+        found = declared.report(declared.read_declared(spark, f"{root}/{name}", table), table)
+        parts.append(found.select(F.lit(name).alias("table_name"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def refused_overwrite(spark, d):
+    """The stations of a table that was written, then overwritten with all rows of neighbours' ids, which repeat: the second write is refused."""
+    kept, root = stations(spark, d), scratch_path(spark, "refused")
+    declared.write_declared(kept, root, declared.STATIONS)
+    repeated = kept.unionByName(kept.withColumn("name", F.lit("again")))
+    try:
+        declared.write_declared(repeated, root, declared.STATIONS)
+    except declared.DeclarationError:
+        return tidy(declared.read_declared(spark, root, declared.STATIONS))
+    raise AssertionError("a table with repeated keys was committed")
+
+
+@query
+def csv_round_trip(spark, d):
+    """Fire reports through the CSV sink and back, with remarks that hold quotes, commas, line breaks, blanks, nothing or null."""
+    kind = F.col("line_no") % 6
+    remark = (
+        F.when(kind == 0, F.lit("")).when(kind == 1, F.lit('say "x", then y')).when(kind == 2, F.lit("two\nlines"))
+        .when(kind == 3, F.lit("  blanks \\ ")).when(kind == 4, F.lit('"'))
+    )
+    rows = raw_fires(spark, d).withColumn("REMARK", remark)
+    path = scratch_path(spark, "csv")
+    sinks.write_csv(rows, path)
+    return tidy(read_csv(spark, path, rows.schema).select("NFDBFIREID", "line_no", "LATITUDE", "YEAR", "FIRE_TYPE", "geometry_wkt", "REMARK"))
+
+
+@query
+def samples_round_trip(spark, d):
+    """The training samples through the CSV sink and back."""
+    path = scratch_path(spark, "samples")
+    sinks.write_table(workspace(spark, d).samples("train"), f"{path}/table")
+    samples = read_table(spark, f"{path}/table")
+    sinks.write_csv(samples, f"{path}/csv")
+    return tidy(read_csv(spark, f"{path}/csv", samples.schema))
+
+
 # --- grid --------------------------------------------------------------------------------------------------------------
 
 def station_regions(spark, d) -> DataFrame:

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+# Quotes inside a value are doubled, as other CSV readers expect; blanks at the ends of a value are part of it.
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header; an empty table still gets its header line, since Spark writes one part for it."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header; an empty table still gets its header line, since Spark writes one part for it. A null is an empty field, an
+    empty text is a quoted one, and values with quotes, commas or line breaks are quoted."""
+    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def write_daily_text(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -54,7 +59,11 @@ def write_weather(df: DataFrame, path: str, key: str = "cell_id", mode: str = "o
 
 def write_fire_events(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Fire events with the cell list as JSON text."""
-    df.withColumn("affected_cells", F.to_json("affected_cells")).write.mode(mode).parquet(path)
+    write_table(with_json_cells(df), path, mode)
+
+
+def with_json_cells(events: DataFrame) -> DataFrame:
+    return events.withColumn("affected_cells", F.to_json("affected_cells"))
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -57,7 +57,7 @@ def built(spark, tmp_path_factory):
 
 def test_tables(spark, built):
     raw, out, ws = built
-    read = lambda name: spark.read.parquet(f"{out}/tables/{name}")
+    read = lambda name: pipeline.stored(spark, out, name)
     assert read("stations").count() == 12
     wide = read("weather_wide")
     assert wide.filter("station_id LIKE 'US%'").count() == 0
