@@ -9,7 +9,9 @@ Test items are the stated query set: they go to the tasks in blocks of bounded s
 nothing is shuffled. Items whose windows in the document could not cover enough are passed over before tiling, which changes no result.
 
 Defined results: null and empty texts leak nothing; an item of fewer words than a tile can have no tile and is never leaked; repeated
-documents or items give rows each; an empty table on either side gives no rows.
+documents or items give rows each; an empty table on either side gives no rows. Of tiles of one length that with the least place in the item, then in the
+document, comes first. A very long text is matched whole: seeds are turned into runs SEEDS at a time, so memory follows the text, the block of items
+and the runs, not the pairs of equal windows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ TILE = 4
 COVERED = 0.5
 # Characters of test items that a task holds at a time.
 BLOCK_CHARACTERS = 8_000_000
+# Pairs of equal windows that are held at a time.
+SEEDS = 1_000_000
 WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,6 +52,15 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     return code
 
 
+def joined(diagonal: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of windows that follow each other on a diagonal made one."""
+    order = np.lexsort((start, diagonal))
+    diagonal, start, windows = diagonal[order], start[order], windows[order]
+    follows = (diagonal[1:] == diagonal[:-1]) & (start[1:] == start[:-1] + windows[:-1])
+    heads = np.flatnonzero(np.concatenate(([True], ~follows))) if len(start) else np.zeros(0, np.int64)
+    return diagonal[heads], start[heads], np.add.reduceat(windows, heads) if len(heads) else windows
+
+
 class Items:
     """A block of test items: word numbers, and the sorted hashes of their windows."""
 
@@ -61,7 +74,7 @@ class Items:
             if len(words) >= tile:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int64))
-        codes = [window_hashes(w, tile) for w in self.words]
+        self.codes = codes = [window_hashes(w, tile) for w in self.words]
         code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         order = np.argsort(code, kind="stable")
         self.code = code[order]
@@ -75,50 +88,71 @@ class Items:
         words = words_of(text)
         doc = np.array([self.numbers.get(w, 0) for w in words], np.int64)
         code = window_hashes(doc, self.tile)
-        first, last = np.searchsorted(self.code, code, "left"), np.searchsorted(self.code, code, "right")
-        places = np.flatnonzero(last > first)
-        if not len(places):
+        different, which = np.unique(code, return_inverse=True)
+        first, last = np.searchsorted(self.code, different, "left"), np.searchsorted(self.code, different, "right")
+        shared = np.flatnonzero(last > first)
+        if not len(shared):
             return []
-        counts = (last - first)[places]
-        seeds = np.repeat(first[places], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        item, at, in_doc = self.item[seeds], self.at[seeds], np.repeat(places, counts)
+        # Every window of the items that the document has, once, however often the document repeats it.
+        counts = (last - first)[shared]
+        hits = np.repeat(first[shared] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        item, at = self.item[hits], self.at[hits]
+        order = np.lexsort((at, item))
+        item, at = item[order], at[order]
+        begins = np.flatnonzero(np.diff(item, prepend=-1))
+        # A window covers the words up to the next one's start; an item's last window all of its own.
+        reach = np.minimum(np.diff(at, append=0), self.tile)
+        reach[np.append(begins[1:], len(at)) - 1] = self.tile
+        places = np.flatnonzero((last > first)[which])
         found = []
-        for k in np.unique(item):
-            own = item == k
-            words_k, need = self.words[k], self.covered * len(self.words[k])
-            seen = np.zeros(len(words_k) + 1, np.int64)
-            starts = np.unique(at[own])
-            seen[starts] += 1
-            seen[starts + self.tile] -= 1
-            if (np.cumsum(seen)[:-1] > 0).sum() >= need:
-                tiles = self.tiling(words_k, doc, at[own], in_doc[own])
-                covered = sum(n for _, _, n in tiles)
-                if covered >= need:
-                    found.append((self.ids[k], len(tiles), covered, len(words_k)))
+        for k, most in zip(item[begins].tolist(), np.add.reduceat(reach, begins).tolist()):
+            size = len(self.words[k])
+            if most < self.covered * size:
+                continue
+            tiles = self.tiling(self.words[k], doc, self.runs(k, doc, code, places))
+            covered = sum(n for _, _, n in tiles)
+            if covered >= self.covered * size:
+                found.append((self.ids[k], len(tiles), covered, size))
         return found
 
-    def tiling(self, a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray) -> list[tuple[int, int, int]]:
+    def runs(self, k: int, doc: np.ndarray, code: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int]]:
+        """The longest runs (- words, start in item ``k``, start in the document) of equal words of at least ``tile``. ``places`` are the windows of the
+        document that may have an equal one."""
+        a, order = self.words[k], np.argsort(self.codes[k], kind="stable")
+        own = self.codes[k][order]
+        first, last = np.searchsorted(own, code[places], "left"), np.searchsorted(own, code[places], "right")
+        upto = np.cumsum(last - first)
+        parts = []
+        at = 0
+        while at < len(places):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SEEDS, "right")))
+            counts = (last - first)[at:end]
+            seeds = np.repeat(first[at:end] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            a_at, b_at = order[seeds], np.repeat(places[at:end], counts)
+            same = np.ones(len(a_at), bool)
+            for step in range(self.tile):
+                same &= a[a_at + step] == doc[b_at + step]
+            parts.append(joined(b_at[same] - a_at[same], a_at[same], np.ones(int(same.sum()), np.int64)))
+            at = end
+        if not parts:
+            return []
+        # Runs that a cut has parted come together again.
+        diagonal, start, windows = joined(*(np.concatenate(x) for x in zip(*parts)))
+        return list(zip((-windows - self.tile + 1).tolist(), start.tolist(), (start + diagonal).tolist()))
+
+    def tiling(self, a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Tiles (start in a, start in b, words), longest first; of equal ones that with the least starts."""
-        same = np.ones(len(a_at), bool)
-        for k in range(self.tile):
-            same &= a[a_at + k] == b[b_at + k]
-        a_at, b_at = a_at[same], b_at[same]
-        order = np.lexsort((a_at, b_at - a_at))
-        a_at, b_at = a_at[order], b_at[order]
-        breaks = np.flatnonzero((np.diff(b_at - a_at) != 0) | (np.diff(a_at) != 1)) + 1
-        runs = []
-        for s, e in zip([0, *breaks], [*breaks, len(a_at)]):
-            if e > s:
-                runs.append((-(int(e - s) + self.tile - 1), int(a_at[s]), int(b_at[s])))
         heapq.heapify(runs)
+        left = len(a)
         a_taken, b_taken = np.zeros(len(a), bool), np.zeros(len(b), bool)
         tiles = []
-        while runs:
+        while runs and left >= self.tile:
             n, i, j = heapq.heappop(runs)
             taken = a_taken[i : i - n] | b_taken[j : j - n]
             if not taken.any():
                 a_taken[i : i - n] = b_taken[j : j - n] = True
                 tiles.append((i, j, -n))
+                left += n
                 continue
             edges = np.flatnonzero(np.diff(np.concatenate(([True], taken, [True])).astype(np.int8)))
             for s, e in zip(edges[::2], edges[1::2]):

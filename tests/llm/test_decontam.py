@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from emberline.llm import decontam
@@ -33,16 +34,45 @@ def plain_tiles(a, b, least):
 words = st.lists(st.sampled_from("abcd"), min_size=3, max_size=24)
 
 
-@given(words, words)
-@settings(max_examples=300, deadline=None)
-def test_tiles(a, b):
+@given(words, words, st.sampled_from([1, 2, 7, 1_000_000]))
+@settings(max_examples=400, deadline=None)
+def test_tiles(a, b, seeds):
+    """However many seeds are held at a time, tiles are those of the textbook loop, and ``leaks`` counts their words."""
     items = Items([(1, " ".join(a))], tile=3, covered=0.0)
     numbers = items.numbers
     doc = np.array([numbers.get(w, 0) for w in b], np.int64)
     code = window_hashes(doc, 3)
-    seeds = [(i, j) for j in range(len(code)) for i in items.at[items.code == code[j]]]
-    at = np.array(seeds, np.int64).reshape(-1, 2)
-    assert items.tiling(items.words[0], doc, at[:, 0], at[:, 1]) == plain_tiles(a, b, 3)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontam, "SEEDS", seeds)
+        expected = plain_tiles(a, b, 3)
+        assert items.tiling(items.words[0], doc, items.runs(0, doc, code, np.arange(len(code)))) == expected
+        found = items.leaks(" ".join(b))
+    assert found == ([(1, len(expected), sum(n for _, _, n in expected), len(a))] if expected else [])
+
+
+def test_long_equal_words_stay_small(monkeypatch):
+    """60,000 equal words have 5.8 million pairs of windows with an item of a hundred; they are never held together."""
+    largest = 0
+    monkeypatch.setattr(decontam, "SEEDS", 20_000)
+
+    def watched(*columns, real=decontam.joined):
+        nonlocal largest
+        largest = max(largest, len(columns[0]))
+        return real(*columns)
+
+    monkeypatch.setattr(decontam, "joined", watched)
+    assert Items([(1, "a " * 100)]).leaks("a " * 60_000) == [(1, 1, 100, 100)]
+    # Seeds of a step, then one or two runs for each of the diagonals.
+    assert largest < 300_000
+
+
+def test_phrase_of_all_items(monkeypatch):
+    """A phrase that all items share costs no loop over them: only the item that can be covered is tiled."""
+    tiled = []
+    monkeypatch.setattr(Items, "runs", lambda self, k, *rest, real=Items.runs: tiled.append(k) or real(self, k, *rest))
+    phrase = "one phrase that all of them have "
+    texts = [phrase + " ".join(f"w{i}x{j}" for j in range(20)) for i in range(500)]
+    assert Items(list(enumerate(texts))).leaks(phrase * 30 + texts[7]) == [(7, 1, 27, 27)] and tiled == [7]
 
 
 def test_windows_are_karp_rabin_sums():
