@@ -38,11 +38,12 @@ def key() -> Column:
     return F.struct(F.col("h"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"), F.col("place"))
 
 
-def drawn(rows: DataFrame, n: int) -> list[tuple]:
-    """``n`` keys, sorted, each row with a chance in proportion to its size (the n least of -ln(u) / size, u from a hash)."""
+def drawn(rows: DataFrame, n: int, total_bytes: int) -> list[tuple]:
+    """Some ``n`` keys out of rows of ``total_bytes``, sorted, each row with a chance that grows with its size: those whose -ln(u) / size, u from a
+    hash, is at most n / total_bytes. Each row is decided where it is; what comes to the driver is ``n`` give or take a few square roots of it."""
     u = (F.pmod(F.xxhash64("h", "doc_id", "place", F.lit(17)), F.lit(2**31)) + 1) / F.lit(2.0**31 + 1)
-    picked = rows.select(key().alias("k"), (-F.log(u) / F.col("size")).alias("rank")).orderBy("rank").limit(n)
-    return sorted(tuple(r.k) for r in picked.collect())
+    picked = rows.filter(-F.log(u) / F.col("size") <= F.lit(n / max(1, total_bytes)))
+    return sorted(tuple(r.k) for r in picked.select(key().alias("k")).collect())
 
 
 def quantiles(keys: list[tuple], parts: int) -> list[tuple]:
@@ -65,11 +66,11 @@ def with_range(rows: DataFrame, splitters: list[tuple], name: str = "part") -> D
     return rows.withColumns({"__bounds": bounds, "__key": key()}).withColumn(name, search).drop("__bounds", "__key")
 
 
-def ranges(rows: DataFrame, total_rows: int) -> tuple[DataFrame, list]:
+def ranges(rows: DataFrame, total_rows: int, total_bytes: int) -> tuple[DataFrame, list]:
     """Rows with their range, and (range, bytes, rows) of each in key order. Ranges that came out overfull are subdivided by fresh
     samples of their own rows, until none is left."""
     parts = max(RANGES_LEAST, min(RANGES_MOST, total_rows // RANGE_ROWS))
-    splitters = quantiles(drawn(rows, parts * SAMPLES), parts)
+    splitters = quantiles(drawn(rows, parts * SAMPLES, total_bytes), parts)
     while True:
         ranged = with_range(rows, splitters)
         found = sorted(ranged.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect())
@@ -77,7 +78,8 @@ def ranges(rows: DataFrame, total_rows: int) -> tuple[DataFrame, list]:
         over = [r for r in found if r.n > 1 and (r.bytes > 2 * total / parts or r.n > 2 * max(total_rows / parts, 1))]
         fresh: set[tuple] = set()
         if over and len(splitters) < 4 * parts:
-            keys = drawn(ranged.filter(F.col("part").isin([r.part for r in over])), len(over) * SAMPLES)
+            inside = ranged.filter(F.col("part").isin([r.part for r in over]))
+            keys = drawn(inside, len(over) * SAMPLES, sum(r.bytes for r in over))
             fresh = set(keys) - set(splitters)
         if not fresh:
             return ranged, found
@@ -94,7 +96,8 @@ def shard_by_size(
     """
     spark = docs.sparkSession
     rows = reliable_cut(keyed(docs, id_col, text_col), "shard-keys")
-    ranged, found = ranges(rows, rows.count())
+    every = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    ranged, found = ranges(rows, every.n, every.bytes)
     total = max(1, sum(r.bytes for r in found))
     before, at_bytes, at_rows = [], 0, 0
     for r in found:

@@ -59,3 +59,15 @@ def test_query(spark):
     assert sorted((r.doc_id, r.size, r.text_crc32) for r in found) == sorted((i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in expected)
     assert {r.law for r in found} == {"bytes"} and {r.grown_shard for r in found} == {None}
     check(found, 40, max(r.size for r in found))
+
+
+def test_samples_are_decided_row_by_row(frame):
+    """About as many keys as asked for, more of the large rows, without a sort or a limit that would gather them in one task."""
+    docs = frame([(i, "x" * (984 if i % 10 == 0 else 84)) for i in range(4000)])
+    rows = sharding.keyed(docs)
+    total = 400 * 1000 + 3600 * 100
+    keys = sharding.drawn(rows, 400, total)
+    assert keys == sorted(keys) and abs(len(keys) - 400) < 100
+    large = sum(k[1] % 10 == 0 for k in keys)
+    # The large rows hold 53 of 100 bytes.
+    assert 0.35 < large / len(keys) < 0.65
