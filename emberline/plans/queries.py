@@ -295,7 +295,7 @@ def declared_tables(spark, d):
 
 @query
 def refused_overwrite(spark, d):
-    """The stations of a table that was written, then overwritten with all rows of neighbours' ids, which repeat: the second write is refused."""
+    """The stations of a table that was written, then overwritten with every id twice: the second write is refused."""
     kept, root = stations(spark, d), scratch_path(spark, "refused")
     declared.write_declared(kept, root, declared.STATIONS)
     repeated = kept.unionByName(kept.withColumn("name", F.lit("again")))
