@@ -16,6 +16,8 @@ QUOTED = '[^"]*+(?:""[^"]*+)*+'
 FIELD = f'(?:"{QUOTED}"[^,]*+|[^",][^,]*+)?+'
 OPENS = f'(?:{FIELD},)*+"{QUOTED}\\z'
 OPEN_LEFT = "quote left open"
+# Line numbers of a stretch that is followed in one go. A split of a file begins at a multiple of it, as ``line_order`` numbers lines.
+STRETCH = 1 << 16
 
 
 def _walked(rows: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -38,8 +40,8 @@ def whole_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records of CSV lines (source_file, line_no, value), line breaks inside quotes put back, and the files whose last quote stays open.
 
     A record has the number of its first line. Files without such a break, found in one job, pass as they are. In the others the state of
-    the quotes is first followed inside each split of a file, whatever it begins with, then over the few rows that stand for the splits, so a
-    file with most of the lines is no single task. Only lines of records with several of them are grouped. A file that ends inside
+    the quotes is first followed inside each stretch of a file's line numbers, whatever it begins with, then over the few rows that stand for
+    the stretches, so a file with most of the lines is no single task, whether its lines are numbered through or split by split. Only lines of records with several of them are grouped. A file that ends inside
     quotes gives no records, so a lost quote does not make a record of a file's rest.
     """
     has_quote = F.col("value").contains('"')
@@ -50,7 +52,7 @@ def whole_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         return lines, broken
     broken = reliable_cut(broken, "csv-broken")
     own = lines.join(broken, "source_file", "left_semi").select(
-        "source_file", "line_no", "value", out0.alias("out0"), out1.alias("out1"), F.expr("cast(line_no AS decimal(30,0)) DIV 8589934592").alias("split")
+        "source_file", "line_no", "value", out0.alias("out0"), out1.alias("out1"), F.expr(f"cast(line_no AS decimal(30,0)) DIV {STRETCH}").alias("split")
     )
     rows = _walked(own, ["source_file", "split"], "line_no")
     end, flipped = F.max_by(F.col("out0") - F.col("flips"), F.when(F.col("out0") == F.col("out1"), F.col("line_no"))), F.sum((F.col("out0") > F.col("out1")).cast("long"))
@@ -97,7 +99,8 @@ def parse_layouts(
     the line where it begins. Quotes inside quotes are doubled.
     """
     lines, left_open = whole_records(lines)
-    headers = file_headers(lines)
+    # A row per file. Stored, it has a known size, so that lines meet it where they are and files are not brought together.
+    headers = reliable_cut(file_headers(lines), "csv-headers")
     layouts = sorted(r.header for r in headers.select("header").distinct().toLocalIterator())
     parts, lacking = [], {}
     for header in layouts:

@@ -228,3 +228,22 @@ def test_csv_sink_writes_header_for_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "station_id string, parameter string")
     sinks.write_csv(empty, str(tmp_path / "empty"))
     assert spark.read.option("header", True).csv(str(tmp_path / "empty")).columns == ["station_id", "parameter"]
+
+
+def test_a_file_numbered_through_is_followed_in_stretches(spark, monkeypatch):
+    # The open quote of line 65534 ends three lines later, in the next stretch.
+    n, stored, cut = 200_000, {}, fire_files.reliable_cut
+    value = "CASE id WHEN 0 THEN 'A,B' WHEN 65534 THEN '1,\"x' WHEN 65537 THEN 'y\"' ELSE concat(id, ',b') END AS value"
+    text = spark.range(n).selectExpr("'a.csv' AS source_file", "id AS line_no", value)
+
+    def noted(df, name):
+        stored[name] = cut(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(fire_files, "reliable_cut", noted)
+    reports, skipped = fire_files.parse_layouts(text, ("A", "B"))
+    assert stored["csv-splits"].count() > 3 and "csv-headers" in stored
+    assert skipped.isEmpty() and reports.count() == n - 4
+    assert rows(reports.filter("line_no between 65533 and 65538"), "line_no", "A", "B") == [
+        (65533, "65533", "b"), (65534, "1", "x\n65535,b\n65536,b\ny"), (65538, "65538", "b")
+    ]
