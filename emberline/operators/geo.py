@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -28,12 +30,21 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 SPLIT_ROWS = 20_000
 # The same for either side of a join that keeps most of its candidate pairs: a key yields at most some 4 million.
 PAIR_ROWS = 2_000
+# Candidate pairs of a task of such a join.
+TASK_PAIRS = PAIR_ROWS * PAIR_ROWS
 
 
 def _bin(value: Column, size: Column | float) -> Column:
     return F.floor(value / size).cast("int")
 
 
+def _count_pairs(left: DataFrame, right: DataFrame) -> int:
+    """Pairs of rows that share a bin."""
+    sides = [df.groupBy("by", "bx").agg(F.count("*").alias(n)) for df, n in ((left, "n_left"), (right, "n_right"))]
+    pairs = F.col("n_left").cast("double") * F.col("n_right")
+    return int(sides[0].join(sides[1], ["by", "bx"]).agg(F.coalesce(F.sum(pairs), F.lit(0.0)).alias("n")).first().n)
+
+
 def bin_join(
     left: DataFrame,
     right: DataFrame,
@@ -53,7 +64,8 @@ def bin_join(
     each part, so no join key ever holds more than about ``split_rows`` right rows. ``None`` skips the cutting, for a right
     side whose density is bounded by its construction; ``small_right`` broadcasts a right side whose size the caller has
     checked. With ``split_left`` the left rows of a bin are cut likewise, and its right rows copied to each part, so a join key yields at most
-    about ``split_left * split_rows`` pairs.
+    about ``split_left * split_rows`` pairs. The candidate pairs are then counted from the bins, in a job of its own, and the join gets a task
+    for every TASK_PAIRS of them: the points are few bytes, by which Spark would leave the pairs of all bins to one task or a few.
     """
     right_binned = right.select(
         _bin(F.col("lat"), lat_bin).alias("by"),
@@ -101,6 +113,9 @@ def bin_join(
         left_keyed = cut(left_keyed, crowded_left, "_left_parts", "l", "left_part", own=True)
         right_keyed = cut(right_keyed, crowded_left, "_left_parts", "r", "left_part", own=False)
         keys.append("left_part")
+        # Spark deals both sides anew where they have fewer tasks than its own shuffles.
+        tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(_count_pairs(left_binned, right_binned) / TASK_PAIRS))
+        left_keyed, right_keyed = left_keyed.repartition(tasks, *keys), right_keyed.repartition(tasks, *keys).hint("shuffle_hash")
     return left_keyed.join(right_keyed, keys).select("l", "r")
 
 

@@ -189,3 +189,10 @@ def test_regions_agree_with_single_grids(spark):
             "cell_id", "round(center_lat, 9) a", "round(center_lon, 9) b", "terrain_type"
         )
         assert rows(one) == rows(part)
+
+
+def test_pairs_of_few_bytes_are_spread_over_tasks(spark):
+    _, df = cloud(spark, 400, 9, hot=0.0, dense=0.0)
+    stations = df.select(F.col("id").cast("string").alias("station_id"), (F.col("lat") / 10).alias("latitude"), (F.col("lon") / 10).alias("longitude"))
+    pairs = geo.pairs_within(stations.coalesce(1))
+    assert pairs.select(F.spark_partition_id().alias("task")).distinct().count() > 1
