@@ -7,10 +7,13 @@ Number literals carry an exponent so that both engines read them as doubles.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberline.session import reliable_cut
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -143,6 +146,11 @@ VIEWS: dict[str, str | dict[str, str]] = {
 }
 
 
+# Views that make much text of a few bytes a row, with the rows for one task. Spark cuts a table into tasks by its bytes, which would leave
+# all of the text to one task.
+ROWS_PER_TASK = {"a_daily_lines": 10_000}
+
+
 def sql_of(name: str, engine: str) -> str:
     text = VIEWS[name]
     return text if isinstance(text, str) else text[engine]
@@ -154,4 +162,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = sql_of(name, "spark")
     inputs = {n: view(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", text))}
-    return spark.sql(text, **inputs)
+    if name not in ROWS_PER_TASK:
+        return spark.sql(text, **inputs)
+    spread = {n: df.repartition(max(1, math.ceil(df.count() / ROWS_PER_TASK[name]))) for n, df in inputs.items()}
+    # Stored, as a filter on the lines would otherwise make them before they are spread, and once more for every column cut out of them.
+    return reliable_cut(spark.sql(text, **spread), name)

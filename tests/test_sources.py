@@ -6,6 +6,7 @@ from conftest import rows
 from emberline.functions.exprs import to_day
 from emberline.operators import validate, weather
 from emberline.plans import pipeline
+from emberline.plans.adapters import view
 from emberline.sources import fire_files, sinks, station_text
 from emberline.sources.station_text import read_lines
 
@@ -247,3 +248,9 @@ def test_a_file_numbered_through_is_followed_in_stretches(spark, monkeypatch):
     assert rows(reports.filter("line_no between 65533 and 65538"), "line_no", "A", "B") == [
         (65533, "65533", "b"), (65534, "1", "x\n65535,b\n65536,b\ny"), (65538, "65538", "b")
     ]
+
+
+def test_daily_lines_are_made_in_several_tasks(spark, tmp_path):
+    spark.range(25_000).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = view(spark, str(tmp_path), "a_daily_lines")
+    assert len(found.inputFiles()) == 3 and found.select("line_no").distinct().count() == 25_000
