@@ -222,3 +222,9 @@ def test_registered_search_takes_the_default_settings(spark, monkeypatch):
     monkeypatch.setattr(search, "search", noted)
     assert queries.search_history(spark, "").columns == ["generation"]
     assert asked == [(C.SearchConfig(max_seconds=queries.SEARCH_SECONDS), C.SEARCH_SPACE)]
+
+
+def test_training_rows_have_tasks_by_their_number(spark):
+    training = model.prepare_training(sample_rows(spark).repartition(40))
+    assert training.rows.rdd.getNumPartitions() == model.LEAST_TASKS and training.rows.count() == sample_rows(spark).count()
+    training.release()
