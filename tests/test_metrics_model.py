@@ -224,6 +224,31 @@ def test_registered_search_takes_the_default_settings(spark, monkeypatch):
     assert asked == [(C.SearchConfig(max_seconds=queries.SEARCH_SECONDS), C.SEARCH_SPACE)]
 
 
+def test_registered_search_fits_every_candidate(spark, monkeypatch):
+    from itertools import count
+
+    from emberline.plans import queries
+
+    # Every look at the clock is two hours later.
+    clock, fitted = count(0.0, 7200.0), []
+    monkeypatch.setattr(search, "time", SimpleNamespace(monotonic=lambda: next(clock), perf_counter=lambda: 0.0))
+    monkeypatch.setattr(search, "fit", lambda training, config, name, deadline: fitted.append(name) or SimpleNamespace(model_id=name))
+
+    def ratings(models, asked):
+        # Each generation is better than those before it, so the search does not converge.
+        return spark.createDataFrame([(m.model_id, 1.0 / (1 + len(fitted)) + int(m.model_id.split("-")[1]) / 1e6) for m in models], "model_id string, fitness double")
+
+    monkeypatch.setattr(search, "rated", ratings)
+    monkeypatch.setattr(queries, "workspace", lambda s, d: SimpleNamespace(samples=lambda kind: sample_rows(s, 40)))
+    history = queries.search_history(spark, "").orderBy("generation").collect()
+    whole = C.SearchConfig()
+    assert [(r.generation, r.n_missing, r.ended) for r in history] == [
+        (g, 0, "generations" if g == whole.max_generations - 1 else None) for g in range(whole.max_generations)
+    ]
+    assert [r.n_fitted for r in history] == [whole.population_size] + [whole.population_size - whole.elite_count] * (whole.max_generations - 1)
+    assert len(fitted) == sum(r.n_fitted for r in history) == len(set(fitted))
+
+
 def test_training_rows_have_tasks_by_their_number(spark):
     training = model.prepare_training(sample_rows(spark).repartition(40))
     assert training.rows.rdd.getNumPartitions() == model.LEAST_TASKS and training.rows.count() == sample_rows(spark).count()
